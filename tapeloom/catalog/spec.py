@@ -43,7 +43,7 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        picked = ", ".join(f"{_sql_column(n, t)} AS {n}" for n, t in self.fields)
+        picked = ", ".join(f'{_sql_column(f'"{n}"', t)} AS "{n}"' for n, t in self.fields)
         body = f"_result AS ({self.sql.strip()})"
         views = _needed(self.sql)
         return f"WITH RECURSIVE {', '.join([*views, body])} SELECT {picked} FROM _result"
@@ -55,11 +55,10 @@ def _spark_column(c: Column, code: str) -> Column:
         if code[0] == "f":
             step = F.lit(10.0**digits)
             return F.floor(x * step + F.lit(_OFF_CENTRE)) / step
-        power = digits - 1 - F.floor(F.log10(F.abs(x)))
-        up, down = F.pow(F.lit(10.0), power.cast("double")), F.pow(F.lit(10.0), (-power).cast("double"))
-        kept = F.when(power >= 0, F.floor(x * up + F.lit(_OFF_CENTRE)) / up).otherwise(
-            F.floor(x / down + F.lit(_OFF_CENTRE)) * down
-        )
+        power = (digits - 1 - F.floor(F.log10(F.abs(x)))).cast("int")
+        whole = F.floor(x * F.pow(F.lit(10.0), power.cast("double")) + F.lit(_OFF_CENTRE)).cast("bigint")
+        # Reading the decimal text gives the same double in every engine; a product of powers may not.
+        kept = F.concat(whole.cast("string"), F.lit("e"), (-power).cast("string")).cast("double")
         return F.when((x == 0) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(kept)
     return c.cast({"s": "string", "i": "bigint", "b": "boolean", "t": "timestamp_ntz"}[code])
 
@@ -69,11 +68,11 @@ def _sql_column(name: str, code: str) -> str:
         x, digits = f"CAST({name} AS DOUBLE)", int(code[1:])
         if code[0] == "f":
             return f"floor({x} * 1e{digits} + {_OFF_CENTRE}e0) / 1e{digits}"
-        power = f"({digits - 1} - floor(log10(abs({x}))))"
+        power = f"CAST({digits - 1} - floor(log10(abs({x}))) AS INT)"
+        whole = f"CAST(floor({x} * pow(10e0, {power}) + {_OFF_CENTRE}e0) AS BIGINT)"
         return (
             f"CASE WHEN {x} = 0 OR isinf({x}) THEN {x} "
-            f"WHEN {power} >= 0 THEN floor({x} * pow(10e0, {power}) + {_OFF_CENTRE}e0) / pow(10e0, {power}) "
-            f"ELSE floor({x} / pow(10e0, -{power}) + {_OFF_CENTRE}e0) * pow(10e0, -{power}) END"
+            f"ELSE CAST({whole} || 'e' || -{power} AS DOUBLE) END"
         )
     return f"CAST({name} AS {({'s': 'VARCHAR', 'i': 'BIGINT', 'b': 'BOOLEAN', 't': 'TIMESTAMP'}[code])})"
 

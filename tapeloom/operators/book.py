@@ -216,10 +216,10 @@ def queue_position(
     factor = F.when(level & (F.col("qty") < prev), shrink).otherwise(F.lit(1.0))
     steps = sized.withColumns({"_a": factor, "_b": F.when(level, F.lit(0.0)).otherwise(F.col("qty"))})
     steps = stage(steps.drop("_prev", "_size0"), "queue")
-    scaled = carry_scan(steps, [by], "_chunk", ("seq",), {"_A": running("product", "_a")})
-    taken = F.coalesce(maths.div("_b", "_A"), F.lit(0.0))
-    summed = carry_scan(scaled.withColumn("_t", taken), [by], "_chunk", ("seq",), {"_T": running("sum", "_t")})
-    ahead = F.greatest(F.lit(0.0), F.col("_A") * (F.col("_start") - F.col("_T")))
+    scaled = carry_scan(steps, [by], "_chunk", ("seq",), {"_scale": running("product", "_a")})
+    taken = F.coalesce(maths.div("_b", "_scale"), F.lit(0.0))
+    summed = carry_scan(scaled.withColumn("_t", taken), [by], "_chunk", ("seq",), {"_sum": running("sum", "_t")})
+    ahead = F.greatest(F.lit(0.0), F.col("_scale") * (F.col("_start") - F.col("_sum")))
     return summed.select(by, "seq", "kind", "qty", ahead.alias("shares_ahead"), (ahead <= 0).alias("at_front"))
 
 
