@@ -1 +1,55 @@
+"""Streams over the test tables."""
 
+from pyspark.sql import functions as F
+
+from tapeloom.catalog import views as _views  # noqa: F401  (shared views)
+from tapeloom.catalog.spec import query
+from tapeloom.sources import store
+from tapeloom.sources import testtables as T
+from tapeloom.streaming import jobs as K
+
+
+def _stream(spark, sf):
+    """The events table as a file stream."""
+    path = f"{sf}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+@query("K1_streaming_time_bars", "symbol:s ts:t open:f4 high:f4 low:f4 close:f4 volume:f6 trades:i", """
+SELECT b.* FROM v_bars b WHERE b.ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_trades) - INTERVAL 10 MINUTE""")
+def _(spark, sf):
+    return K.drain(K.time_bars(T.trades_of(_stream(spark, sf)), "1 hour", "10 minutes"), "bars")
+
+
+@query("K2_streaming_top_of_book", "symbol:i seq:i ts:t bid_price:f2 bid_size:f4 ask_price:f2 ask_size:f4", """
+WITH levels AS (SELECT DISTINCT symbol, side, price FROM v_updates),
+state AS (SELECT u.symbol, u.seq, u.ts, l.side, l.price, p.size
+          FROM v_updates u JOIN levels l ON l.symbol = u.symbol
+          ASOF JOIN v_updates p ON p.symbol = l.symbol AND p.side = l.side AND p.price = l.price AND u.seq >= p.seq)
+SELECT symbol, seq, ts, max(price) FILTER (side = 'bid' AND size > 0) AS bid_price, arg_max(size, price) FILTER (side = 'bid' AND size > 0) AS bid_size,
+       min(price) FILTER (side = 'ask' AND size > 0) AS ask_price, arg_min(size, price) FILTER (side = 'ask' AND size > 0) AS ask_size
+FROM (SELECT * FROM state UNION ALL SELECT symbol, seq, ts, 'none', 0, 0 FROM v_updates) GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", K.ROCKSDB)
+    try:
+        return K.drain(K.top_of_book(T.book_updates_of(_stream(spark, sf))), "top")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+@query("K3_streaming_upsert", "symbol:s ts:t close:f4 volume:f6", "SELECT symbol, ts, close, volume FROM v_daily")
+def _(spark, sf):
+    import uuid
+
+    from tapeloom.plans.stage import shared_folder, stage
+
+    base = f"{shared_folder(spark)}/tapeloom-upsert-{uuid.uuid4().hex}"
+    daily = T.daily_bars(spark, sf)
+    # An older state of half the days, then the full table as a stream.
+    store.write_by_date(daily.where(F.dayofmonth("ts") <= 15).withColumn("close", F.lit(0.0)), f"{base}/store")
+    fresh = stage(daily, "stream")
+    path = fresh.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(fresh.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    K.bar_upsert(stream, f"{base}/store", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/store")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
 from tapeloom.plans.joins import asof_join, fill_forward
 from tapeloom.plans.scan import carry_scan, running
-from tapeloom.plans.tiles import KEY, tidy, tile
+from tapeloom.plans.tiles import KEY, bucketed, tidy, tile
 
 
 def tick(ts: str = "ts", tie: str = "agg_id") -> Column:
@@ -42,18 +44,9 @@ def _threshold_bars(
 ) -> DataFrame:
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    us = clock.micros("ts")
-    priced = trades.withColumns(
-        {
-            "_w": weight,
-            "_bucket": clock.floor_us(us, clock.duration_us(bucket)),
-            "_group": clock.floor_us(us, 30 * clock.DAY),
-        }
-    )
+    priced, _ = bucketed(trades.withColumn("_w", weight), clock.micros("ts"), bucket, None)
     # The running sum is exact (DECIMAL), so bar edges do not depend on how the data is split.
-    summed = carry_scan(
-        priced, key, "_bucket", ("ts", "agg_id"), {"_cum": running("sum", "_w")}, coarse="_group"
-    )
+    summed = carry_scan(priced, key, "_bucket", ("ts", "agg_id"), {"_cum": running("sum", "_w")})
     bar = F.floor(F.col("_cum") / F.lit(threshold).cast("decimal(18,8)")).cast("long")
     at = tick()
     return (
@@ -134,31 +127,48 @@ def stride_downsample(
 # ---- largest-triangle-three-buckets -------------------------------------------------------------
 
 
-def _hull(points):
-    """Vertices of the convex hull, in input order; the farthest point from a line is one of them."""
-    import numpy as np
-
-    n = len(points)
-    if n <= 3:
-        return points
-    order = np.lexsort((points["y"].to_numpy(), points["x"].to_numpy()))
-    x = points["x"].to_numpy(dtype="float64")
-    y = points["y"].to_numpy(dtype="float64")
+def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Positions of the convex hull's points; the farthest point from any line is one of them."""
+    if len(x) <= 3:
+        return list(range(len(x)))
 
-    def half(ids):
+    def half(ids) -> list[int]:
         kept: list[int] = []
         for i in ids:
             while len(kept) > 1:
                 a, b = kept[-2], kept[-1]
-                if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) < 0:
-                    kept.pop()
-                else:
+                if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) >= 0:
                     break
+                kept.pop()
             kept.append(int(i))
         return kept
 
-    keep = sorted(set(half(order)) | set(half(order[::-1])))
-    return points.iloc[keep]
+    order = np.lexsort((y, x))
+    return sorted(set(half(order)) | set(half(order[::-1])))
+
+
+def _hull_points(piece: pd.DataFrame) -> pd.DataFrame:
+    """The hull points of every bucket that a contiguous piece of a series touches."""
+    piece = piece.sort_values("rn", ignore_index=True)
+    x, y, b = (piece[c].to_numpy() for c in ("x", "y", "bucket"))
+    edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1), len(b)]
+    keep = [s + i for s, e in zip(edges, edges[1:]) for i in _hull(x[s:e], y[s:e])]
+    return piece.iloc[keep]
+
+
+def _walk(points: pd.DataFrame) -> pd.DataFrame:
+    """From the first point on, the candidate that spans the largest triangle with the last choice
+    and the mean of the bucket ahead."""
+    points = points.sort_values("rn", ignore_index=True)
+    x, y, b = (points[c].to_numpy() for c in ("x", "y", "bucket"))
+    mx, my = points["mx"].to_numpy(), points["my"].to_numpy()
+    edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1), len(b)]
+    chosen = [0]
+    for s, e in zip(edges[1:-2], edges[2:-1]):
+        a = chosen[-1]
+        area = np.abs((x[a] - mx[e]) * (y[s:e] - y[a]) - (x[s:e] - x[a]) * (my[e] - y[a]))
+        chosen.append(int(s + np.argmax(area)))
+    return points.iloc[[*chosen, len(b) - 1]]
 
 
 def lttb(
@@ -167,59 +177,36 @@ def lttb(
     """Largest-triangle-three-buckets downsampling to ``n_out`` points per series.
 
     A bucket's choice maximises the distance from a line, which is always reached on the convex
-    hull of its points. Buckets are therefore reduced to their hulls in bounded pieces; only the
+    hull of its points. Series are therefore reduced to hulls in pieces of ``size`` rows; only the
     walk along the n_out hulls, a few points each, runs once per series. The last bucket looks
     ahead to the final point.
     """
     if n_out < 3:
         return df
+    key = list(key)
     rows = df if "rn" in df.columns else tidy(tile(df, key, **kw).df)
-    rows = rows.select(*key, "rn", "ts", clock.micros("ts").cast("double").alias("x"), F.col(value).cast("double").alias("y"))
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    rows = rows.join(counts, list(key))
+    x = clock.micros("ts").cast("double")
+    rows = rows.select(*key, "rn", "ts", x.alias("x"), F.col(value).cast("double").alias("y"))
+    rows = rows.join(rows.groupBy(*key).agg(F.count("*").alias("n")), key)
     whole = rows.where(F.col("n") <= n_out).select(*key, "ts", F.col("y").alias(value))
     width = (F.col("n") - 2) / F.lit(float(n_out - 2))
     guess = F.floor((F.col("rn") - 1) / width)
-    edge = lambda i: F.floor(i * width) + 1
+    first_of = lambda i: F.floor(i * width) + 1
     inner = (
-        F.when(F.col("rn") < edge(guess), guess - 1).when(F.col("rn") >= edge(guess + 1), guess + 1).otherwise(guess)
+        F.when(F.col("rn") < first_of(guess), guess - 1)
+        .when(F.col("rn") >= first_of(guess + 1), guess + 1)
+        .otherwise(guess)
     )
-    last = F.col("n") - 1
-    bucket = F.when(F.col("rn") == 0, F.lit(-1)).when(F.col("rn") == last, F.lit(n_out - 2)).otherwise(inner)
+    bucket = F.when(F.col("rn") == 0, F.lit(-1)).when(F.col("rn") == F.col("n") - 1, F.lit(n_out - 2)).otherwise(inner)
     long = rows.where(F.col("n") > n_out).withColumn("bucket", bucket.cast("long"))
     means = long.groupBy(*key, "bucket").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
-    layout = f"{fields}, bucket long, rn long, x double, y double"
-    piece = long.select(*key, "bucket", "rn", "x", "y", F.expr(f"rn div {size}").alias("piece"))
-    for by in ([*key, "bucket", "piece"], [*key, "bucket"]):
-        piece = piece.groupBy(*by).applyInPandas(
-            lambda p: _hull(p.sort_values("rn"))[[*key, "bucket", "rn", "x", "y"]], layout
-        )
-    walk = piece.join(means, [*key, "bucket"])
-    chosen = walk.groupBy(*key).applyInPandas(lambda p: _walk(p, list(key)), f"{fields}, rn long")
-    picked = long.join(chosen, [*key, "rn"], "left_semi").select(*key, "ts", F.col("y").alias(value))
+    pieces = long.select(*key, "rn", "ts", "x", "y", "bucket", F.expr(f"rn div {size}").alias("piece"))
+    hulls = pieces.groupBy(*key, "piece").applyInPandas(_hull_points, pieces.schema).drop("piece")
+    hulls = hulls.join(means, [*key, "bucket"])
+    picked = hulls.groupBy(*key).applyInPandas(_walk, hulls.schema).select(*key, "ts", F.col("y").alias(value))
     return whole.unionByName(picked)
 
 
-def _walk(points, key):
-    import numpy as np
-
-    points = points.sort_values(["bucket", "rn"])
-    b = points["bucket"].to_numpy()
-    x, y = points["x"].to_numpy(), points["y"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    ends = np.r_[starts[1:], len(b)]
-    chosen = [int(starts[0])]
-    for j in range(1, len(starts) - 1):
-        a, s, e = chosen[-1], starts[j], ends[j]
-        ahead_x, ahead_y = points["mx"].iloc[starts[j + 1]], points["my"].iloc[starts[j + 1]]
-        area = np.abs((x[a] - ahead_x) * (y[s:e] - y[a]) - (x[s:e] - x[a]) * (ahead_y - y[a]))
-        chosen.append(int(s + np.argmax(area)))
-    chosen.append(int(starts[-1]))
-    return points.iloc[chosen][[*key, "rn"]]
-
-
 __all__ = [
     "dollar_bars", "last_per_bin", "lttb", "ofi_bars", "resample_last", "resample_last_filled",
     "stride_downsample", "tick", "time_bars", "volume_bars",

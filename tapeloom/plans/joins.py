@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
 from tapeloom.plans.scan import carry_scan, running
-from tapeloom.plans.tiles import KEY
+from tapeloom.plans.tiles import KEY, bucketed
 
 
 def asof_join(
@@ -22,7 +22,7 @@ def asof_join(
     right_ts: str = "ts",
     tie: str | None = None,
     bucket: str = "1h",
-    group: str = "30d",
+    group: str | None = None,
 ) -> DataFrame:
     """Each left row with ``cols`` of the latest right row at or before it (NULL when none).
 
@@ -30,7 +30,6 @@ def asof_join(
     a range join. Among right rows at one time the highest ``tie`` wins; a NULL inside the latest
     right row stays NULL, because the columns travel as one struct.
     """
-    width, span = clock.duration_us(bucket), clock.duration_us(group)
     quotes = right.where(F.col(right_ts).isNotNull()).select(
         *key,
         clock.micros(right_ts).alias("_us"),
@@ -39,11 +38,9 @@ def asof_join(
         F.struct(*cols).alias("_right"),
     )
     rows = left.withColumns({"_us": clock.micros(left_ts), "_side": F.lit(1), "_tie": F.lit(0).cast("long")})
-    both = rows.unionByName(quotes, allowMissingColumns=True).withColumns(
-        {"_bucket": clock.floor_us(F.col("_us"), width), "_group": clock.floor_us(F.col("_us"), span)}
-    )
+    both, coarse = bucketed(rows.unionByName(quotes, allowMissingColumns=True), F.col("_us"), bucket, group)
     out = carry_scan(
-        both, key, "_bucket", ("_us", "_side", "_tie"), {"_right": running("last", "_right")}, coarse="_group"
+        both, key, "_bucket", ("_us", "_side", "_tie"), {"_right": running("last", "_right")}, coarse=coarse
     )
     kept = [F.col(c) for c in left.columns if c not in cols]
     return out.where("_side = 1").select(*kept, *[F.col("_right")[c].alias(c) for c in cols])

@@ -26,20 +26,28 @@ def index_rows(
     order: Sequence[str] = ("ts",),
     *,
     bucket: str = "1d",
-    group: str = "365d",
+    group: str | None = None,
 ) -> DataFrame:
     """Add ``rn``, the 0-based position of the row in its series.
 
     Ranks are taken inside time buckets and shifted by the counts of the earlier buckets. Choose
-    ``bucket`` so that one series fits a task for that long: bars of a day, trades of a minute.
+    ``bucket`` so that one series fits a task for that long: bars of a day, trades of a minute. A
+    series has as many bucket counts as the calendar has buckets; with very short buckets give a
+    ``group`` to add the counts up in two levels.
     """
-    width, span = clock.duration_us(bucket), clock.duration_us(group)
-    us = clock.micros(order[0])
-    df = df.withColumns({"_bucket": clock.floor_us(us, width), "_group": clock.floor_us(us, span)})
-    out = carry_scan(df, key, "_bucket", order, {"rn": running("sum", F.lit(1).cast("long"))}, coarse="_group")
+    df, coarse = bucketed(df, clock.micros(order[0]), bucket, group)
+    out = carry_scan(df, key, "_bucket", order, {"rn": running("sum", F.lit(1).cast("long"))}, coarse=coarse)
     return out.withColumn("rn", F.col("rn") - 1).drop("_bucket", "_group")
 
 
+def bucketed(df: DataFrame, us: Column, bucket: str, group: str | None) -> tuple[DataFrame, str | None]:
+    """Add ``_bucket`` (and ``_group``), the time slices that scans run in."""
+    df = df.withColumn("_bucket", clock.floor_us(us, clock.duration_us(bucket)))
+    if group is None:
+        return df, None
+    return df.withColumn("_group", clock.floor_us(us, clock.duration_us(group))), "_group"
+
+
 @dataclass(frozen=True)
 class Tiles:
     """A tiled frame: ``df`` with ``_tile`` and ``_core``; windows never leave a tile."""

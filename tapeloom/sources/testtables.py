@@ -19,7 +19,11 @@ def _k() -> F.Column:
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    return trades_of(table(spark, folder, "events"))
+
+
+def trades_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("agg_id"),
         F.col("event_type").alias("symbol"),
         "ts",
@@ -34,8 +38,8 @@ def hourly_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def indexed_hourly_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly bars written once and numbered, as input of several branches."""
-    return index_rows(stage(hourly_bars(spark, folder), "bars"))
+    """Hourly bars numbered and written once, as input of several branches."""
+    return stage(index_rows(stage(hourly_bars(spark, folder), "bars")), "indexed")
 
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,13 +55,17 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def indexed_daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return index_rows(stage(daily_bars(spark, folder), "daily"), bucket="365d", group="3650d")
+    return stage(index_rows(stage(daily_bars(spark, folder), "daily"), bucket="365d"), "indexed")
 
 
 def book_updates(spark: SparkSession, folder: str) -> DataFrame:
+    return book_updates_of(table(spark, folder, "events"))
+
+
+def book_updates_of(events: DataFrame) -> DataFrame:
     bid = F.col("user_id") % 2 == 0
     step = (_k() % 50).cast("double")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         "ts",
         (F.col("user_id") % 5).alias("symbol"),
