@@ -158,13 +158,13 @@ def _(spark, sf):
 
 
 @query("A12_timeframes", "timeframe:s seconds:i bars_per_year:i bars:i", """
-SELECT timeframe, seconds, bars_per_year, count(DISTINCT (symbol, epoch_us(ts) // (seconds * 1000000))) AS bars
+SELECT timeframe, seconds, bars_per_year, count(DISTINCT (symbol, epoch_us(ts) // (seconds * CAST(1000000 AS BIGINT)))) AS bars
 FROM v_trades, (VALUES ('1m', 60, 525600), ('5m', 300, 105120), ('15m', 900, 35040), ('1h', 3600, 8760), ('4h', 14400, 2190), ('1d', 86400, 365)) f(timeframe, seconds, bars_per_year)
 GROUP BY 1, 2, 3""")
 def _(spark, sf):
     seconds = F.array(*[F.lit(clock.timeframe_seconds(t)) for t in clock.TIMEFRAMES])
     bins = T.trades(spark, sf).select("symbol", clock.micros("ts").alias("us"), F.explode(seconds).alias("seconds"))
-    bars = bins.select("symbol", "seconds", (F.col("us") - F.pmod("us", F.col("seconds") * 1_000_000)).alias("bin")).distinct()
+    bars = bins.select("symbol", "seconds", (F.col("us") - F.pmod("us", F.col("seconds").cast("long") * 1_000_000)).alias("bin")).distinct()
     return clock.timeframe_table(spark).join(bars.groupBy("seconds").agg(F.count("*").alias("bars")), "seconds")
 
 

@@ -11,8 +11,8 @@ from tapeloom.streaming import jobs as K
 
 def _stream(spark, sf):
     """The events table as a file stream."""
-    path = f"{sf}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 @query("K1_streaming_time_bars", "symbol:s ts:t open:f4 high:f4 low:f4 close:f4 volume:f6 trades:i", """
@@ -47,9 +47,9 @@ def _(spark, sf):
     base = f"{shared_folder(spark)}/tapeloom-upsert-{uuid.uuid4().hex}"
     daily = T.daily_bars(spark, sf)
     # An older state of half the days, then the full table as a stream.
-    store.write_by_date(daily.where(F.dayofmonth("ts") <= 15).withColumn("close", F.lit(0.0)), f"{base}/store")
+    store.write_by_date(daily.where(F.dayofmonth("ts") <= 15).withColumn("close", F.lit(0.0)), f"{base}/store", period="year")
     fresh = stage(daily, "stream")
     path = fresh.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(fresh.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    K.bar_upsert(stream, f"{base}/store", f"{base}/log").awaitTermination()
+    K.bar_upsert(stream, f"{base}/store", f"{base}/log", period="year").awaitTermination()
     return spark.read.parquet(f"{base}/store")

@@ -162,7 +162,10 @@ def _mllib(make: Callable[[str, int], object], parallel: int = 4) -> Model:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        ready = stage(VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).drop(*columns), "vectors")
+        vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).drop(*columns)
+        # Seeded sampling follows the row order inside partitions, so both are fixed here.
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ready = stage(vectors.repartition(parts, *by, "ts").sortWithinPartitions(*by, "ts"), "vectors")
         slices = ready.select(*by).distinct().collect()  # one small row per fit
 
         def one(row) -> DataFrame:
@@ -424,7 +427,11 @@ def evaluate_all(
     bars: DataFrame, spec: BenchmarkSpec, models: Mapping[str, Model] | Sequence[str] | None = None, *, key: Sequence[str] = KEY
 ) -> DataFrame:
     chosen = models if isinstance(models, Mapping) else {n: make_model(n) for n in (models or MODELS)}
-    rows = [evaluate_one(bars, spec, name, model=model, key=key) for name, model in chosen.items()]
+    ready = stage(training_rows(bars, spec.target, spec.features, key=key), "rows")
+    rows = []
+    for name, model in chosen.items():
+        fitted = fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key, rows=ready)
+        rows.append(evaluate_one(bars, spec, name, preds=stage(fitted, "predictions"), key=key))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
@@ -444,8 +451,9 @@ def benchmark_sweep(
     rows = []
     for spec in specs:
         bars = bars_by_timeframe[spec.timeframe]
+        ready = stage(training_rows(bars, spec.target, spec.features, key=key), "rows")
         for name, model in chosen.items():
-            fitted = fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key)
+            fitted = fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key, rows=ready)
             preds = stage(fitted, "predictions")
             for mode in fee_modes:
                 priced = replace(spec, backtest=replace(spec.backtest, assume_maker=mode == "maker"))

@@ -20,14 +20,18 @@ from tapeloom.plans.tiles import KEY
 OHLCV = ("open", "high", "low", "close", "volume")
 TRADE_FIELDS = ("agg_id", "price", "qty", "first_id", "last_id", "ts", "is_buyer_maker")
 
-BARS = T.StructType(
-    [T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType())]
-    + [T.StructField(c, T.DoubleType()) for c in OHLCV]
-)
-TRADES = T.StructType.fromDDL(
-    "symbol string, agg_id long, price double, qty double, first_id long, last_id long, ts timestamp, is_buyer_maker boolean"
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_LONG, _DOUBLE, _WHEN = T.LongType(), T.DoubleType(), T.TimestampType()
+BARS = _struct(symbol=T.StringType(), ts=_WHEN, **{c: _DOUBLE for c in OHLCV})
+TRADES = _struct(
+    symbol=T.StringType(), agg_id=_LONG, price=_DOUBLE, qty=_DOUBLE, first_id=_LONG, last_id=_LONG, ts=_WHEN,
+    is_buyer_maker=T.BooleanType(),
 )
-DEPTH = T.StructType.fromDDL("symbol string, ts timestamp, percentage double, depth double, notional double")
+DEPTH = _struct(symbol=T.StringType(), ts=_WHEN, percentage=_DOUBLE, depth=_DOUBLE, notional=_DOUBLE)
 
 _CHUNK = 1_000_000
 

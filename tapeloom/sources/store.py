@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,24 @@ from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY
 
 
-def write_by_date(df: DataFrame, root: str, *, key: str = "symbol", mode: str = "append", ts: str = "ts") -> None:
+def _dated(df: DataFrame, period: str, ts: str = "ts") -> DataFrame:
+    return df.withColumn("date", F.to_date(F.date_trunc(period, ts)))
+
+
+def _write(dated: DataFrame, root: str, key: str, ts: str, mode: str) -> None:
+    """Rows are spread by ranges of (series, time), which splits a busy period over several files."""
+    ranged = dated.repartitionByRange(key, ts).sortWithinPartitions(key, "date", ts)
+    ranged.write.partitionBy(key, "date").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(root)
+
+
+def write_by_date(
+    df: DataFrame, root: str, *, key: str = "symbol", mode: str = "append", ts: str = "ts", period: str = "day"
+) -> None:
     """Parquet under ``root/symbol=…/date=…``, in time order inside files.
 
-    Rows are spread by ranges of (series, time), which splits a busy day over several files.
+    ``period`` (day, month, year) sets how much time a folder holds; ``date`` is its first day.
     """
-    dated = df.withColumn("date", F.to_date(ts))
-    dated.repartitionByRange(key, ts).sortWithinPartitions(key, ts).write.partitionBy(key, "date").mode(mode).parquet(root)
+    _write(_dated(df, period, ts), root, key, ts, mode)
 
 
 def _as_date(x: dt.date | str) -> dt.date:
@@ -66,28 +78,20 @@ def keep_recent(bars: DataFrame, end: dt.datetime, days: int, timeframe: str) ->
     return bars.where(clock.micros("ts") >= start_us - start_us % clock.duration_us(timeframe))
 
 
-def upsert_bars(spark: SparkSession, root: str, fresh: DataFrame, *, key: str = "symbol") -> None:
-    """Merge fresh bars into ``root``; only the dates they touch are read and rewritten."""
-    fresh = stage(fresh.withColumn("date", F.to_date("ts")), "fresh")
+def upsert_bars(spark: SparkSession, root: str, fresh: DataFrame, *, key: str = "symbol", period: str = "day") -> None:
+    """Merge fresh bars into ``root``; only the folders they touch are read and rewritten."""
+    fresh = stage(_dated(fresh, period), "fresh")
     try:
         stored = spark.read.parquet(root).select(*fresh.columns)
-    except Exception as error:  # first write
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
+    except AnalysisException as error:  # first write
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        write_by_date(fresh.drop("date"), root, key=key)
+        _write(fresh, root, key, "ts", "append")
         return
     touched = fresh.select(key, "date").distinct()
-    old = stored.join(touched, [key, "date"], "left_semi").drop("date")
-    merged = stage(merge_bars(old, fresh.drop("date"), key=[key]), "merged")
-    dated = merged.withColumn("date", F.to_date("ts"))
-    (
-        dated.repartitionByRange(key, "ts")
-        .sortWithinPartitions(key, "ts")
-        .write.partitionBy(key, "date")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(root)
-    )
+    old = stored.join(touched, [key, "date"], "left_semi")
+    merged = merge_bars(old, fresh, key=[key])
+    _write(stage(merged, "merged"), root, key, "ts", "overwrite")
 
 
 def manifest(bars: DataFrame, timeframe: str, *, key: Sequence[str] = KEY) -> DataFrame:

@@ -25,7 +25,8 @@ def time_bars(trades: DataFrame, interval: str, delay: str, *, key: Sequence[str
     """
     at = tick()
     return (
-        trades.withWatermark("ts", delay)
+        trades.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
         .groupBy(*key, F.window("ts", interval).alias("_w"))
         .agg(
             F.min_by("price", at).alias("open"),
@@ -88,12 +89,12 @@ def top_of_book(updates: DataFrame) -> DataFrame:
     )
 
 
-def bar_upsert(bars: DataFrame, root: str, checkpoint: str, *, key: str = "symbol"):
+def bar_upsert(bars: DataFrame, root: str, checkpoint: str, *, key: str = "symbol", period: str = "day"):
     """Merge every micro-batch of bars into the bar store; returns the started query."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            upsert_bars(batch.sparkSession, root, batch, key=key)
+            upsert_bars(batch.sparkSession, root, batch, key=key, period=period)
 
     return (
         bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
