@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.operators.signals import STRATEGIES, Strategy
 from tapeloom.operators.stats import sharpe
-from tapeloom.plans.joins import asof_join, match_keys
+from tapeloom.plans.joins import asof_join, lookup_join, match_keys
 from tapeloom.plans.runs import next_row
 from tapeloom.plans.scan import carry_scan, running
 from tapeloom.plans.stage import stage
@@ -129,9 +129,9 @@ def trade_log(result: DataFrame, *, key: Sequence[str] = KEY, size: int | None =
         *key, "rn", "ts", "position", "equity", "prev_equity", came_from.alias("_from")
     )
     edges = next_row(edges, key, ["rn", "ts", "equity"], size=size)
-    ends = result.groupBy(*key).agg(F.max_by(F.struct("rn", "ts", "equity"), "rn").alias("_end"))
+    ends = result.groupBy(*key).agg(*[F.max_by(c, "rn").alias(f"_end_{c}") for c in ("rn", "ts", "equity")])
     opened = edges.where("position <> 0").join(ends, key)
-    exit_ = lambda c: F.coalesce(F.col(f"next_{c}"), F.col("_end")[c])
+    exit_ = lambda c: F.coalesce(F.col(f"next_{c}"), F.col(f"_end_{c}"))
     start = F.when(F.col("_from") != 0, F.col("equity")).otherwise(F.col("prev_equity"))
     return opened.select(
         *key,
@@ -204,7 +204,7 @@ def window_slices(
     """
     train, test, step = rolling.us
     spans = (_extent(bars, key) if extent is None else extent).where(F.col("_last") - F.col("_first") >= train + test)
-    df = bars.join(spans, list(key))
+    df = lookup_join(bars, spans, key)
     off = clock.micros("ts") - F.col("_first")
     most = F.floor((F.col("_last") - F.col("_first") - train - test) / F.lit(step))
 
@@ -411,11 +411,12 @@ def ledger(
 
 def pnl_decomposition(book: DataFrame, *, mid: str = "mid", key: Sequence[str] = KEY, order: Sequence[str] = ("ts", "fill_id")) -> DataFrame:
     """Total PnL, cash drift and inventory mark-to-market, from the first row of each series."""
-    first = book.groupBy(*key).agg(F.min_by(F.struct("equity", "cash"), F.struct(*order)).alias("_f"))
-    return book.join(first, list(key)).select(
+    at = maths.tick_order(clock.micros(order[0]), F.col(order[1]))
+    first = book.groupBy(*key).agg(F.min_by("equity", at).alias("_equity"), F.min_by("cash", at).alias("_cash"))
+    return lookup_join(book, first, key).select(
         *key, *order,
-        (F.col("equity") - F.col("_f.equity")).alias("total_pnl"),
-        (F.col("cash") - F.col("_f.cash")).alias("cash_drift"),
+        (F.col("equity") - F.col("_equity")).alias("total_pnl"),
+        (F.col("cash") - F.col("_cash")).alias("cash_drift"),
         (F.col("inventory") * F.col(mid)).alias("inventory_value"),
     )
 

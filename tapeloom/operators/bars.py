@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
-from tapeloom.plans.joins import asof_join, fill_forward
+from tapeloom.plans.joins import asof_join, fill_forward, lookup_join
 from tapeloom.plans.scan import carry_scan, running
 from tapeloom.plans.tiles import KEY, bucketed, tidy, tile
 
@@ -121,7 +121,7 @@ def stride_downsample(
     rows = df if "rn" in df.columns else tidy(tile(df, key, **({"size": size} if size else {}), **kw).df)
     n = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     step = F.when(F.col("_n") > limit, F.expr(f"_n div {target}")).otherwise(1)
-    return rows.join(n, list(key)).where(F.pmod("rn", step) == 0).drop("_n", "rn")
+    return lookup_join(rows, n, key).where(F.pmod("rn", step) == 0).drop("_n", "rn")
 
 
 # ---- largest-triangle-three-buckets -------------------------------------------------------------
@@ -187,7 +187,7 @@ def lttb(
     rows = df if "rn" in df.columns else tidy(tile(df, key, **kw).df)
     x = clock.micros("ts").cast("double")
     rows = rows.select(*key, "rn", "ts", x.alias("x"), F.col(value).cast("double").alias("y"))
-    rows = rows.join(rows.groupBy(*key).agg(F.count("*").alias("n")), key)
+    rows = lookup_join(rows, rows.groupBy(*key).agg(F.count("*").alias("n")), key)
     whole = rows.where(F.col("n") <= n_out).select(*key, "ts", F.col("y").alias(value))
     width = (F.col("n") - 2) / F.lit(float(n_out - 2))
     guess = F.floor((F.col("rn") - 1) / width)

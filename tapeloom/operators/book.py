@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
 from tapeloom.operators.micro import microprice
-from tapeloom.plans.joins import asof_join
+from tapeloom.plans.joins import asof_join, lookup_join
 from tapeloom.plans.scan import carry_scan, running
 from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY
@@ -124,15 +124,15 @@ def book_at(updates: DataFrame, every: str = "1h", *, key: Sequence[str] = KEY)
     if snapshots:
         rows = _with_epoch(rows, key)
     else:
-        rows = rows.withColumn("_epoch", F.lit(0))
+        rows = rows.withColumn("_epoch", F.lit(0).cast("decimal(38,0)"))
     level = [*key, "side", "price"]
-    last = rows.groupBy(*level, "_cut").agg(F.max_by(F.struct("size", "_epoch"), "_order").alias("_v"))
+    last = rows.groupBy(*level, "_cut").agg(*[F.max_by(c, "_order").alias(c) for c in ("size", "_epoch")])
     end = rows.groupBy(*key).agg(F.max("_cut").alias("_end"))
     # One row per level and grid step: bounded by the calendar, not by the number of updates.
     following = F.lead("_cut").over(Window.partitionBy(*level).orderBy("_cut"))
-    spans = last.withColumn("_next", following).where("_v.size > 0").join(end, list(key))
+    spans = lookup_join(last.withColumn("_next", following).where("size > 0"), end, key)
     until = F.coalesce(F.col("_next") - step, F.col("_end"))
-    live = spans.select(*level, "_v.*", F.explode(F.sequence("_cut", until, F.lit(step))).alias("_us"))
+    live = spans.select(*level, "size", "_epoch", F.explode(F.sequence("_cut", until, F.lit(step))).alias("_us"))
     if snapshots:
         live = _latest_epoch(live, rows, end, key, step)
     return live.select(*key, clock.from_micros(F.col("_us"), like).alias("ts"), "side", "price", "size")

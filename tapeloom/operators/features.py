@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.operators.bars import last_per_bin
 from tapeloom.operators.micro import order_flow_imbalance, signed_qty
-from tapeloom.plans.joins import asof_join, fill_forward, match_keys
+from tapeloom.plans.joins import asof_join, fill_forward, lookup_join, match_keys
 from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, TILE_ROWS, Tiles, full, tidy, tile
 
@@ -132,7 +132,7 @@ def micro_features(
     span = bars.groupBy(*key).agg(
         (F.min(clock.micros("ts")) - clock.DAY).alias("_lo"), (F.max(clock.micros("ts")) + clock.DAY).alias("_hi")
     )
-    near = trades.join(span, list(key)).where(clock.micros("ts").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    near = lookup_join(trades, span, key).where(clock.micros("ts").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     ofi = last_per_bin(order_flow_imbalance(near, ofi_window, key=key), "ofi", bar, key=key)
     sums = near.groupBy(*key, clock.floor_us(clock.micros("ts"), width).alias("_us")).agg(
         F.sum(signed_qty()).alias("signed_vol"), F.count("price").cast("double").alias("trade_count")
@@ -142,7 +142,7 @@ def micro_features(
     # A dense grid has a bin at every step, so "the bin before" is the same row one step later.
     moved = dense.withColumn("_us", clock.micros("ts") + F.lit(width))
     last_bin = bins.groupBy(*key).agg(F.max("_us").alias("_end"))
-    shifted = moved.join(last_bin, list(key)).where("_us <= _end").select(
+    shifted = lookup_join(moved, last_bin, key).where("_us <= _end").select(
         *key, clock.from_micros(F.col("_us"), like).alias("ts"), "ofi", "signed_vol", "trade_count"
     )
     return asof_join(bars.select(*key, "ts"), shifted, ["ofi", "signed_vol", "trade_count"], key=key)
@@ -239,7 +239,7 @@ def scale_split(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
     )
     unit = lambda c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
-    scaled = rows.join(moments, list(by)).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in columns})
+    scaled = lookup_join(rows, moments, by).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in columns})
     return scaled.drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
 

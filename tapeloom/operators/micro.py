@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
 from tapeloom.operators.bars import tick
-from tapeloom.plans.joins import asof_join
+from tapeloom.plans.joins import asof_join, lookup_join
 from tapeloom.plans.quantiles import exact_quantiles, values_at_ranks
 from tapeloom.plans.runs import next_row
 from tapeloom.plans.tiles import KEY, index_rows
@@ -108,7 +108,7 @@ def trade_size_distribution(trades: DataFrame, *, key: Sequence[str] = KEY) -> D
     cut = cut.select(*key, top.alias("_k"), F.col("value").alias("_cut"))
     log_excess = F.when(F.col("qty") > F.col("_cut"), F.ln(F.col("qty") / F.col("_cut")))
     tail = (
-        sizes.join(cut, list(key))
+        lookup_join(sizes, cut, key)
         .groupBy(*key, "_k")
         .agg(F.sum(log_excess).alias("_sum"))
         .select(*key, F.coalesce(maths.div("_k", "_sum"), F.lit(maths.INF)).alias("hill_alpha"))
@@ -158,7 +158,7 @@ def spread_histogram(spreads: DataFrame, width: float = 0.05, *, key: Sequence[s
     """Effective spread in basis points up to its 99.9 % quantile."""
     bps = spreads.where("effective_spread is not null").select(*key, (F.col("effective_spread") * 1e4).alias("bps"))
     top = exact_quantiles(bps, "bps", [0.999], ["_top"], key=key).drop("n")
-    return histogram(bps.join(top, list(key)).where("bps <= _top"), F.col("bps"), width, key=key)
+    return histogram(lookup_join(bps, top, key).where("bps <= _top"), F.col("bps"), width, key=key)
 
 
 def volume_histogram(bars: DataFrame, outliers: DataFrame, width: float, *, key: Sequence[str] = KEY) -> DataFrame:

@@ -22,6 +22,7 @@ from tapeloom.operators.backtest import BacktestConfig, Rolling, _extent, run_ba
 from tapeloom.operators.features import TARGETS, FeatureConfig, align, build_features, scale_split
 from tapeloom.operators.signals import predictions_to_positions
 from tapeloom.operators.stats import hit_rate, sharpe, total_return
+from tapeloom.plans.joins import lookup_join
 from tapeloom.plans.scan import carry_scan, running
 from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, index_rows
@@ -84,7 +85,8 @@ def ridge_regression(alpha: float = 1.0, **_) -> Model:
         terms = [F.lit(1.0), *[F.col(c) for c in columns], F.col("y")]
         grams = train.groupBy(*by).agg(_gram(terms).alias("_g"))
         fitted = grams.select(*by, _solver(len(columns), float(alpha))("_g").alias("_b"))
-        return rows.where("role = 'test'").join(fitted, list(by)).withColumn("pred", _linear(columns)).drop("_b")
+        test = rows.where("role = 'test'")
+        return lookup_join(test, fitted, by).withColumn("pred", _linear(columns)).drop("_b")
 
     return fit_predict
 
@@ -258,11 +260,11 @@ def fit_predict_walkforward(
     key = list(key)
     by = [*key, "window_id"]
     rows = training_rows(bars, target, config, key=key) if rows is None else rows
-    slices = window_slices(rows, rolling, key=key, inclusive=False, extent=_extent(bars, key))
+    slices = stage(window_slices(rows, rolling, key=key, inclusive=False, extent=_extent(bars, key)), "slices")
     train, test = (F.count_if(F.col("role") == r) for r in ("train", "test"))
     usable = slices.groupBy(*by).agg(train.alias("_a"), test.alias("_b"))
     usable = usable.where((F.col("_a") >= MIN_TRAIN_ROWS) & (F.col("_b") >= 1)).select(*by)
-    scaled = scale_split(slices.join(usable, by, "left_semi"), config.columns, by=by)
+    scaled = scale_split(lookup_join(slices, usable, by, "left_semi"), config.columns, by=by)
     out = model(scaled, config.columns, by, _model_kind(target))
     return out.select(*by, "ts", "pred", F.col("y").alias("actual"))
 
@@ -285,7 +287,7 @@ def ml_directional(
     rows = stage(index_rows(training_rows(bars, target, config, key=key), key), "rows")
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     split = F.greatest(F.lit(MIN_SPLIT), F.floor(F.lit(train_fraction) * F.col("_n")))
-    marked = rows.join(sizes.where(F.col("_n") >= 50), key).withColumn("role", F.when(F.col("rn") < split, "train").otherwise("test"))
+    marked = lookup_join(rows, sizes.where(F.col("_n") >= 50), key).withColumn("role", F.when(F.col("rn") < split, "train").otherwise("test"))
     scaled = scale_split(marked.drop("rn", "_n"), config.columns, by=key)
     preds = model(scaled, config.columns, key, _model_kind(target))
     position = predictions_to_positions("pred", target, direction_band=direction_band, return_band=return_band)

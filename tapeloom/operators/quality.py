@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
+from tapeloom.plans.joins import lookup_join
 from tapeloom.plans.scan import carry_scan, running
 from tapeloom.plans.tiles import KEY, TILE_ROWS, tile
 
@@ -58,7 +59,7 @@ def _with_gap(df: DataFrame, timeframe: str, tolerance: float) -> DataFrame:
 def duplicates(bars: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
     """All copies of bars that share a timestamp. Copies are counted map-side, then looked up."""
     twice = bars.groupBy(*key, "ts").agg(F.count("*").alias("copies")).where("copies > 1")
-    return bars.join(twice, [*key, "ts"])
+    return lookup_join(bars, twice, [*key, "ts"])
 
 
 def zero_volume(bars: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def stale_quotes(bars: DataFrame, *, min_run: int = STALE_RUN, key: Sequence[str
     flat = carry_scan(flat, key, "_tile", ("rn",), {"_k": running("sum", F.lit(1).cast("long"))})
     flat = flat.withColumn("_run", F.col("rn") - F.col("_k")).drop("_k", "_tile")
     runs = flat.groupBy(*key, "_run").agg(F.count("*").alias("run_length")).where(F.col("run_length") >= min_run)
-    return flat.join(runs, [*key, "_run"]).drop("_run").withColumn("reason", F.lit("stale_quote"))
+    return lookup_join(flat, runs, [*key, "_run"]).drop("_run").withColumn("reason", F.lit("stale_quote"))
 
 
 def findings(

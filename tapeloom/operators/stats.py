@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import maths
 from tapeloom.functions.maths import INF, col, div, norm_cdf, uniform
-from tapeloom.plans.joins import dense_grid
+from tapeloom.plans.joins import dense_grid, lookup_join
 from tapeloom.plans.scan import carry_scan, running
+from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, TILE_ROWS, tile
 
 
@@ -166,11 +167,11 @@ def bootstrap_indices(
         F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iter"),
     )
     steps = dense_grid(bounds, 1, key=by, block=block).withColumnRenamed("_us", "t")
-    steps = steps.join(sizes.select(*key, "n", length.alias("_len")), list(key))
+    steps = lookup_join(steps, sizes.select(*key, "n", length.alias("_len")), key)
     restart = (F.col("t") == 0) | (uniform(seed, F.lit("restart"), "iter", "t") < 1 / F.col("_len"))
     start = F.floor(uniform(seed, F.lit("start"), "iter", "t") * F.col("n")).cast("long")
     mark = F.when(restart, F.struct(F.col("t").alias("t"), start.alias("s")))
-    out = carry_scan(steps, by, "_from", ("t",), {"_at": running("last", mark)})
+    out = carry_scan(steps, by, "_from", ("t",), {"_at": running("last", mark, ("t", "s"))})
     return out.select(*by, "t", F.pmod(F.col("_at.s") + F.col("t") - F.col("_at.t"), F.col("n")).alias("idx"))
 
 
@@ -242,6 +243,7 @@ def newey_west_sharpe(
     )
     wanted = auto_nw_lag(F.col("n")) if lag is None else F.lit(lag)
     moments = moments.withColumn("lag", F.greatest(F.lit(1), F.least(wanted, F.col("n") - 2)).cast("long"))
+    moments = stage(moments, "moments")
     longest = moments.agg(F.max("lag")).first()[0] or 1
     t = tile(rows, key, before=longest, size=size)
     products = {f"_x{k}": t.lag("r", k) for k in range(1, longest + 1)}

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
+from tapeloom.functions.maths import tick_order
 from tapeloom.plans.scan import carry_scan, running
+from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, bucketed
 
 
@@ -40,12 +42,23 @@ def asof_join(
     rows = left.withColumns({"_us": clock.micros(left_ts), "_side": F.lit(1), "_tie": F.lit(0).cast("long")})
     both, coarse = bucketed(rows.unionByName(quotes, allowMissingColumns=True), F.col("_us"), bucket, group)
     out = carry_scan(
-        both, key, "_bucket", ("_us", "_side", "_tie"), {"_right": running("last", "_right")}, coarse=coarse
+        both, key, "_bucket", ("_us", "_side", "_tie"), {"_right": running("last", "_right", cols)}, coarse=coarse,
+        rank=tick_order(F.col("_us"), F.col("_tie")),
     )
     kept = [F.col(c) for c in left.columns if c not in cols]
     return out.where("_side = 1").select(*kept, *[F.col("_right")[c].alias(c) for c in cols])
 
 
+def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows with a table of one row per series, slice or value.
+
+    The table is written first, so the planner knows its true size: below Spark's broadcast
+    threshold the rows are not shuffled at all; above it the join shuffles, and adaptive execution
+    splits a key that holds too many rows.
+    """
+    return rows.join(stage(table, "lookup"), list(on), how)
+
+
 def match_keys(left: DataFrame, right: DataFrame, on: Sequence[str], what: str) -> DataFrame:
     """Inner join that fails at run time if either side has a key the other lacks."""
     a = left.withColumn("_l", F.lit(True))

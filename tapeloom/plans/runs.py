@@ -22,7 +22,8 @@ def next_row(df: DataFrame, key: Sequence[str], cols: Sequence[str], *, order: s
         ahead = F.lead(F.struct(*named)).over(w)
         return df.withColumn("_next", ahead).select(*df.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in cols])
     df = df.withColumn("_chunk", F.expr(f"{order} div {size}"))
-    heads = df.groupBy(*key, "_chunk").agg(F.min_by(F.struct(*named), F.col(order)).alias("_head"))
+    heads = df.groupBy(*key, "_chunk").agg(*[F.min_by(c, order).alias(f"_h_{c}") for c in cols])
+    heads = heads.select(*key, "_chunk", F.struct(*[F.col(f"_h_{c}").alias(c) for c in cols]).alias("_head"))
     following = Window.partitionBy(*key).orderBy("_chunk")
     heads = heads.select(*key, "_chunk", F.lead("_head").over(following).alias("_head"))
     w = Window.partitionBy(*key, "_chunk").orderBy(order)

@@ -16,12 +16,16 @@ _FIRST = Window.unboundedPreceding
 
 
 class Item:
-    """One scanned value: how to fold rows, and how to join the carry with the local fold."""
+    """One scanned value: how to fold rows, and how to join the carry with the local fold.
 
-    def __init__(self, kind: str, value: Column):
+    A struct value names its ``fields``. Its chunk total then keeps one buffer per field, which
+    stays a hash aggregate; a struct buffer would make Spark sort all rows before aggregating.
+    """
+
+    def __init__(self, kind: str, value: Column, fields: Sequence[str] = ()):
         if kind not in {"sum", "product", "max", "last"}:
             raise ValueError(f"unknown scan {kind!r}")
-        self.kind, self.value = kind, value
+        self.kind, self.value, self.fields = kind, value, tuple(fields)
 
     def over(self, window, value: Column) -> Column:
         if self.kind == "last":
@@ -30,7 +34,11 @@ class Item:
 
     def total(self, order: Column) -> Column:
         if self.kind == "last":
-            return F.max_by(self.value, F.when(self.value.isNotNull(), order))
+            seen = F.when(self.value.isNotNull(), order)
+            if not self.fields:
+                return F.max_by(self.value, seen)
+            latest = F.struct(*[F.max_by(self.value[f], seen).alias(f) for f in self.fields])
+            return F.when(F.count(seen) > 0, latest)
         return {"sum": F.sum, "product": F.product, "max": F.max}[self.kind](self.value)
 
     def join(self, carry: Column, local: Column) -> Column:
@@ -42,8 +50,8 @@ class Item:
         return F.coalesce(both, local, carry)
 
 
-def running(kind: str, value: Column | str) -> Item:
-    return Item(kind, F.col(value) if isinstance(value, str) else value)
+def running(kind: str, value: Column | str, fields: Sequence[str] = ()) -> Item:
+    return Item(kind, F.col(value) if isinstance(value, str) else value, fields)
 
 
 def carry_in(
@@ -61,7 +69,7 @@ def carry_in(
     before = Window.partitionBy(*key).orderBy(chunk).rowsBetween(_FIRST, -1)
     if coarse is None:
         return totals.select(*key, chunk, *[it.over(before, F.col(n)).alias(n) for n, it in items.items()])
-    upper = {n: Item(it.kind, F.col(n)) for n, it in items.items()}
+    upper = {n: Item(it.kind, F.col(n), it.fields) for n, it in items.items()}
     tops = totals.groupBy(*key, coarse).agg(*[it.total(F.col(chunk)).alias(n) for n, it in upper.items()])
     tops = carry_in(tops, key, coarse, upper)
     inner = Window.partitionBy(*key, coarse).orderBy(chunk).rowsBetween(_FIRST, -1)

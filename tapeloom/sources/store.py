@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
+from tapeloom.functions.maths import tick_order
+from tapeloom.plans.joins import lookup_join
 from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY
 
@@ -57,17 +59,16 @@ def load_symbol(spark: SparkSession, root: str, symbol: str) -> DataFrame:
 def stitch_pages(pages: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
     """Overlapping pages (page, pos, ts_ms, open, …) to bars; the first copy of a time wins."""
     values = ("open", "high", "low", "close", "volume")
-    first = F.min_by(F.struct(*values), F.struct("page", "pos")).alias("_v")
-    out = pages.groupBy(*key, "ts_ms").agg(first)
-    return out.select(*key, F.timestamp_millis("ts_ms").alias("ts"), *[F.col(f"_v.{v}").cast("double").alias(v) for v in values])
+    at = tick_order(F.col("page"), F.col("pos"))
+    out = pages.groupBy(*key, "ts_ms").agg(*[F.min_by(F.col(v).cast("double"), at).alias(v) for v in values])
+    return out.select(*key, F.timestamp_millis("ts_ms").alias("ts"), *values)
 
 
 def merge_bars(stored: DataFrame, fresh: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
     """Stored and fresh bars; at one time the fresh one wins. Copies collapse before the shuffle."""
     values = [c for c in stored.columns if c not in (*key, "ts")]
     both = stored.withColumn("_batch", F.lit(0)).unionByName(fresh.withColumn("_batch", F.lit(1)))
-    out = both.groupBy(*key, "ts").agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
-    return out.select(*key, "ts", *[F.col(f"_v.{v}").alias(v) for v in values])
+    return both.groupBy(*key, "ts").agg(*[F.max_by(v, "_batch").alias(v) for v in values])
 
 
 def keep_recent(bars: DataFrame, end: dt.datetime, days: int, timeframe: str) -> DataFrame:
@@ -102,7 +103,7 @@ def manifest(bars: DataFrame, timeframe: str, *, key: Sequence[str] = KEY) -> Da
 def trailing(df: DataFrame, days: int, *, key: Sequence[str] = KEY) -> DataFrame:
     """The last ``days`` of every series, counted from its own last row."""
     last = df.groupBy(*key).agg(F.max(clock.micros("ts")).alias("_last"))
-    return df.join(last, list(key)).where(clock.micros("ts") >= F.col("_last") - days * clock.DAY).drop("_last")
+    return lookup_join(df, last, key).where(clock.micros("ts") >= F.col("_last") - days * clock.DAY).drop("_last")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

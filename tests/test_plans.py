@@ -35,3 +35,14 @@ def test_bars_are_hash_aggregated(spark, sf):
     """min_by/max_by on a struct order would sort every trade before the partial aggregate."""
     text = plan(QUERIES["B1_time_bars"].run(spark, sf))
     assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_chunk_totals_are_hash_aggregated(spark, sf):
+    for name in ("B2_volume_bars", "C3_effective_spread", "D4_book_at", "G12_bootstrap_indices", "F2_trade_log"):
+        assert "SortAggregate" not in plan(QUERIES[name].run(spark, sf)), name
+
+
+def test_small_tables_are_broadcast_by_their_true_size(spark, sf):
+    """The rows of the big side are not shuffled by series."""
+    text = plan(QUERIES["A15_trailing"].run(spark, sf))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
