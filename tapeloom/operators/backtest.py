@@ -390,7 +390,7 @@ def ledger(
     fee = fee_bps / 1e4
     buy = F.col("side") == "buy"
     notional = F.col("price") * F.col("qty")
-    quoted = asof_join(fills, mids, [mid], key=key)
+    quoted = stage(asof_join(fills, mids, [mid], key=key), "quoted")
     moved = quoted.withColumns(
         {
             "_q": F.when(buy, F.col("qty")).otherwise(-F.col("qty")),

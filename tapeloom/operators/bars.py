@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.plans.joins import asof_join, fill_forward, lookup_join
 from tapeloom.plans.scan import carry_scan, running
+from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, bucketed, tidy, tile
 
 
@@ -109,8 +110,13 @@ def ofi_bars(trades: DataFrame, bar: str = "1min", ofi_window: str = "30s", *, k
     """Time bars with the order-flow imbalance as of each bar's left edge (0 when none yet)."""
     from tapeloom.operators.micro import order_flow_imbalance
 
+    # Only the last value in (edge - bar, edge] can be the one as of an edge.
+    edge = -clock.floor_us(-clock.micros("ts"), clock.duration_us(bar))
     flow = order_flow_imbalance(trades, ofi_window, key=key)
-    out = asof_join(time_bars(trades, bar, key=key), flow, ["ofi"], key=key)
+    flow = flow.groupBy(*key, edge.alias("_us")).agg(F.max_by("ofi", clock.micros("ts")).alias("ofi"))
+    flow = flow.select(*key, clock.from_micros(F.col("_us"), clock.ts_type(trades)).alias("ts"), "ofi")
+    bars = stage(time_bars(trades, bar, key=key), "bars")
+    out = asof_join(bars, stage(flow, "flow"), ["ofi"], key=key, bucket="1d")
     return out.withColumn("ofi", F.coalesce("ofi", F.lit(0.0)))
 
 

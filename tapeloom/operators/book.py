@@ -69,7 +69,7 @@ def replay_depth(
 
     Snapshots without a positive reference price or with a one-sided book are skipped.
     """
-    snapshots = depth.select(*key, "ts").distinct()
+    snapshots = stage(depth.select(*key, "ts").distinct(), "snapshots")
     mids = asof_join(snapshots, reference, [price], key=key, bucket=bucket).where(F.col(price) > 0)
     priced = depth.join(mids.withColumnRenamed(price, "mid"), [*key, "ts"])
     return best_quotes(depth_levels(priced, key=key), [*key, "ts"])

@@ -137,7 +137,7 @@ def micro_features(
     sums = near.groupBy(*key, clock.floor_us(clock.micros("ts"), width).alias("_us")).agg(
         F.sum(signed_qty()).alias("signed_vol"), F.count("price").cast("double").alias("trade_count")
     )
-    bins = stage(sums.join(ofi, [*key, "_us"], "left"), "bins")
+    bins = stage(sums.join(ofi, [*key, "_us"], "left"), "micro")
     dense = fill_forward(bins, width, ["ofi"], key=key, zero=["signed_vol", "trade_count"], like=like)
     # A dense grid has a bin at every step, so "the bin before" is the same row one step later.
     moved = dense.withColumn("_us", clock.micros("ts") + F.lit(width))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.operators.bars import tick
 from tapeloom.plans.joins import asof_join, lookup_join
-from tapeloom.plans.quantiles import exact_quantiles, values_at_ranks
+from tapeloom.plans.quantiles import exact_quantiles
 from tapeloom.plans.runs import next_row
+from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, index_rows
 
 
@@ -58,7 +59,7 @@ def order_flow_imbalance(trades: DataFrame, window: str = "10s", *, key: Sequenc
 
 def effective_spread(trades: DataFrame, mid: DataFrame, *, key: Sequence[str] = KEY, tie: str | None = None) -> DataFrame:
     """2 |price - mid| / mid with the mid as of each trade."""
-    out = asof_join(trades, mid, ["mid"], key=key, tie=tie)
+    out = asof_join(trades, stage(mid, "mid"), ["mid"], key=key, tie=tie)
     return out.withColumn("effective_spread", maths.div(2 * F.abs(F.col("price") - F.col("mid")), F.col("mid")))
 
 
@@ -75,7 +76,7 @@ def impact_rows(trades: DataFrame, bar: str = "1min", *, key: Sequence[str] = KE
     flow = trades.groupBy(*key, clock.floor_us(clock.micros("ts"), width).alias("_us")).agg(
         F.sum(signed_qty()).alias("signed_vol"), F.max_by("price", tick()).alias("close")
     )
-    flow = flow.withColumn("ts", clock.from_micros(F.col("_us"), like))
+    flow = stage(flow.withColumn("ts", clock.from_micros(F.col("_us"), like)), "flow")
     ahead = next_row(index_rows(flow, key), key, ["ts", "signed_vol", "close"])
     return ahead.where("next_ts is not null").select(
         *key,
@@ -102,13 +103,14 @@ def trade_size_distribution(trades: DataFrame, *, key: Sequence[str] = KEY) -> D
     """
     sizes = trades.where("qty > 0").select(*key, "qty")
     names = ["p50", "p90", "p99", "p999"]
-    base = exact_quantiles(sizes, "qty", [0.5, 0.9, 0.99, 0.999], names, key=key)
     top = F.greatest(F.lit(20), F.floor(F.lit(0.05) * F.col("n")))
-    cut = values_at_ranks(sizes, "qty", F.array(F.greatest(F.lit(0), F.col("n") - top)), key=key)
-    cut = cut.select(*key, top.alias("_k"), F.col("value").alias("_cut"))
+    kth = F.greatest(F.lit(0), F.col("n") - top)
+    base = exact_quantiles(sizes, "qty", [0.5, 0.9, 0.99, 0.999], names, key=key, at={"_cut": kth})
+    base = stage(base.withColumn("_k", top), "sizes")
+    cut = base.select(*key, "_k", "_cut")
     log_excess = F.when(F.col("qty") > F.col("_cut"), F.ln(F.col("qty") / F.col("_cut")))
     tail = (
-        lookup_join(sizes, cut, key)
+        sizes.join(cut, list(key))
         .groupBy(*key, "_k")
         .agg(F.sum(log_excess).alias("_sum"))
         .select(*key, F.coalesce(maths.div("_k", "_sum"), F.lit(maths.INF)).alias("hill_alpha"))
@@ -157,6 +159,7 @@ def trade_size_histogram(trades: DataFrame, width: float = 0.001, *, key: Sequen
 def spread_histogram(spreads: DataFrame, width: float = 0.05, *, key: Sequence[str] = KEY) -> DataFrame:
     """Effective spread in basis points up to its 99.9 % quantile."""
     bps = spreads.where("effective_spread is not null").select(*key, (F.col("effective_spread") * 1e4).alias("bps"))
+    bps = stage(bps, "bps")
     top = exact_quantiles(bps, "bps", [0.999], ["_top"], key=key).drop("n")
     return histogram(lookup_join(bps, top, key).where("bps <= _top"), F.col("bps"), width, key=key)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.plans.joins import lookup_join
 from tapeloom.plans.scan import carry_scan, running
+from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, TILE_ROWS, tile
 
 # Check names, outlier window and threshold, stale run length, severity limit.
@@ -186,7 +187,7 @@ def severity(counts: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
 
 def report(bars: DataFrame, found: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
     """One row per series: total rows, findings, severity and a column per check."""
-    counts = summary(found, bars, key=key)
+    counts = stage(summary(found, bars, key=key), "counts")
     wide = counts.groupBy(*key).agg(
         *[F.sum(F.when(F.col("check") == c, F.col("rows_flagged")).otherwise(0)).alias(c) for c in CHECKS]
     )

@@ -105,8 +105,11 @@ def summarize(
 ) -> DataFrame:
     """All metrics of a backtest, one row per key. ``trades`` may be None."""
     key = list(key)
-    t = tile(result, key, before=1, size=size)
-    moved = t.core(t.df.withColumn("_d", F.abs(F.col("position") - t.lag("position"))))
+    if "prev_position" in result.columns:
+        moved = result.withColumn("_d", F.abs(F.col("position") - F.col("prev_position")))
+    else:
+        t = tile(result, key, before=1, size=size)
+        moved = t.core(t.df.withColumn("_d", F.abs(F.col("position") - t.lag("position"))))
     n = F.count("*")
     per_year = F.lit(float(bars_per_year))
     out = moved.groupBy(*key).agg(
@@ -139,8 +142,12 @@ def auto_block_size(n: Column) -> Column:
 
 def _numbered(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
     """The non-NULL values numbered from 0 in series order."""
-    rows = df.where(F.col(value).isNotNull()).select(*key, "ts", F.col(value).alias("r"))
-    return tile(rows, key).df.select(*key, "rn", "r")
+    return tile(_returns(df, value, key), key).df.select(*key, "rn", "r")
+
+
+def _returns(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
+    """The one column that a statistic reads several times, written once."""
+    return stage(df.where(F.col(value).isNotNull()).select(*key, "ts", F.col(value).alias("r")), "returns")
 
 
 def bootstrap_indices(
@@ -237,7 +244,7 @@ def newey_west_sharpe(
     longest lag; that lag is a single number read from the series lengths.
     """
     key = list(key)
-    rows = df.where(F.col(value).isNotNull()).select(*key, "ts", F.col(value).alias("r"))
+    rows = _returns(df, value, key)
     moments = rows.groupBy(*key).agg(
         F.count("*").alias("n"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.var_pop("r").alias("g0")
     )

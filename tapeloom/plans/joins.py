@@ -92,7 +92,11 @@ def fill_forward(
     like: str = "timestamp",
     blocks: int = 4096,
 ) -> DataFrame:
-    """Dense series from sparse bins (key, _us, ...): ``cols`` filled forward, ``zero`` set to 0."""
+    """Dense series from sparse bins (key, _us, ...): ``cols`` filled forward, ``zero`` set to 0.
+
+    The bins are written first: their bounds, the filled grid and its block totals all read them.
+    """
+    sparse = stage(sparse, "bins")
     bounds = sparse.groupBy(*key).agg(F.min("_us").alias("lo"), F.max("_us").alias("hi"))
     grid = dense_grid(bounds, step_us, key=key, block=blocks).join(sparse, [*key, "_us"], "left")
     out = carry_scan(grid, key, "_from", ("_us",), {c: running("last", c) for c in cols})

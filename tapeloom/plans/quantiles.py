@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,15 +49,24 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Column, *, key: Sequence[s
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], *, key: Sequence[str] = KEY
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    *,
+    key: Sequence[str] = KEY,
+    at: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles of a non-negative column: one row (key, n, *names) per key."""
+    """Linear-interpolated quantiles of a non-negative column: one row (key, n, *names) per key.
+
+    ``at`` names further columns for the values at given 0-based ranks (columns over ``n``).
+    """
+    extra = dict(at or {})
     places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     ranks = F.array_distinct(
-        F.concat(*[F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")) for h in places])
+        F.concat(*[F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")) for h in [*places, *extra.values()]])
     )
-    at = values_at_ranks(df, value, ranks, key=key)
-    table = at.groupBy(*key, "n").agg(
+    table = values_at_ranks(df, value, ranks, key=key).groupBy(*key, "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at")  # at most 2 per quantile
     )
 
@@ -66,4 +75,5 @@ def exact_quantiles(
         high = F.col("_at")[F.ceil(h).cast("long")]
         return low + (high - low) * (h - F.floor(h))
 
-    return table.select(*key, "n", *[interpolate(h).alias(c) for h, c in zip(places, names)])
+    columns = {**dict(zip(names, places)), **extra}
+    return table.select(*key, "n", *[interpolate(h).alias(c) for c, h in columns.items()])
