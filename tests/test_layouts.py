@@ -175,3 +175,16 @@ def test_lttb_equals_the_direct_walk(spark):
             picked.append(s + int(np.argmax(area)))
         want = [f.times(500)[i] for i in [*picked, 499]]
         assert [t.to_pydatetime() for t in got["ts"]] == want
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark, two):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            bt = K.run_backtest(S.ma_crossover(two, 3, 9, size=50), size=50)
+            seen.append(bt.select("symbol", "ts", "equity").orderBy("symbol", "ts").toPandas())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0].equals(seen[1]) and seen[0].equals(seen[2])
