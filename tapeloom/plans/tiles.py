@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock
 from tapeloom.plans.scan import carry_scan, running
 
-TILE_ROWS = 250_000
+TILE_ROWS = 50_000
 KEY = ("symbol",)
 
 
