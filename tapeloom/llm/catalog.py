@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import hostrules, htmltext, langid, packing, pieces, topk, urlfilter, warc
+from tapeloom.llm import hostrules, htmltext, jaccard, langid, packing, pieces, topk, urlfilter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -55,6 +55,10 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(_table(spark, folder, "pages").select("page_id", "html")).select("page_id", "text")
 
@@ -65,7 +69,17 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_warc, op3_url_filters, op4_packing, op5_quality_rules, op6_language_id, op7_sentencepiece, op9_html_extraction, op10_exact_top_k)
+    for f in (
+        op2_warc,
+        op3_url_filters,
+        op4_packing,
+        op5_quality_rules,
+        op6_language_id,
+        op7_sentencepiece,
+        op8_jaccard_join,
+        op9_html_extraction,
+        op10_exact_top_k,
+    )
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -116,6 +130,18 @@ bad AS (SELECT DISTINCT source FROM l JOIN b USING (rule) WHERE (fails + mean *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept
 FROM f""",
+    "op8_jaccard_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
+t AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * shared >= 75 * (i.n_shingles + j.n_shingles - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, n_shingles, component_id FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) ON x = doc_id""",
     "op10_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0
