@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import hostrules, htmltext, jaccard, langid, packing, pieces, topk, urlfilter, warc
+from tapeloom.llm import hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixdedup.digests(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     records, payloads = warc.write_archive(_table(spark, folder, "pages"))
     archive = warc.read_archive(records, payloads)
@@ -70,6 +74,7 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_warc,
         op3_url_filters,
         op4_packing,

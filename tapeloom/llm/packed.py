@@ -65,3 +65,17 @@ def compressed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def plain_text(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
+
+
+def pack_all(arrays: list[np.ndarray]) -> bytes:
+    parts = [pack(a) for a in arrays]
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
+
+
+def unpack_all(data: bytes, dtypes: list) -> list[np.ndarray]:
+    at = 4 * len(dtypes)
+    out = []
+    for size, dtype in zip(np.frombuffer(data[:at], np.uint32).tolist(), dtypes):
+        out.append(unpack(data[at : at + size], dtype))
+        at += size
+    return out
