@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -394,3 +394,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = known.join(joined_, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id"))
     return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each class: that of the smallest id (of rows that share it, the one whose text has the smallest hash).
+
+    Rows without id stay, and so do those without words. Other columns stay.
+    """
+    found = near_duplicates(docs, doc_id, text, size, percent)
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_rep")).distinct()
+    kept = docs.join(chosen, F.col(doc_id) == F.col("_rep"), "left_semi")
+    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    one = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return one.unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)
