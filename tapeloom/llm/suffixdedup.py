@@ -144,10 +144,15 @@ def marks(source: DataFrame, length: int, most_contexts: int) -> DataFrame:
                 # A context that an earlier place of the slice has is settled here.
                 with np.errstate(over="ignore"):
                     both = mixed(g ^ (c * _FACTORS[0]))
-                by_both = np.argsort(both, kind="stable")
-                again = np.zeros(len(a), bool)
-                again[by_both[1:]] = both[by_both[1:]] == both[by_both[:-1]]
                 ids = np.asarray(part.column("doc_id"))
+                owner = ids[doc]
+                # Places stand by document and offset already, unless rows share an id.
+                by_both = np.argsort(both, kind="stable") if (np.diff(ids) > 0).all() else np.lexsort((offset, owner, both))
+                new = np.ones(len(a), bool)
+                new[1:] = both[by_both[1:]] != both[by_both[:-1]]
+                head = by_both[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(a) else by_both
+                again = np.zeros(len(a), bool)
+                again[by_both] = (owner[by_both] != owner[head]) | (offset[by_both] != offset[head])
                 local = pack_all([doc[again].astype(np.uint32), offset[again]])
                 rows = [(number % buckets, number, pack_all([ids, np.asarray(part.column("tag"))]), local, None, None)]
                 keep = np.flatnonzero(~again)
