@@ -101,7 +101,7 @@ def top_k(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     scale: int = 1024,
-    shard: int = 2048,
+    shard: int = 8192,
     block: int = 1024,
     levels: int = 8,
 ) -> DataFrame:
