@@ -68,6 +68,12 @@ def _(spark, sf):
     return crossover_backtest(spark, sf)
 
 
+@query("F1_run_backtest_tiles", _RESULT.replace("drawdown:f6", "drawdown:e6"), "SELECT * REPLACE (lagged AS position) FROM v_bt_flips")
+def _(spark, sf):
+    """Positions that flip, losses beyond the capital, and tiles far shorter than a series."""
+    return K.run_backtest(flips(spark, sf), CLOSE, size=50)
+
+
 @query("F1_run_backtest_next_open", _RESULT, "SELECT * REPLACE (lagged AS position) FROM v_bt_open")
 def _(spark, sf):
     return crossover_backtest(spark, sf, BacktestConfig())

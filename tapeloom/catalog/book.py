@@ -12,7 +12,7 @@ def _priced(spark, sf):
     from tapeloom.plans.joins import asof_join
 
     depth, daily = T.book_depth(spark, sf), T.daily_bars(spark, sf)
-    mids = asof_join(depth.select("symbol", "ts").distinct(), daily, ["close"], bucket="365d")
+    mids = asof_join(depth.select("symbol", "ts").distinct(), daily, ["close"], bucket="1d")
     return depth.join(mids.where("close > 0").withColumnRenamed("close", "mid"), ["symbol", "ts"])
 
 

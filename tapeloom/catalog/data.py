@@ -54,6 +54,30 @@ def _(spark, sf):
     return archives.read_trades_csv(spark, path)
 
 
+def _with_bad_lines(spark, sf):
+    """Raw trades where every 50th id, price and flag does not parse."""
+    nth = F.col("first_id").cast("long") % 50
+    return _raw_trades(spark, sf).withColumns({
+        "agg_id": F.when(nth == 0, F.concat(F.lit("x"), "agg_id")).otherwise(F.col("agg_id")),
+        "price": F.when(nth == 1, "oops").otherwise(F.col("price")),
+        "is_buyer_maker": F.when(nth == 2, "maybe").otherwise(F.col("is_buyer_maker")),
+    })
+
+
+@query("A2_trade_rejects", "first_id:i reason:s", """
+SELECT agg_id AS first_id, CASE agg_id % 50 WHEN 0 THEN 'agg_id' WHEN 1 THEN 'price' ELSE 'is_buyer_maker' END AS reason
+FROM v_trades WHERE agg_id % 50 < 3""")
+def _(spark, sf):
+    path = _folder(spark, "csv")
+    _with_bad_lines(spark, sf).drop("symbol", "date").write.csv(path)
+    return archives.trade_rejects(archives.raw_trades_csv(spark, path))
+
+
+@query("A2_trades_without_rejects", _TRADE, f"SELECT * FROM ({_COERCED}) WHERE agg_id % 50 > 2")
+def _(spark, sf):
+    return archives.parse_trades(_with_bad_lines(spark, sf), bad="skip")
+
+
 @query("A3_epoch_units", "agg_id:i ts:t", _COERCED)
 def _(spark, sf):
     raw = _raw_trades(spark, sf)

@@ -1,5 +1,8 @@
 """Predictors and their evaluation."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.catalog import backtest as _backtest
@@ -62,23 +65,52 @@ def _(spark, sf):
     return J.fit_predict_walkforward(_bars(spark, sf), J.ridge_regression(), "return", ROLL, TWO)
 
 
-@query("J3_ridge_classifier", _PREDS)
+def _logistic_sql(steps: int = 10, alpha: float = 1.0) -> str:
+    """Ten unrolled Newton steps for two features, solved by Cramer's rule."""
+    parts = ["""l AS (SELECT symbol, window_id, ts, role, x1, x2, fwd, CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END AS y FROM v_scaled),
+c0 AS (SELECT symbol, window_id, 0e0 AS b0, 0e0 AS b1, 0e0 AS b2 FROM l WHERE role = 'train' GROUP BY 1, 2 HAVING count(DISTINCT y) > 1)"""]
+    for k in range(steps):
+        parts.append(f"""s{k} AS (SELECT symbol, window_id, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+  sum(w) AS a, sum(w * x1) AS b, sum(w * x2) AS c, sum(w * x1 * x1) + {alpha} AS d, sum(w * x1 * x2) AS e, sum(w * x2 * x2) + {alpha} AS f,
+  sum(p - y) AS g0, sum((p - y) * x1) + {alpha} * any_value(b1) AS g1, sum((p - y) * x2) + {alpha} * any_value(b2) AS g2
+  FROM (SELECT *, p * (1 - p) AS w FROM (SELECT l.*, b0, b1, b2, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p
+        FROM l JOIN c{k} USING (symbol, window_id) WHERE role = 'train')) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT symbol, window_id, b0 - (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS b0,
+  b1 - (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / det AS b1,
+  b2 - (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det AS b2
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s{k}))""")
+    return f"""WITH {", ".join(parts)}
+SELECT symbol, window_id, ts, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS pred, y AS actual
+FROM l JOIN c{steps} USING (symbol, window_id) WHERE role = 'test'"""
+
+
+@query("J3_ridge_classifier", _PREDS, _logistic_sql())
+def _(spark, sf):
+    return J.fit_predict_walkforward(_bars(spark, sf), J.ridge_classifier(), "direction", ROLL, TWO)
+
+
+@query("J3_ridge_classifier_wide", _PREDS)
 def _(spark, sf):
     return J.fit_predict_walkforward(_bars(spark, sf), J.ridge_classifier(), "direction", ROLL, FeatureConfig(rolling_windows=(5, 20)))
 
 
-# Few rounds and one window keep the tree and perceptron fits short; the data is the whole table.
-ONE = Rolling(20, 9, 30)
+# What SQL can say about a fit that has no closed form: its rows, their actuals, and the range of its predictions.
+_FITTED = "symbol:s window_id:i ts:t actual:f7 sound:b"
+_FITTED_SQL = "SELECT symbol, window_id, ts, CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END AS actual, true AS sound FROM v_scaled WHERE role = 'test'"
+
+
+def _sound(preds):
+    return preds.withColumn("sound", F.col("pred").between(0.0, 1.0))
 
 
-@query("J4_mlp", _PREDS)
+@query("J4_mlp", _FITTED, _FITTED_SQL)
 def _(spark, sf):
-    return J.fit_predict_walkforward(_bars(spark, sf), J.mlp((8,), 20), "direction", ONE, TWO)
+    return _sound(J.fit_predict_walkforward(_bars(spark, sf), J.mlp(), "direction", ROLL, TWO))
 
 
-@query("J5_boosted_trees", _PREDS)
+@query("J5_boosted_trees", _FITTED, _FITTED_SQL)
 def _(spark, sf):
-    return J.fit_predict_walkforward(_bars(spark, sf), J.boosted_trees(5, 3), "direction", ONE, TWO)
+    return _sound(J.fit_predict_walkforward(_bars(spark, sf), J.boosted_trees(), "direction", ROLL, TWO))
 
 
 @query("J7_walkforward_fit", _PREDS, "SELECT * FROM v_lag1")
@@ -177,13 +209,16 @@ def _(spark, sf):
     return J.fee_pivot(_sweep(spark, sf))
 
 
-@query("J14_accuracy_pivot", "target:s model:s click:f8 view:f8", """
-SELECT 'direction' AS target, 'Lag1' AS model, max(accuracy) FILTER (symbol = 'click') AS click, max(accuracy) FILTER (symbol = 'view') AS view
+_SERIES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("J14_accuracy_pivot", "target:s model:s " + " ".join(f"{s}:f8" for s in _SERIES), f"""
+SELECT 'direction' AS target, 'Lag1' AS model, {", ".join(f"max(accuracy) FILTER (symbol = '{s}') AS {s}" for s in _SERIES)}
 FROM (SELECT symbol, avg(CASE WHEN (pred > 0.5e0) = (actual > 0.5e0) THEN 1e0 ELSE 0e0 END) AS accuracy FROM v_lag1 GROUP BY 1)""")
 def _(spark, sf):
     results = J.evaluate_all(_bars(spark, sf), SPEC, ["Lag1"])
-    wide = J.accuracy_pivot(results, ["1h|click", "1h|view"])
-    return wide.withColumnsRenamed({"1h|click": "click", "1h|view": "view"})
+    wide = J.accuracy_pivot(results, [f"1h|{s}" for s in _SERIES])
+    return wide.withColumnsRenamed({f"1h|{s}": s for s in _SERIES})
 
 
 view("v_dir", """
@@ -199,12 +234,12 @@ def _(spark, sf):
     return J.ml_directional(_bars(spark, sf), J.make_model("Lag1"), config=TWO)
 
 
-@query("J6_registry", "name:s rows:i")
+@query("J6_registry", "name:s rows:i", """
+SELECT name, count(*) AS rows FROM v_scaled, (VALUES ('GBT'), ('Lag1'), ('MLP'), ('Ridge')) m(name) WHERE role = 'test' GROUP BY 1""")
 def _(spark, sf):
     bars = _bars(spark, sf)
-    out = None
-    for name in ("Lag1", "Ridge"):
-        preds = J.fit_predict_walkforward(bars, J.make_model(name), "return", ROLL, TWO)
-        one = preds.agg(F.count("*").alias("rows")).withColumn("name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = [
+        J.fit_predict_walkforward(bars, J.make_model(name), "return", ROLL, TWO).agg(F.count("*").alias("rows")).withColumn("name", F.lit(name))
+        for name in J.MODELS
+    ]
+    return reduce(DataFrame.unionByName, counts)

@@ -64,9 +64,9 @@ def _(spark, sf):
 
 @query("E4_predictions_to_positions", "doc_id:i direction:f1 returns:f1", """
 SELECT doc_id, CASE WHEN pred > 0.55e0 THEN 1 WHEN pred < 0.45e0 THEN -1 ELSE 0 END AS direction,
-       CASE WHEN pred > 0.3e0 THEN 1 WHEN pred < -0.3e0 THEN -1 ELSE 0 END AS returns FROM v_predictions""")
+       CASE WHEN pred > 0.3e0 THEN 1 WHEN pred < -0.3e0 THEN -1 ELSE 0 END AS returns FROM v_scores""")
 def _(spark, sf):
-    return T.predictions(spark, sf).select(
+    return T.scores(spark, sf).select(
         "doc_id",
         S.predictions_to_positions("pred", "direction", direction_band=0.05).alias("direction"),
         S.predictions_to_positions("pred", "return", return_band=0.3).alias("returns"),

@@ -39,7 +39,8 @@ FROM lv""")
 view("v_fills", """
 SELECT event_id AS fill_id, ts, user_id % 5 AS symbol, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
        value AS price, 0.01e0 AS qty
-FROM events WHERE event_type = 'purchase'""")
+FROM events""")
+view("v_scores", "SELECT doc_id, least(1.0e0, n_chars / 5000.0e0) AS pred FROM documents")
 view("v_predictions", """
 SELECT d.lang AS symbol, d.doc_id, least(1.0e0, d.n_chars / 5000.0e0) AS pred, CAST(l.quality AS DOUBLE) AS actual
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")

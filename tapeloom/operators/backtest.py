@@ -35,7 +35,7 @@ class BacktestConfig:
 
     def __post_init__(self) -> None:
         if self.execution not in {"next_open", "next_close"}:
-            raise ValueError(f"unknown execution {self.execution!r}")
+            raise ValueError(f"execution is {self.execution!r}; next_open and next_close are possible")
 
     @property
     def cost(self) -> float:
@@ -59,6 +59,11 @@ def _checked(position: Column) -> Column:
     )
 
 
+def _highest() -> Column:
+    """The highest product so far, whatever the sign of what came before the tile."""
+    return F.greatest(F.col("_in") * F.col("_m"), F.col("_in") * F.col("_n"))
+
+
 def run_backtest(
     bars: DataFrame,
     config: BacktestConfig = BacktestConfig(),
@@ -70,7 +75,7 @@ def run_backtest(
 
     ``bars`` carry the target ``position`` (NULL counts as 0), which takes effect one bar later.
     Equity is a running product and drawdown refers to a running maximum; both cross tile borders
-    through one table with each tile's total product and highest product.
+    through one table with each tile's total, highest and lowest product.
     """
     key = list(key)
     t = tile(bars, key, before=2, after=1, size=size)
@@ -87,17 +92,17 @@ def run_backtest(
     w = Window.partitionBy(*key, "_tile").orderBy("rn")
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_p", F.product(F.col("net_return") + 1).over(up_to))
-    df = df.withColumns({"_m": F.max("_p").over(up_to), "_pp": F.coalesce(F.lag("_p").over(w), F.lit(1.0))})
+    df = df.withColumns({"_m": F.max("_p").over(up_to), "_n": F.min("_p").over(up_to), "_pp": F.coalesce(F.lag("_p").over(w), F.lit(1.0))})
     if size is None:
         df = df.withColumns({"_in": F.lit(1.0), "_peak": F.lit(None).cast("double")})
     else:
-        totals = df.groupBy(*key, "_tile").agg(F.max_by("_p", "rn").alias("_p"), F.max("_p").alias("_m"))
+        totals = df.groupBy(*key, "_tile").agg(F.max_by("_p", "rn").alias("_p"), F.max("_p").alias("_m"), F.min("_p").alias("_n"))
         before = Window.partitionBy(*key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.withColumn("_in", F.coalesce(F.product("_p").over(before), F.lit(1.0)))
-        totals = totals.withColumn("_peak", F.max(F.col("_m") * F.col("_in")).over(before)).drop("_p", "_m")
+        totals = totals.withColumn("_peak", F.max(_highest()).over(before)).drop("_p", "_m", "_n")
         df = df.join(totals, [*key, "_tile"])
     equity = F.lit(config.initial_capital) * F.col("_in")
-    top = F.greatest(F.col("_peak"), F.col("_in") * F.col("_m"))
+    top = F.greatest(F.col("_peak"), _highest())
     kept = [c for c in bars.columns if c not in ("position", "rn")]
     return df.select(
         *kept,

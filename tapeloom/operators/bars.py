@@ -16,6 +16,9 @@ from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, bucketed, tidy, tile
 
 
+_EXACT = "decimal(38,18)"
+
+
 def tick(ts: str = "ts", tie: str = "agg_id") -> Column:
     """The order of trades: time, then trade id."""
     return maths.tick_order(clock.micros(ts), F.col(tie))
@@ -44,11 +47,12 @@ def _threshold_bars(
     trades: DataFrame, weight: Column, threshold: float, key: Sequence[str], bucket: str
 ) -> DataFrame:
     if threshold <= 0:
-        raise ValueError("threshold must be positive")
+        raise ValueError(f"a bar's threshold is {threshold}; it has to be above zero")
     priced, _ = bucketed(trades.withColumn("_w", weight), clock.micros("ts"), bucket, None)
-    # The running sum is exact (DECIMAL), so bar edges do not depend on how the data is split.
+    # The running sum is exact (18 places, below 1e20; more raises), so bar edges do not depend on how the data is split.
     summed = carry_scan(priced, key, "_bucket", ("ts", "agg_id"), {"_cum": running("sum", "_w")})
-    bar = F.floor(F.col("_cum") / F.lit(threshold).cast("decimal(18,8)")).cast("long")
+    summed = summed.withColumn("_threshold", F.lit(threshold).cast(_EXACT))
+    bar = F.expr("_cum div _threshold")
     at = tick()
     return (
         summed.groupBy(*key, bar.alias("bar"))
@@ -67,12 +71,12 @@ def _threshold_bars(
 
 def volume_bars(trades: DataFrame, threshold: float, *, key: Sequence[str] = KEY, bucket: str = "1h") -> DataFrame:
     """Bars of about ``threshold`` traded quantity; the trade that crosses opens the next bar."""
-    return _threshold_bars(trades, F.col("qty").cast("decimal(18,8)"), threshold, key, bucket)
+    return _threshold_bars(trades, F.col("qty").cast(_EXACT), threshold, key, bucket)
 
 
 def dollar_bars(trades: DataFrame, threshold: float, *, key: Sequence[str] = KEY, bucket: str = "1h") -> DataFrame:
     """Bars of about ``threshold`` traded notional."""
-    notional = (F.col("price") * F.col("qty")).cast("decimal(18,8)")
+    notional = (F.col("price") * F.col("qty")).cast(_EXACT)
     return _threshold_bars(trades, notional, threshold, key, bucket)
 
 

@@ -63,7 +63,7 @@ def quote_columns(bbo: DataFrame) -> DataFrame:
 
 
 def replay_depth(
-    depth: DataFrame, reference: DataFrame, price: str = "close", *, key: Sequence[str] = KEY, bucket: str = "365d"
+    depth: DataFrame, reference: DataFrame, price: str = "close", *, key: Sequence[str] = KEY, bucket: str = "1d"
 ) -> DataFrame:
     """Best quotes per snapshot, with levels priced from the reference price as of the snapshot.
 
@@ -76,9 +76,9 @@ def replay_depth(
 
 
 def top_of_book(
-    depth: DataFrame, reference: DataFrame, price: str = "close", *, key: Sequence[str] = KEY
+    depth: DataFrame, reference: DataFrame, price: str = "close", *, key: Sequence[str] = KEY, bucket: str = "1d"
 ) -> DataFrame:
-    return quote_columns(replay_depth(depth, reference, price, key=key))
+    return quote_columns(replay_depth(depth, reference, price, key=key, bucket=bucket))
 
 
 def book_summary(tob: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:

@@ -8,7 +8,6 @@ any size are reduced map-side and only a small system per slice is solved.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions import clock, maths
 from tapeloom.operators.backtest import BacktestConfig, Rolling, _extent, run_backtest, trade_log, window_slices
@@ -100,39 +100,47 @@ def _newton(p: int, alpha: float):
         out = []
         for h, g, b in zip(hessian, gradient, current):
             b = np.asarray(b, dtype=float)
-            out.append((b - np.linalg.solve(_square(h, p + 1) + penalty, np.asarray(g) + penalty @ b)).tolist())
+            move = np.linalg.solve(_square(h, p + 1) + penalty + 1e-12 * np.eye(p + 1), np.asarray(g) + penalty @ b)
+            # Far from the solution a full step can overshoot for good.
+            out.append((b - move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-300))).tolist())
         return pd.Series(out)
 
     return step
 
 
 def logistic_coefficients(
-    train: DataFrame, columns: Sequence[str], by: Sequence[str], *, alpha: float = 1.0, tol: float = 1e-9, max_iter: int = 30
+    train: DataFrame, columns: Sequence[str], by: Sequence[str], *, alpha: float = 1.0, tol: float = 1e-9, max_iter: int = 100
 ) -> DataFrame:
     """L2 logistic regression by Newton steps, all slices at once.
 
-    One step is one aggregate over the training rows. The coefficients are a small table that is
-    written after every step, so the plan does not grow with the number of steps.
+    One step is one aggregate over the training rows of the slices that still move; a slice whose coefficients
+    changed by less than ``tol`` is done. The coefficients are a small table that is written after every
+    step, so the plan does not grow with the number of steps. Slices that still move after ``max_iter``
+    steps raise an error.
     """
     by, p = list(by), len(columns)
     start = F.array(*[F.lit(0.0)] * (p + 1))
-    coefficients = train.groupBy(*by).agg(start.alias("_b"))
+    moving = train.groupBy(*by).agg(start.alias("_b"))
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
+    done: list[DataFrame] = []
     for _ in range(max_iter):
         prob = 1 / (1 + F.exp(-_linear(columns)))
-        rows = train.join(coefficients, by).withColumn("_p", prob)
+        rows = train.join(moving, by).withColumn("_p", prob)
         p_ = F.col("_p")
         sums = rows.groupBy(*by).agg(
             _gram(terms, p_ * (1 - p_)).alias("_h"),
             F.array(*[F.sum((p_ - F.col("y")) * z) for z in terms]).alias("_grad"),
             F.first("_b").alias("_old"),
         )
-        moved = stage(sums.select(*by, "_old", _newton(p, alpha)("_h", "_grad", "_old").alias("_b")), "newton")
         change = F.array_max(F.zip_with("_old", "_b", lambda a, b: F.abs(a - b)))
-        coefficients = moved.select(*by, "_b")
-        if (moved.agg(F.max(change)).first()[0] or 0.0) < tol:
-            break
-    return coefficients
+        moved = sums.select(*by, "_old", _newton(p, alpha)("_h", "_grad", "_old").alias("_b")).withColumn("_still", change >= tol)
+        moved = stage(moved.select(*by, "_b", "_still"), "newton")
+        done.append(moved.where("not _still").select(*by, "_b"))
+        moving = moved.where("_still").select(*by, "_b")
+        left = moving.count()
+        if not left:
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"{left} slices still move after {max_iter} Newton steps")
 
 
 def ridge_classifier(alpha: float = 1.0, **_) -> Model:
@@ -157,66 +165,154 @@ def ridge(alpha: float = 1.0, **_) -> Model:
     return fit_predict
 
 
-def _mllib(make: Callable[[str, int], object], parallel: int = 4) -> Model:
-    """One MLlib fit per slice, several at a time, each distributed over the cluster."""
+def _per_slice(learn: Callable[[np.ndarray, np.ndarray, str, np.random.Generator], Callable[[np.ndarray], np.ndarray]], seed: int) -> Model:
+    """One local fit per slice, all slices in one job.
 
-    def fit_predict(rows, columns, by, kind):
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).drop(*columns)
-        # Seeded sampling follows the row order inside partitions, so both are fixed here.
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ready = stage(vectors.repartition(parts, *by, "ts").sortWithinPartitions(*by, "ts"), "vectors")
-        slices = ready.select(*by).distinct().collect()  # one small row per fit
-
-        def one(row) -> DataFrame:
-            mine = ready.where(reduce(lambda a, c: a & (F.col(c) == F.lit(row[c])), by, F.lit(True)))
-            label = "y" if kind != "direction" else "_label"
-            train = mine.where("role = 'train'").withColumn("_label", F.col("y"))
-            model = make(kind, len(columns)).setFeaturesCol("features").setLabelCol(label).fit(train)
-            out = model.transform(mine.where("role = 'test'"))
-            if kind == "direction":
-                pred = F.get(vector_to_array("probability"), F.lit(1))
-            else:
-                pred = F.col("prediction")
-            return out.withColumn("pred", pred).drop("features", "rawPrediction", "probability", "prediction")
-
-        with ThreadPoolExecutor(parallel) as pool:
-            return reduce(DataFrame.unionByName, pool.map(one, slices))
+    A slice holds the bars of one training window and its test window, so a task's group is bounded by
+    the window's days and the bar size, however long the series are. Rows are put in time order and the random numbers
+    start from the seed alone, so a fit does not depend on the layout.
+    """
 
-    return fit_predict
+    def fit_predict(rows, columns, by, kind):
+        # Copied here: the function travels to the workers.
+        columns = list(columns)
+        kept = [f for f in rows.schema.fields if f.name not in columns]
+        names = [f.name for f in kept]
+        schema = T.StructType([*kept, T.StructField("pred", T.DoubleType())])
 
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("ts", kind="stable")
+            train, test = group[group["role"] == "train"], group[group["role"] == "test"]
+            predict = learn(train[columns].to_numpy(float), train["y"].to_numpy(float), kind, np.random.default_rng(seed))
+            return test[names].assign(pred=predict(test[columns].to_numpy(float)))
 
-def mlp(hidden_units: tuple[int, ...] = (32,), max_iter: int = 120, seed: int = 0, **_) -> Model:
-    """Multilayer perceptron classifier."""
+        return rows.groupBy(*by).applyInPandas(one, schema)
 
-    def make(kind: str, p: int):
-        from pyspark.ml.classification import MultilayerPerceptronClassifier
+    return fit_predict
 
-        if kind != "direction":
-            raise ValueError("the perceptron predicts directions only")
-        return MultilayerPerceptronClassifier(layers=[p, *hidden_units, 2], maxIter=max_iter, seed=seed)
 
-    return _mllib(make)
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def mlp(hidden_units: tuple[int, ...] = (32,), max_iter: int = 120, learning_rate: float = 0.01, alpha: float = 1e-4, batch: int = 200, seed: int = 0, **_) -> Model:
+    """Multilayer perceptron with ReLU layers, trained by Adam on mini-batches; classifier or regressor by target."""
+
+    def learn(x, y, kind, rng):
+        sizes = [x.shape[1], *hidden_units, 1]
+        bound = [np.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]
+        params = [p for a, b, r in zip(sizes, sizes[1:], bound) for p in (rng.uniform(-r, r, (a, b)), np.zeros(b))]
+        middle, scale = (0.0, 1.0) if kind == "direction" else (y.mean(), y.std() or 1.0)
+        target = (y - middle) / scale
+        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+        def forward(x):
+            layers = [x]
+            for i in range(0, len(params), 2):
+                z = layers[-1] @ params[i] + params[i + 1]
+                layers.append(np.maximum(z, 0) if i + 2 < len(params) else z)
+            return layers
+
+        steps = 0
+        for _ in range(max_iter):
+            for rows in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
+                layers = forward(x[rows])
+                out = layers[-1][:, 0]
+                delta = (((_sigmoid(out) if kind == "direction" else out) - target[rows]) / len(rows))[:, None]
+                steps += 1
+                for i in range(len(params) - 2, -1, -2):
+                    gradients = (layers[i // 2].T @ delta + alpha * params[i] / len(rows), delta.sum(axis=0))
+                    delta = (delta @ params[i].T) * (layers[i // 2] > 0)
+                    for j, g in zip((i, i + 1), gradients):
+                        m, v = moments[j]
+                        m += 0.1 * (g - m)
+                        v += 0.001 * (g * g - v)
+                        params[j] = params[j] - learning_rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+
+        def predict(x):
+            out = forward(x)[-1][:, 0]
+            return _sigmoid(out) if kind == "direction" else middle + scale * out
+
+        return predict
+
+    return _per_slice(learn, seed)
+
+
+def _grow(bins, gradient, hessian, rows, columns, depth, least, shrink):
+    """One regression tree on binned columns, level by level: (column, bin, value) per node of a full binary tree."""
+    n_bins = int(bins.max(initial=0)) + 1
+    nodes = (1 << (depth + 1)) - 1
+    column, cut, value = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
+    at = np.zeros(len(rows), np.int64)
+    b, g, h = bins[rows][:, columns], gradient[rows], hessian[rows]
+    for level in range(depth + 1):
+        first, width = (1 << level) - 1, 1 << level
+        local = at - first
+        live = local >= 0
+        value[first : first + width] = -np.bincount(local[live], g[live], width) / (np.bincount(local[live], h[live], width) + shrink)
+        if level == depth:
+            break
+        place = (local[live][:, None] * len(columns) + np.arange(len(columns))) * n_bins + b[live]
+        shape = (width, len(columns), n_bins)
+        sums = [np.bincount(place.ravel(), np.repeat(w, len(columns)), width * len(columns) * n_bins).reshape(shape).cumsum(axis=2) for w in (g[live], h[live], np.ones(live.sum()))]
+        total = [s[:, :, -1:] for s in sums]
+        right = [t - s for t, s in zip(total, sums)]
+        gain = sums[0] ** 2 / (sums[1] + shrink) + right[0] ** 2 / (right[1] + shrink) - total[0] ** 2 / (total[1] + shrink)
+        gain = np.where((sums[2] >= least) & (right[2] >= least), gain, 0).reshape(width, -1)
+        best = gain.argmax(axis=1)
+        split = gain[np.arange(width), best] > 1e-12
+        column[first : first + width] = np.where(split, columns[best // n_bins], -1)
+        cut[first : first + width] = best % n_bins
+        down = live & (column[at] >= 0)
+        goes_right = bins[rows, np.maximum(column[at], 0)] > cut[at]
+        at = np.where(down, 2 * at + 1 + goes_right, np.where(live, -1 - at, at))
+    return column, cut, value
+
+
+def _leaf_values(tree, bins):
+    column, cut, value = tree
+    at = np.zeros(len(bins), np.int64)
+    for _ in range(int(np.log2(len(value) + 1)) - 1):
+        inner = column[at] >= 0
+        goes_right = bins[np.arange(len(bins)), np.maximum(column[at], 0)] > cut[at]
+        at = np.where(inner, 2 * at + 1 + goes_right, at)
+    return value[at]
 
 
 def boosted_trees(
-    n_estimators: int = 200, max_depth: int = 4, learning_rate: float = 0.05, subsample: float = 0.8, colsample: float = 0.8, seed: int = 0, **_
+    n_estimators: int = 200, max_depth: int = 4, learning_rate: float = 0.05, subsample: float = 0.8, colsample: float = 0.8,
+    min_rows: int = 20, max_bins: int = 64, shrink: float = 1.0, seed: int = 0, **_,
 ) -> Model:
-    """Gradient-boosted trees, classifier or regressor by target."""
+    """Gradient-boosted trees on quantile bins, with Newton leaf values; classifier or regressor by target."""
+
+    def learn(x, y, kind, rng):
+        edges = [np.unique(np.quantile(c, np.linspace(0, 1, max_bins + 1)[1:-1])) for c in x.T]
+        binned = lambda x: np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], axis=1)
+        bins, trees = binned(x), []
+        start = y.mean()
+        if kind == "direction":
+            start = min(max(start, 1e-6), 1 - 1e-6)
+            start = np.log(start / (1 - start))
+        score = np.full(len(y), start)
+        for _ in range(n_estimators):
+            if kind == "direction":
+                p = _sigmoid(score)
+                gradient, hessian = p - y, p * (1 - p)
+            else:
+                gradient, hessian = score - y, np.ones(len(y))
+            rows = rng.permutation(len(y))[: max(1, round(subsample * len(y)))]
+            columns = np.sort(rng.permutation(x.shape[1])[: max(1, round(colsample * x.shape[1]))])
+            trees.append(_grow(bins, gradient, hessian, rows, columns, max_depth, min_rows, shrink))
+            score = score + learning_rate * _leaf_values(trees[-1], bins)
 
-    def make(kind: str, p: int):
-        from pyspark.ml.classification import GBTClassifier
-        from pyspark.ml.regression import GBTRegressor
+        def predict(x):
+            bins = binned(x)
+            out = start + learning_rate * sum(_leaf_values(t, bins) for t in trees)
+            return _sigmoid(out) if kind == "direction" else out
 
-        cls = GBTClassifier if kind == "direction" else GBTRegressor
-        return cls(
-            maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-            featureSubsetStrategy=str(colsample), minInstancesPerNode=20, seed=seed,
-        )
+        return predict
 
-    return _mllib(make)
+    return _per_slice(learn, seed)
 
 
 MODELS: dict[str, Callable[..., Model]] = {"Lag1": lag1, "Ridge": ridge, "MLP": mlp, "GBT": boosted_trees}
@@ -224,7 +320,7 @@ MODELS: dict[str, Callable[..., Model]] = {"Lag1": lag1, "Ridge": ridge, "MLP":
 
 def make_model(name: str, **params) -> Model:
     if name not in MODELS:
-        raise KeyError(f"unknown model {name!r}; known: {list(MODELS)}")
+        raise KeyError(f"no model is called {name!r}; there are {sorted(MODELS)}")
     return MODELS[name](**params)
 
 
@@ -282,7 +378,7 @@ def ml_directional(
 ) -> DataFrame:
     """Fit on the first part of each series, hold the predicted side on the rest, flat elsewhere."""
     if not 0.1 <= train_fraction < 1.0:
-        raise ValueError("train_fraction must be in [0.1, 1.0)")
+        raise ValueError(f"train_fraction is {train_fraction}; 0.1 up to, not including, 1 is possible")
     key = list(key)
     rows = stage(index_rows(training_rows(bars, target, config, key=key), key), "rows")
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
@@ -360,7 +456,10 @@ def strategy_metrics(
 ) -> DataFrame:
     """Backtest figures of a position table; bars without a position are flat."""
     key = list(key)
-    held = bars.join(positions.select(*key, "ts", "position"), [*key, "ts"], "left")
+    twice = F.raise_error(F.lit("several positions for one bar: overlapping test windows need a rule of their own"))
+    single = positions.groupBy(*key, "ts").agg(F.max("position").alias("position"), F.count("*").alias("_n"))
+    single = single.select(*key, "ts", F.when(F.col("_n") == 1, F.col("position")).otherwise(twice).alias("position"))
+    held = bars.join(single, [*key, "ts"], "left")
     held = held.withColumn("position", F.coalesce("position", F.lit(0.0)))
     result = stage(run_backtest(held, config, key=key), "backtest")
     moved = F.when(F.col("rn") > 0, F.abs(F.col("raw_position") - F.col("position"))).otherwise(0.0)
@@ -422,7 +521,8 @@ def evaluate_one(
         "fee_mode": "maker" if spec.backtest.assume_maker else "taker",
     }
     measured = METRICS[spec.target](preds, key=key)
-    return figures.join(measured, key, "left").withColumns({n: F.lit(v) for n, v in labels.items()})
+    both = figures.join(measured, key, "left").withColumn("n_test", F.coalesce("n_test", F.lit(0.0)))
+    return both.withColumns({n: F.lit(v) for n, v in labels.items()})
 
 
 def evaluate_all(

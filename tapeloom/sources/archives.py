@@ -16,6 +16,10 @@ from tapeloom.functions.clock import coerce_epoch
 TRADE_COLUMNS = ("agg_id", "price", "qty", "first_id", "last_id", "ts", "is_buyer_maker", "is_best_match")
 DEPTH_COLUMNS = ("ts", "percentage", "depth", "notional")
 
+# Names that the first (or, for depth, second) column of a header line carries.
+TRADE_HEADERS = ("agg_id", "agg_trade_id", "aggregate tradeid", "a")
+DEPTH_HEADERS = ("percentage",)
+
 _LINES_PER_BATCH = 50_000
 
 
@@ -28,10 +32,53 @@ def _number(c: str, kind: str = "double") -> Column:
     return F.expr(f"try_cast(`{c}` AS {kind})")
 
 
-def parse_trades(raw: DataFrame) -> DataFrame:
-    """Text columns to typed aggregated trades. Header lines (no numeric id) drop out."""
+def _is_header(column: str, names: tuple[str, ...]) -> Column:
+    return F.coalesce(F.lower(F.trim(F.col(column))).isin(*names), F.lit(False))
+
+
+def _flag(c: str) -> Column:
+    text = F.lower(F.trim(c))
+    return F.when(text == "true", True).when(text == "false", False)
+
+
+def _reason(parsed: dict[str, Column]) -> Column:
+    """The first column of a line that does not parse, or null."""
+    return F.coalesce(*[F.when(value.isNull(), F.lit(name)) for name, value in parsed.items()])
+
+
+def _trade_reason() -> Column:
+    numbers = {c: _number(c, "bigint" if c in ("agg_id", "ts") else "double") for c in ("agg_id", "price", "qty", "ts")}
+    return _reason(numbers | {"is_buyer_maker": _flag("is_buyer_maker")})
+
+
+def _depth_reason() -> Column:
+    return _reason({"ts": F.try_to_timestamp(F.col("ts"))} | {c: _number(c) for c in DEPTH_COLUMNS[1:]})
+
+
+def _sound(raw: DataFrame, header: Column, reason: Column, bad: str) -> DataFrame:
+    """Lines but for headers; one that does not parse fails the job, or with ``bad="skip"`` is left to the rejects."""
+    if bad not in ("raise", "skip"):
+        raise ValueError(f"bad lines are to be raised or skipped, not {bad!r}")
+    lines = raw.where(~header)
+    if bad == "skip":
+        return lines.where(reason.isNull())
+    message = F.concat(F.lit("an archive line does not parse, column "), reason)
+    return lines.where(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(message)))
+
+
+def trade_rejects(raw: DataFrame) -> DataFrame:
+    """Trade lines that do not parse, as text, with ``reason``, the first column at fault."""
+    return raw.where(~_is_header("agg_id", TRADE_HEADERS)).withColumn("reason", _trade_reason()).where("reason is not null")
+
+
+def depth_rejects(raw: DataFrame) -> DataFrame:
+    return raw.where(~_is_header("percentage", DEPTH_HEADERS)).withColumn("reason", _depth_reason()).where("reason is not null")
+
+
+def parse_trades(raw: DataFrame, bad: str = "raise") -> DataFrame:
+    """Text columns to typed aggregated trades without header lines. First and last ids may be missing."""
     extra = [c for c in raw.columns if c not in TRADE_COLUMNS]
-    return raw.where(_number("agg_id", "bigint").isNotNull()).select(
+    return _sound(raw, _is_header("agg_id", TRADE_HEADERS), _trade_reason(), bad).select(
         *extra,
         _number("agg_id", "bigint").alias("agg_id"),
         _number("price").alias("price"),
@@ -39,14 +86,14 @@ def parse_trades(raw: DataFrame) -> DataFrame:
         _number("first_id", "bigint").alias("first_id"),
         _number("last_id", "bigint").alias("last_id"),
         coerce_epoch(_number("ts", "bigint")).alias("ts"),
-        (F.lower(F.trim("is_buyer_maker")) == "true").alias("is_buyer_maker"),
+        _flag("is_buyer_maker").alias("is_buyer_maker"),
     )
 
 
-def parse_depth(raw: DataFrame) -> DataFrame:
-    """Text columns to typed depth rows. Header lines (no numeric percentage) drop out."""
+def parse_depth(raw: DataFrame, bad: str = "raise") -> DataFrame:
+    """Text columns to typed depth rows without header lines."""
     extra = [c for c in raw.columns if c not in DEPTH_COLUMNS]
-    return raw.where(_number("percentage").isNotNull()).select(
+    return _sound(raw, _is_header("percentage", DEPTH_HEADERS), _depth_reason(), bad).select(
         *extra, F.to_timestamp("ts").alias("ts"), *[_number(c).alias(c) for c in DEPTH_COLUMNS[1:]]
     )
 
@@ -55,12 +102,17 @@ def _text_schema(columns: tuple[str, ...]) -> str:
     return ", ".join(f"{c} string" for c in columns)
 
 
-def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_trades(spark.read.schema(_text_schema(TRADE_COLUMNS)).csv(path))
+def raw_trades_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The text columns as they stand, for ``parse_trades`` and ``trade_rejects``."""
+    return spark.read.schema(_text_schema(TRADE_COLUMNS)).csv(path)
+
+
+def read_trades_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    return parse_trades(raw_trades_csv(spark, path), bad)
 
 
-def read_depth_csv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_depth(spark.read.schema(_text_schema(DEPTH_COLUMNS)).csv(path))
+def read_depth_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    return parse_depth(spark.read.schema(_text_schema(DEPTH_COLUMNS)).csv(path), bad)
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,16 +147,16 @@ def _fields(lines: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return lines.select(symbol.alias("symbol"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
-def zipped_trades(lines: DataFrame) -> DataFrame:
+def zipped_trades(lines: DataFrame, bad: str = "raise") -> DataFrame:
     """Lines of ``<SYMBOL>-aggTrades-<date>.zip`` to typed trades with their symbol."""
-    return parse_trades(_fields(lines, TRADE_COLUMNS))
+    return parse_trades(_fields(lines, TRADE_COLUMNS), bad)
 
 
-def zipped_depth(lines: DataFrame) -> DataFrame:
-    return parse_depth(_fields(lines, DEPTH_COLUMNS))
+def zipped_depth(lines: DataFrame, bad: str = "raise") -> DataFrame:
+    return parse_depth(_fields(lines, DEPTH_COLUMNS), bad)
 
 
 __all__ = [
-    "DEPTH_COLUMNS", "TRADE_COLUMNS", "parse_depth", "parse_trades", "read_depth_csv", "read_trades_csv", "read_zips",
-    "slug", "unzip_lines", "zipped_depth", "zipped_trades",
+    "DEPTH_COLUMNS", "TRADE_COLUMNS", "depth_rejects", "parse_depth", "parse_trades", "raw_trades_csv", "read_depth_csv",
+    "read_trades_csv", "read_zips", "slug", "trade_rejects", "unzip_lines", "zipped_depth", "zipped_trades",
 ]

@@ -96,7 +96,7 @@ def book_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").where("event_type = 'purchase'").select(
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("fill_id"),
         "ts",
         (F.col("user_id") % 5).alias("symbol"),
@@ -106,6 +106,11 @@ def fills(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A score of every document."""
+    return table(spark, folder, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)).alias("pred"))
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     d, lab = table(spark, folder, "documents"), table(spark, folder, "labels")
     return d.join(lab, "doc_id").select(
