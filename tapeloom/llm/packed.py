@@ -45,8 +45,9 @@ def bucket_cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
-def n_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def n_buckets(df: DataFrame, per_partition: int = 1) -> int:
+    """Hash ranges to send to; a task holds one range at a time, so several per shuffle partition take less memory."""
+    return max(1, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def compressed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

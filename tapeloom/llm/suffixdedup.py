@@ -43,7 +43,7 @@ from tapeloom.llm.words import joined, mixed
 from tapeloom.plans.stage import stage
 
 _BITS = 48
-_CHUNK = 1 << 19
+_SLICE, _CHUNK = 4 << 20, 1 << 19
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -122,13 +122,13 @@ def _tagged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def marks(source: DataFrame, length: int, most_contexts: int) -> DataFrame:
     """Per document: offsets of anchors whose context is a repeat, and of those to be asked for (with the parts of their gram)."""
-    buckets = n_buckets(source)
+    buckets = n_buckets(source, 4)
     sent, back, out = (to_arrow_schema(x) for x in (_SENT, _BACK, _MARKS))
 
     def send(batches):
         numbers = _slice_numbers()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 number = next(numbers)
                 part = part.take(pa.array(np.argsort(np.asarray(part.column("doc_id")), kind="stable")))
                 raw, at = joined(part.column("text"))
@@ -293,7 +293,7 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> Data
     """doc_id, tag, low, high: byte ranges that strings found by the suffix orders cover."""
     k = (length + 1) // 2
     reach = length - k
-    buckets = n_buckets(marked)
+    buckets = n_buckets(marked, 4)
     schema, found = to_arrow_schema(_CONTEXTS), to_arrow_schema(_FOUND)
 
     def cut_out(batches):
