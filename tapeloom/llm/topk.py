@@ -10,7 +10,7 @@ gathered and that plus what its unread dimensions can still add; reading stops o
 candidates whose upper bound reaches the k-th lower bound is small. Those are scored exactly.
 
 Ties go to the smaller id. Defined cases: vectors that are null or hold null or non-finite components take
-no part, nor do empty ones; a query meets only vectors of its own length; rows that share the query's id are
+no part, nor do empty ones and rows without id; a query meets only vectors of its own length; rows that share the query's id are
 its own row; repeated rows are separate candidates; with fewer candidates all are returned. Inner products
 must fit 63 bits.
 """
@@ -31,7 +31,7 @@ def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> D
     """vec_id and ``v``, floor(scale * x) per component, of the vectors that take part."""
     sound = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & sound).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & sound).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
 class ImpactIndex:

@@ -12,7 +12,7 @@ adaptive execution.
 
 Defined cases: a null payload is empty; a null uri leaves the target header out, line breaks in a uri
 are percent-encoded; rows that repeat both id and payload are the same record, so if it is the
-largest all of them are responses; rows with null id cannot be referred to and raise an error.
+largest all of them are responses; rows without id are revisits if a record with an id has their payload, else responses.
 Further columns are ignored; an empty table gives an empty archive.
 """
 
@@ -41,14 +41,14 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _urn(record_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-record:"), record_id.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:x-record:"), F.coalesce(record_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
 def write_archive(
     pages: DataFrame, record_id: str = "page_id", uri: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z"
 ) -> tuple[DataFrame, DataFrame]:
     """Write the archive's two tables to the shared folder; returns (records, payloads) read from there."""
-    rid = F.when(F.col(record_id).isNull(), F.raise_error(F.lit("a record has no id"))).otherwise(F.col(record_id).cast("long"))
+    rid = F.col(record_id).cast("long")
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     source = pages.select(rid.alias("record_id"), F.col(uri).alias("uri"), body.alias("payload"))
     keyed = source.withColumns({"sha256": F.unhex(F.sha2("payload", 256)), "n": F.octet_length("payload").cast("long")})
@@ -57,14 +57,14 @@ def write_archive(
         "warc-owners",
     )
     payloads = stage(
-        keyed.join(owners, (F.col("record_id") == F.col("owner")) & (F.col("sha256") == F.col("o_sha256")), "left_semi")
+        keyed.join(owners, F.col("record_id").eqNullSafe(F.col("owner")) & (F.col("sha256") == F.col("o_sha256")), "left_semi")
         .dropDuplicates(["record_id", "sha256"])
         .select("sha256", "n", "payload"),
         "warc-payloads",
     )
     narrow = keyed.select("record_id", "uri", "sha256", "n", base32_sha1(F.col("payload")).alias("sha1"))
     joined = narrow.join(owners, (F.col("sha256") == F.col("o_sha256")) & (F.col("n") == F.col("o_n")))
-    is_response = F.col("record_id") == F.col("owner")
+    is_response = F.col("record_id").eqNullSafe(F.col("owner"))
     safe_uri = F.replace(F.replace(F.col("uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}"),
