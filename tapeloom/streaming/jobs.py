@@ -41,33 +41,61 @@ def time_bars(trades: DataFrame, interval: str, delay: str, *, key: Sequence[str
 
 
 class _TopOfBook(StatefulProcessor):
-    """Level sizes of one instrument, kept per side; one output row per update."""
+    """Level sizes of one instrument as map state, its best prices as value state; one output row per update.
+
+    An update touches one level and the best price it is compared with. A side is read through only when its
+    best level goes. A micro-batch of one instrument is put in order in memory, so the source's rate
+    options bound it. Updates at or before the last one applied in an earlier micro-batch come too late and are dropped.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sides = {s: handle.getMapState(s, "price double", "size double") for s in ("bid", "ask")}
+        self.tops = {s: handle.getValueState(f"{s}_top", "price double, size double") for s in ("bid", "ask")}
+        self.last = handle.getValueState("last", "ts timestamp, seq long")
+
+    def _best(self, side: str, touched: dict[float, float]) -> tuple[float, float] | None:
+        """Read a side through: stored levels under what this micro-batch has changed."""
+        better = max if side == "bid" else min
+        found = None
+        for (price,), (size,) in self.sides[side].iterator():
+            if price not in touched and (found is None or better(price, found[0]) == price):
+                found = (price, size)
+        live = [price for price, size in touched.items() if size > 0]
+        if live and (found is None or better(better(live), found[0]) == better(live)):
+            found = (better(live), touched[better(live)])
+        return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])  # one micro-batch of one instrument
-        books = {s: {k[0]: v[0] for k, v in m.iterator()} for s, m in self.sides.items()}
-        changed: dict[str, set[float]] = {"bid": set(), "ask": set()}
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        if self.last.exists():
+            ts, seq = self.last.get()
+            at = pd.Timestamp(ts).tz_localize(None)
+            batch = batch[(batch["ts"] > at) | ((batch["ts"] == at) & (batch["seq"] > seq))]
+        top = {s: tuple(v.get()) if v.exists() else None for s, v in self.tops.items()}
+        touched: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
         out = []
         for seq, ts, side, price, size in zip(batch["seq"], batch["ts"], batch["side"], batch["price"], batch["size"]):
             if price <= 0 or size < 0:
                 raise ValueError(f"bad level update {seq}: price {price}, size {size}")
-            if size == 0:
-                books[side].pop(price, None)
-            else:
-                books[side][price] = size
-            changed[side].add(price)
-            bid = max(books["bid"], default=None)
-            ask = min(books["ask"], default=None)
-            out.append((key[0], seq, ts, bid, books["bid"].get(bid), ask, books["ask"].get(ask)))
-        for side, prices in changed.items():
-            for price in prices:
-                if price in books[side]:
-                    self.sides[side].updateValue((price,), (books[side][price],))
+            touched[side][price] = size
+            best = top[side]
+            if size > 0 and (best is None or price == best[0] or (price > best[0]) == (side == "bid")):
+                top[side] = (price, size)
+            elif size == 0 and best is not None and price == best[0]:
+                top[side] = self._best(side, touched[side])
+            out.append((key[0], seq, ts, *(top["bid"] or (None, None)), *(top["ask"] or (None, None))))
+        for side, levels in touched.items():
+            for price, size in levels.items():
+                if size > 0:
+                    self.sides[side].updateValue((price,), (size,))
                 elif self.sides[side].containsKey((price,)):
                     self.sides[side].removeKey((price,))
+            if top[side] is None:
+                self.tops[side].clear()
+            else:
+                self.tops[side].update(tuple(float(x) for x in top[side]))
+        if out:
+            self.last.update((pd.Timestamp(out[-1][2]).to_pydatetime(), int(out[-1][1])))
         names = ["symbol", "seq", "ts", "bid_price", "bid_size", "ask_price", "ask_size"]
         frame = pd.DataFrame(out, columns=names)
         yield frame.astype({c: "float64" for c in names[3:]})

@@ -60,3 +60,15 @@ def test_upsert_in_batches(spark, tmp_path):
     K.bar_upsert(stream, str(tmp_path / "store"), str(tmp_path / "log")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "store"))
     assert out.count() == 60 and out.where("close > 1000").count() == 20
+
+
+def test_late_book_updates_are_dropped(spark, tmp_path):
+    at = lambda i: f.START + pd.Timedelta(seconds=i)
+    rows = [("X", 1, at(10), "bid", 100.0, 1.0), ("X", 2, at(11), "bid", 101.0, 1.0), ("X", 0, at(5), "bid", 105.0, 9.0), ("X", 3, at(12), "bid", 101.0, 0.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "symbol string, seq long, ts timestamp_ntz, side string, price double, size double, n int")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", K.ROCKSDB)
+    try:
+        out = K.drain(K.top_of_book(feed(spark, df, str(tmp_path / "in"), 2, "n").drop("n")), "top").orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [(r["seq"], r["bid_price"], r["ask_price"]) for r in out] == [(1, 100.0, None), (2, 101.0, None), (3, 100.0, None)]
