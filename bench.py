@@ -16,13 +16,14 @@ import time
 from pyspark.sql import SparkSession
 
 from tapeloom.catalog import all_queries
+from tapeloom.plans.stage import clear
 
 HEADLINE = (
     "B1_time_bars", "B2_volume_bars", "B4_resample_last_filled", "B6_ofi_bars", "C2_order_flow_imbalance",
     "C3_effective_spread", "C6_trade_size_distribution", "D3_top_of_book", "D4_book_at", "D8_queue_position",
     "E1_ma_crossover", "E2_bollinger", "E3_ofi_mean_reversion", "F1_run_backtest", "F2_trade_log", "F6_walk_forward",
     "F8_ledger", "G10_summarize", "G14_bootstrap_sharpe_ci", "G16_newey_west_sharpe", "H9_findings", "I5_build_features",
-    "I7_micro_features", "I10_triple_barrier", "J2_ridge_regression", "J7_walkforward_fit", "J8_classification_metrics",
+    "I7_micro_features", "I10_triple_barrier", "J2_ridge_regression", "J4_mlp", "J5_boosted_trees", "J7_walkforward_fit", "J8_classification_metrics",
 )
 
 
@@ -53,6 +54,7 @@ def main() -> None:
             start = time.perf_counter()
             known[name].run(spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            clear(spark)
         seconds[name] = round(statistics.median(taken[1:]), 3)
         print(f"{name}: {[round(t, 2) for t in taken]}", file=sys.stderr)
     spark.stop()
