@@ -94,6 +94,14 @@ def _(spark, sf):
     return K.trade_log(K.run_backtest(flips(spark, sf), CLOSE))
 
 
+@query("C9_pnl_histogram", "symbol:s bin:i n:i", f"""
+SELECT symbol, floor(pnl_pct / 0.0625e0) AS bin, count(*) AS n FROM ({trades_sql("v_bt_flips")}) GROUP BY 1, 2""")
+def _(spark, sf):
+    from tapeloom.operators.micro import pnl_histogram
+
+    return pnl_histogram(K.trade_log(K.run_backtest(flips(spark, sf), CLOSE)), 0.0625)
+
+
 @query("F3_cost_model", "symbol:s mode:s total_fee:f6", f"""
 SELECT symbol, 'taker' AS mode, sum(fee) AS total_fee FROM v_bt_ma GROUP BY 1 UNION ALL
 SELECT symbol, 'maker' AS mode, sum(fee) AS total_fee FROM ({backtest_sql('v_ma', cost='0.0002e0')}) GROUP BY 1""")
@@ -233,6 +241,31 @@ def _(spark, sf):
     return _ledger(spark, sf)
 
 
+view("v_marked", """
+WITH l AS (SELECT symbol, ts, arg_max(inventory, fill_id) AS inventory, arg_max(cash, fill_id) AS cash FROM v_ledger GROUP BY 1, 2)
+SELECT m.symbol, m.event_id, m.ts, m.mid, coalesce(l.inventory, 0) AS inventory, coalesce(l.cash, 10000e0) AS cash,
+       coalesce(l.cash, 10000e0) + coalesce(l.inventory, 0) * m.mid AS equity
+FROM v_mids m ASOF LEFT JOIN l ON l.symbol = m.symbol AND m.ts >= l.ts""")
+
+
+def _marked(spark, sf):
+    fills = T.fills(spark, sf)
+    mids = T.table(spark, sf, "events").select((F.col("user_id") % 5).alias("symbol"), "event_id", "ts", F.col("value").alias("mid"))
+    return K.marked_ledger(K.ledger(fills, mids.drop("event_id"), fee_bps=1.0, inventory_cap=0.15), mids)
+
+
+@query("F8_marked_ledger", "symbol:i event_id:i ts:t mid:f4 inventory:f6 cash:f6 equity:f6", "SELECT * FROM v_marked")
+def _(spark, sf):
+    return _marked(spark, sf)
+
+
+@query("F10_marked_step_sharpe", "symbol:i steps:i step_sharpe:f6 final_pnl:f6", """
+SELECT symbol, count(*) AS steps, avg(d) / stddev_samp(d) * sqrt(count(*)) AS step_sharpe, arg_max(equity, (ts, event_id)) - 10000e0 AS final_pnl
+FROM (SELECT *, equity - lag(equity) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS d FROM v_marked) GROUP BY 1""")
+def _(spark, sf):
+    return K.step_sharpe(_marked(spark, sf), order=("ts", "event_id"))
+
+
 @query("F9_pnl_decomposition", "symbol:i fill_id:i total_pnl:f6 cash_drift:f6 inventory_value:f6", """
 SELECT symbol, fill_id, equity - first_value(equity) OVER w AS total_pnl, cash - first_value(cash) OVER w AS cash_drift,
        inventory * mid AS inventory_value FROM v_ledger WINDOW w AS (PARTITION BY symbol ORDER BY ts, fill_id)""")

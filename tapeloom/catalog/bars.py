@@ -83,7 +83,21 @@ def _(spark, sf):
     return B.stride_downsample(T.trades(spark, sf), limit=600, target=500, order=("ts", "agg_id"), bucket="1h")
 
 
-@query("B8_lttb", "symbol:s ts:t close:f4")
+@query("B8_lttb", "symbol:s ts:t close:f4", """
+WITH RECURSIVE p AS (SELECT symbol, ts, rn, CAST(epoch_us(ts) AS DOUBLE) AS x, close AS y, count(*) OVER (PARTITION BY symbol) AS n FROM v_nbars),
+g AS (SELECT *, (n - 2) / 98e0 AS width, CAST(floor((rn - 1) / ((n - 2) / 98e0)) AS BIGINT) AS guess FROM p WHERE n > 100),
+b AS MATERIALIZED (SELECT *, CASE WHEN rn = 0 THEN -1 WHEN rn = n - 1 THEN 98 WHEN rn < floor(guess * width) + 1 THEN guess - 1
+        WHEN rn >= floor((guess + 1) * width) + 1 THEN guess + 1 ELSE guess END AS bucket FROM g),
+m AS MATERIALIZED (SELECT symbol, bucket, avg(x) AS mx, avg(y) AS my FROM b GROUP BY 1, 2),
+walk AS (
+  SELECT symbol, CAST(-1 AS BIGINT) AS bucket, rn, x, y FROM b WHERE rn = 0
+  UNION ALL
+  SELECT symbol, bucket, best.rn, best.x, best.y FROM (
+    SELECT w.symbol, w.bucket + 1 AS bucket, arg_max({'rn': c.rn, 'x': c.x, 'y': c.y}, (abs((w.x - m.mx) * (c.y - w.y) - (c.x - w.x) * (m.my - w.y)), -c.rn)) AS best
+    FROM walk w JOIN b c ON c.symbol = w.symbol AND c.bucket = w.bucket + 1 AND w.bucket + 1 < 98
+    JOIN m ON m.symbol = w.symbol AND m.bucket = w.bucket + 2 GROUP BY 1, 2)),
+k AS (SELECT symbol, rn FROM walk UNION ALL SELECT symbol, rn FROM b WHERE bucket = 98 UNION ALL SELECT symbol, rn FROM p WHERE n <= 100)
+SELECT symbol, ts, close FROM v_nbars JOIN k USING (symbol, rn)""")
 def _(spark, sf):
     return B.lttb(T.indexed_hourly_bars(spark, sf), "close", 100)
 

@@ -133,7 +133,7 @@ walk AS (
               ELSE greatest(0e0, w.ahead - (w.size - n.qty) * (w.ahead / w.size)) END,
          CASE WHEN n.kind = 'level' THEN n.qty ELSE w.size END
   FROM walk w JOIN numbered n ON n.order_id = w.order_id AND n.k = w.k + 1)
-SELECT order_id, seq, ahead AS shares_ahead, floor(ahead * 1e9 + 0.3719e0) <= 0 AS at_front FROM walk WHERE k > 0""")
+SELECT order_id, seq, ahead AS shares_ahead, ahead < 5e-10 AS at_front FROM walk WHERE k > 0""")
 def _(spark, sf):
     events = T.table(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
@@ -142,8 +142,7 @@ def _(spark, sf):
         F.when(F.col("event_id") % 3 == 0, F.col("value") / 64).otherwise(F.col("value") * 16).alias("qty"),
     )
     orders = events.select("order_id").distinct().withColumns({"shares_ahead": F.lit(1000.0), "level_size": F.lit(2000.0)})
-    out = O.queue_position(events, orders)
-    return out.withColumn("at_front", F.floor(F.col("shares_ahead") * 1e9 + 0.3719) <= 0)
+    return O.queue_position(events, orders)
 
 
 @query("D9_book_summary", "symbol:s snapshots:i mean_spread_bps:f6 mean_imbalance:f8 min_mid:e9 max_mid:e9", """

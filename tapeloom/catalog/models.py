@@ -192,6 +192,32 @@ def _(spark, sf):
     return J.evaluate_one(_bars(spark, sf), SPEC, "Lag1")
 
 
+# Two targets, two models, two fee modes, in SQL: predictions, positions, backtests, figures.
+view("v_targets", """
+SELECT symbol, window_id, ts, role, x1, x2, 'direction' AS target, CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END AS y FROM v_scaled
+UNION ALL SELECT symbol, window_id, ts, role, x1, x2, 'return' AS target, fwd AS y FROM v_scaled""")
+view("v_sweep_preds", """
+WITH g AS (SELECT symbol, window_id, target, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, var_pop(x1) * count(*) + 1 AS c11, var_pop(x2) * count(*) + 1 AS c22,
+             covar_pop(x1, x2) * count(*) AS c12, covar_pop(x1, y) * count(*) AS d1, covar_pop(x2, y) * count(*) AS d2
+           FROM v_targets WHERE role = 'train' GROUP BY 1, 2, 3),
+b AS (SELECT *, (d1 * c22 - d2 * c12) / (c11 * c22 - c12 * c12) AS b1, (d2 * c11 - d1 * c12) / (c11 * c22 - c12 * c12) AS b2 FROM g)
+SELECT symbol, ts, target, 'RidgeReg' AS model, ay + b1 * (x1 - a1) + b2 * (x2 - a2) AS pred, y FROM v_targets JOIN b USING (symbol, window_id, target) WHERE role = 'test'
+UNION ALL SELECT symbol, ts, target, 'Lag1', CASE WHEN target = 'return' THEN x1 WHEN x1 > 0 THEN 0.9e0 ELSE 0.1e0 END, y FROM v_targets WHERE role = 'test'""")
+view("v_sweep_pos", """
+SELECT b.*, t.target, t.model, coalesce(CASE WHEN p.pred > t.hi THEN 1e0 WHEN p.pred < t.lo THEN -1e0 END, 0e0) AS position
+FROM v_nbars b CROSS JOIN (SELECT * FROM (VALUES ('direction', 0.55e0, 0.45e0), ('return', 0.5e0, -0.5e0)) v(target, hi, lo), (VALUES ('Lag1'), ('RidgeReg')) m(model)) t
+LEFT JOIN v_sweep_preds p ON p.symbol = b.symbol AND p.ts = b.ts AND p.target = t.target AND p.model = t.model""")
+_KEYS = "symbol, target, model"
+view("v_sweep_taker", _backtest.backtest_sql("v_sweep_pos", _KEYS))
+view("v_sweep_maker", _backtest.backtest_sql("v_sweep_pos", _KEYS, cost="0.0002e0"))
+view("v_sweep", " UNION ALL ".join(f"""
+SELECT f.*, '1h' AS timeframe, '{mode}' AS fee_mode, m.accuracy, m.rmse FROM (
+  SELECT {_KEYS}, coalesce(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(8760e0), 0) AS strategy_sharpe,
+         sum(CASE WHEN rn > 0 THEN abs(position - lagged) ELSE 0 END) AS turnover FROM v_sweep_{mode} GROUP BY {_KEYS}) f
+LEFT JOIN (SELECT {_KEYS}, avg(CASE WHEN (pred > 0.5e0) = (y > 0.5e0) THEN 1e0 ELSE 0e0 END) FILTER (target = 'direction') AS accuracy,
+                  sqrt(avg((pred - y) * (pred - y)) FILTER (target = 'return')) AS rmse FROM v_sweep_preds GROUP BY {_KEYS}) m USING ({_KEYS})""" for mode in ("taker", "maker")))
+
+
 def _sweep(spark, sf):
     from dataclasses import replace
 
@@ -199,12 +225,14 @@ def _sweep(spark, sf):
     return J.benchmark_sweep({"1h": _bars(spark, sf)}, specs, {"Lag1": J.lag1(), "RidgeReg": J.ridge_regression()})
 
 
-@query("J13_benchmark_sweep", "symbol:s timeframe:s target:s model:s fee_mode:s accuracy:f8 rmse:f6 strategy_sharpe:f6 turnover:f2")
+@query("J13_benchmark_sweep", "symbol:s timeframe:s target:s model:s fee_mode:s accuracy:f8 rmse:f6 strategy_sharpe:f6 turnover:f2", "SELECT * FROM v_sweep")
 def _(spark, sf):
     return _sweep(spark, sf)
 
 
-@query("J14_fee_pivot", "target:s timeframe:s symbol:s model:s maker:f6 taker:f6")
+@query("J14_fee_pivot", "target:s timeframe:s symbol:s model:s maker:f6 taker:f6", """
+SELECT target, timeframe, symbol, model, max(strategy_sharpe) FILTER (fee_mode = 'maker') AS maker, max(strategy_sharpe) FILTER (fee_mode = 'taker') AS taker
+FROM v_sweep GROUP BY target, timeframe, symbol, model""")
 def _(spark, sf):
     return J.fee_pivot(_sweep(spark, sf))
 

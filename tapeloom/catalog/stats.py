@@ -109,7 +109,7 @@ def _(spark, sf):
     return n.select("symbol", G.auto_block_size(F.col("n")).alias("value"))
 
 
-ITERATIONS = 40
+ITERATIONS = 400
 
 
 def _u(name: str) -> str:

@@ -40,13 +40,13 @@ def duration_us(text: str | int) -> int:
 def timeframe_seconds(timeframe: str) -> int:
     match = re.match(r"^(\d+)([mhd])$", timeframe)
     if not match:
-        raise ValueError(f"unknown timeframe {timeframe!r}")
+        raise ValueError(f"{timeframe!r} is no timeframe; a number and m, h or d make one")
     return int(match.group(1)) * _UNIT_SECONDS[match.group(2)]
 
 
 def bars_per_year(timeframe: str) -> int:
     if timeframe not in BARS_PER_YEAR:
-        raise ValueError(f"unknown timeframe {timeframe!r}; expected one of {sorted(BARS_PER_YEAR)}")
+        raise ValueError(f"bars per year are not known for {timeframe!r}, only for {sorted(BARS_PER_YEAR)}")
     return BARS_PER_YEAR[timeframe]
 
 

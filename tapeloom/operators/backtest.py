@@ -164,9 +164,9 @@ class Rolling:
 
     def __post_init__(self) -> None:
         if self.step_days is not None and self.step_days <= 0:
-            raise ValueError("step_days must be positive")
+            raise ValueError(f"windows step by {self.step_days} days; 1 day is the least")
         if self.train_days <= 0 or self.test_days <= 0:
-            raise ValueError("train_days and test_days must be positive")
+            raise ValueError(f"windows train on {self.train_days} and test on {self.test_days} days; 1 day each is the least")
 
     @property
     def us(self) -> tuple[int, int, int]:
@@ -265,6 +265,12 @@ def _grid_positions(slices: DataFrame, strategy: Strategy, combos, key: list[str
     return df.withColumn("position", F.when(F.col("_ready"), F.coalesce("_event", F.lit(0.0))))
 
 
+def _finite_or_high(c: str) -> Column:
+    """A score that can win: neither missing, nor not a number, nor minus infinity."""
+    x = F.col(c).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (x > F.lit(float("-inf")))
+
+
 def walk_forward(
     bars: DataFrame,
     strategy: Strategy | str,
@@ -303,7 +309,7 @@ def walk_forward(
 
     ids = F.array(*[F.lit(i) for i, _ in combos])
     trained = tested(indicated("train").withColumn("combo_id", F.explode(ids)))
-    scores = trained.groupBy(*part, "combo_id").agg(score.alias("train_score")).where("train_score is not null")
+    scores = trained.groupBy(*part, "combo_id").agg(score.alias("train_score")).where(_finite_or_high("train_score"))
     best = scores.groupBy(*part).agg(F.max_by(F.struct("combo_id", "train_score"), F.struct("train_score", -F.col("combo_id"))).alias("_b"))
     best = stage(best.select(*part, "_b.*"), "best")
     test = tested(indicated("test").join(best.drop("train_score"), part))
@@ -414,6 +420,15 @@ def ledger(
     )
 
 
+def marked_ledger(
+    book: DataFrame, mids: DataFrame, *, mid: str = "mid", key: Sequence[str] = KEY, initial_cash: float = 10_000.0
+) -> DataFrame:
+    """Every mid observation with the inventory, cash and equity that the fills up to it have left."""
+    held = asof_join(mids, book.select(*key, "ts", "fill_id", "inventory", "cash"), ["inventory", "cash"], key=key, tie="fill_id")
+    held = held.withColumns({"inventory": F.coalesce("inventory", F.lit(0.0)), "cash": F.coalesce("cash", F.lit(initial_cash))})
+    return held.withColumn("equity", F.col("cash") + F.col("inventory") * F.col(mid))
+
+
 def pnl_decomposition(book: DataFrame, *, mid: str = "mid", key: Sequence[str] = KEY, order: Sequence[str] = ("ts", "fill_id")) -> DataFrame:
     """Total PnL, cash drift and inventory mark-to-market, from the first row of each series."""
     at = maths.tick_order(clock.micros(order[0]), F.col(order[1]))
@@ -451,7 +466,7 @@ def leaderboard(results: DataFrame, *, by: Sequence[str] = ("symbol", "timeframe
 
 
 __all__ = [
-    "BacktestConfig", "Rolling", "align_positions", "leaderboard", "ledger", "make_windows", "parameter_grid",
+    "BacktestConfig", "Rolling", "align_positions", "leaderboard", "ledger", "make_windows", "marked_ledger", "parameter_grid",
     "pnl_decomposition", "run_backtest", "step_sharpe", "stitched_curve", "trade_log", "valid_combos",
     "walk_forward", "walk_forward_summary", "window_slices",
 ]

@@ -191,9 +191,9 @@ def lttb(
     walk along the n_out hulls, a few points each, runs once per series. The last bucket looks
     ahead to the final point.
     """
-    if n_out < 3:
-        return df
     key = list(key)
+    if n_out < 3:
+        return df.select(*key, "ts", F.col(value).cast("double").alias(value))
     rows = df if "rn" in df.columns else tidy(tile(df, key, **kw).df)
     x = clock.micros("ts").cast("double")
     rows = rows.select(*key, "rn", "ts", x.alias("x"), F.col(value).cast("double").alias("y"))

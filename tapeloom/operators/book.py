@@ -193,6 +193,10 @@ def validate_book(book: DataFrame, by: Sequence[str] = ("symbol", "ts")) -> Data
     )
 
 
+# Less than this ahead counts as nothing: products and sums of the scan leave tiny remainders.
+AT_FRONT = 5e-10
+
+
 def queue_position(
     events: DataFrame, orders: DataFrame, *, by: str = "order_id", chunk_rows: int = 100_000
 ) -> DataFrame:
@@ -220,7 +224,7 @@ def queue_position(
     taken = F.coalesce(maths.div("_b", "_scale"), F.lit(0.0))
     summed = carry_scan(scaled.withColumn("_t", taken), [by], "_chunk", ("seq",), {"_sum": running("sum", "_t")})
     ahead = F.greatest(F.lit(0.0), F.col("_scale") * (F.col("_start") - F.col("_sum")))
-    return summed.select(by, "seq", "kind", "qty", ahead.alias("shares_ahead"), (ahead <= 0).alias("at_front"))
+    return summed.select(by, "seq", "kind", "qty", ahead.alias("shares_ahead"), (ahead < AT_FRONT).alias("at_front"))
 
 
 __all__ = [

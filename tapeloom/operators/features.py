@@ -248,7 +248,7 @@ def sequences(
 ) -> DataFrame:
     """Overlapping stacks of the last ``seq_len`` feature rows with the last row's target."""
     if seq_len < 1:
-        raise ValueError("seq_len must be >= 1")
+        raise ValueError(f"stacks of {seq_len} rows are asked for; 1 row is the least")
     t = tile(rows, key, before=seq_len - 1, size=size)
     df = t.df.withColumn("_x", F.array(*columns))
     out = t.core(df.withColumn("x", F.collect_list("_x").over(t.rows(1 - seq_len, 0))))

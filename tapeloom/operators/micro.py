@@ -171,8 +171,13 @@ def volume_histogram(bars: DataFrame, outliers: DataFrame, width: float, *, key:
     return out.withColumn("outliers", F.coalesce("outliers", F.lit(0)))
 
 
+def pnl_histogram(trades: DataFrame, width: float = 0.01, *, key: Sequence[str] = KEY) -> DataFrame:
+    """Profit and loss per trade of a trade log."""
+    return histogram(trades, F.col("pnl_pct"), width, key=key)
+
+
 __all__ = [
     "arrival_heatmap", "effective_spread", "histogram", "impact_rows", "kyle_lambda", "microprice",
-    "order_flow_imbalance", "signed_qty", "signed_volume", "spread_histogram", "trade_size_distribution",
+    "order_flow_imbalance", "pnl_histogram", "signed_qty", "signed_volume", "spread_histogram", "trade_size_distribution",
     "trade_size_histogram", "trade_summary", "volume_histogram",
 ]

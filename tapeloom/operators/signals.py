@@ -57,9 +57,9 @@ class MACrossover(Strategy):
 
     def valid(self, short_window: int, long_window: int) -> None:
         if short_window <= 0 or long_window <= 0:
-            raise ValueError("windows must be positive")
+            raise ValueError(f"window lengths are {short_window} and {long_window}; they start at 1")
         if short_window >= long_window:
-            raise ValueError("short_window must be below long_window")
+            raise ValueError(f"the short window ({short_window}) is not shorter than the long one ({long_window})")
 
     def lookback(self, short_window: int, long_window: int) -> int:
         return long_window - 1
@@ -89,9 +89,9 @@ class BollingerMeanReversion(Strategy):
 
     def valid(self, window: int, num_std: float) -> None:
         if window <= 1:
-            raise ValueError("window must be > 1")
+            raise ValueError(f"a band over {window} bars has no deviation; 2 bars are the least")
         if num_std <= 0:
-            raise ValueError("num_std must be > 0")
+            raise ValueError(f"bands {num_std} deviations wide are asked for; the width has to be above zero")
 
     def lookback(self, window: int, num_std: float) -> int:
         return window - 1
@@ -130,6 +130,10 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return bars.withColumn("position", F.lit(1.0))
 
 
+# A fold copies what it has chosen so far, so stretches are short; their number is one small row each.
+_STRETCH = 2048
+
+
 def ofi_mean_reversion(
     bars: DataFrame,
     z_threshold: float = 2.0,
@@ -148,14 +152,14 @@ def ofi_mean_reversion(
     each such number, the outcomes are chained, and only then the signals are chosen.
     """
     if z_threshold <= 0:
-        raise ValueError("z_threshold must be positive")
+        raise ValueError(f"the z threshold is {z_threshold}; it has to be above zero")
     if holding_bars <= 0:
-        raise ValueError("holding_bars must be positive")
+        raise ValueError(f"a hold of {holding_bars} bars is asked for; 1 bar is the least")
     if lookback_bars < 10:
-        raise ValueError("lookback_bars must be >= 10")
+        raise ValueError(f"z over {lookback_bars} bars is asked for; 10 bars are the least")
     if "ofi" not in bars.columns:
         raise KeyError("an 'ofi' column is required")
-    span = max(size, holding_bars)
+    span = max(min(size, _STRETCH), holding_bars)
     key = list(key)
     t = tile(bars, key, before=lookback_bars, size=size)
     w = t.rows(-lookback_bars, -1)
@@ -243,9 +247,9 @@ def vol_target(
 ) -> DataFrame:
     """Scale ``position`` to a daily volatility, measured up to the previous bar; 0 without one."""
     if daily_target <= 0:
-        raise ValueError("daily_target must be > 0")
+        raise ValueError(f"the daily target is {daily_target}; it has to be above zero")
     if lookback < 5:
-        raise ValueError("lookback must be >= 5")
+        raise ValueError(f"volatility over {lookback} bars is asked for; 5 bars are the least")
     t = tile(bars, key, before=lookback + 1, size=size)
     ret = F.coalesce(F.ln(maths.div("close", t.lag("close"))), F.lit(0.0))
     first = F.col("rn") == 0
@@ -263,7 +267,7 @@ def market_making_quotes(
     """Avellaneda-Stoikov quotes for rows of (mid, inventory, horizon_left)."""
     for name, v in (("gamma", gamma), ("sigma", sigma), ("k", k)):
         if v <= 0:
-            raise ValueError(f"{name} must be > 0")
+            raise ValueError(f"{name} is {v}; it has to be above zero")
     risk = F.lit(gamma * sigma**2) * F.greatest(F.lit(1e-9), F.col("horizon_left"))
     reservation = F.col("mid") - F.col("inventory") * risk
     half = risk + F.lit(2.0 / gamma * math.log(1.0 + gamma / k))

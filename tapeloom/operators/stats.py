@@ -199,7 +199,7 @@ def bootstrap_ci(
     job. Replicates meet their returns in a join on (key, row number) and collapse map-side.
     """
     if not 0 < confidence < 1:
-        raise ValueError("confidence must be in (0, 1)")
+        raise ValueError(f"a confidence of {confidence} is asked for; it lies between 0 and 1")
     key = list(key)
     rows = _numbered(df, value, key)
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), statistic("r").alias("point"))

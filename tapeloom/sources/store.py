@@ -46,7 +46,7 @@ def load_range(spark: SparkSession, root: str, symbol: str | None, start: dt.dat
     """Rows of the days ``start`` to ``end``, both included; only those partitions are read."""
     first, last = _as_date(start), _as_date(end)
     if last < first:
-        raise ValueError(f"end ({last}) must be >= start ({first})")
+        raise ValueError(f"the range ends on {last}, before it starts on {first}")
     df = spark.read.parquet(root).where(F.col("date").between(F.lit(first), F.lit(last)))
     return (df if symbol is None else df.where(F.col("symbol") == symbol)).drop("date")
 

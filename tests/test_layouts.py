@@ -188,3 +188,24 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, two):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen[0].equals(seen[1]) and seen[0].equals(seen[2])
+
+
+@pytest.mark.parametrize("size", [3, 50])
+def test_drawdown_does_not_depend_on_the_tile_size(spark, size):
+    """Also when losses exceed the capital, so that equity changes its sign."""
+    close = np.abs(np.random.default_rng(4).normal(60, 60, 300)) + 1
+    bars = index_rows(f.bars(spark, close)).withColumn("position", F.when(F.col("close") > 60, -1.0).otherwise(1.0))
+    whole, tiled = (K.run_backtest(bars, size=s).orderBy("rn").toPandas() for s in (50_000, size))
+    assert (whole.equity < 0).any()
+    np.testing.assert_allclose(whole.drawdown, tiled.drawdown, rtol=1e-9)
+    np.testing.assert_allclose(whole.equity, tiled.equity, rtol=1e-9)
+
+
+def test_threshold_bars_of_tiny_and_huge_amounts(spark):
+    rows = [("X", i, 2e12, 1e-9, f.START + pd.Timedelta(seconds=i), True) for i in range(10)]
+    trades = spark.createDataFrame(rows, "symbol string, agg_id long, price double, qty double, ts timestamp_ntz, is_buyer_maker boolean")
+    assert [r["trades"] for r in B.volume_bars(trades, 5e-9).orderBy("bar").collect()] == [4, 5, 1]
+    big = trades.withColumn("qty", F.lit(5.0))
+    assert [r["trades"] for r in B.dollar_bars(big, 4e13).orderBy("bar").collect()] == [3, 4, 3]
+    with pytest.raises(ValueError):
+        B.volume_bars(trades, 0)

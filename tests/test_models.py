@@ -48,14 +48,42 @@ def test_ridge_equals_the_closed_form(planted):
         np.testing.assert_allclose(got[got.symbol == s].pred, zm + (test[list("abc")] - xm).to_numpy() @ b, rtol=1e-9)
 
 
-@pytest.mark.parametrize("model", [J.mlp((4,), 30), J.boosted_trees(5, 2)])
-def test_mllib_models_give_repeatable_probabilities(planted, model):
+@pytest.mark.parametrize("model", [J.mlp((4,), 30), J.boosted_trees(60, 2)])
+def test_local_fits_give_repeatable_probabilities(planted, model):
     _, df = planted
     a, b = (model(df, list("abc"), ["symbol"], "direction").orderBy("ts").toPandas() for _ in range(2))
     assert len(a) == 200 and a.pred.between(0, 1).all() and a.pred.equals(b.pred)
     assert ((a.pred > 0.5) == (a.y > 0.5)).mean() > 0.6
 
 
+@pytest.mark.parametrize("model", [J.mlp(), J.boosted_trees()])
+def test_local_fits_learn_returns(planted, model):
+    _, df = planted
+    out = model(df.withColumn("y", F.col("z")), list("abc"), ["symbol"], "return").toPandas()
+    assert np.corrcoef(out.pred, out.y)[0, 1] > 0.9
+    assert set(out.symbol) == {"p", "q"} and "a" not in out.columns
+
+
+def test_newton_that_does_not_settle_raises(planted):
+    _, df = planted
+    with pytest.raises(RuntimeError, match="2 slices still move"):
+        J.logistic_coefficients(df.where("role = 'train'"), list("abc"), ["symbol"], max_iter=2)
+
+
+def test_overlapping_predictions_raise(spark):
+    bars = f.bars(spark, f.walk(30 * 24), seconds=3600)
+    spec = J.BenchmarkSpec("1h", features=FeatureConfig(2, (), False, False), rolling=Rolling(10, 3, 1))
+    with pytest.raises(Exception, match="several positions for one bar"):
+        J.evaluate_one(bars, spec, "Lag1").collect()
+
+
+def test_series_without_predictions_have_no_test_rows(spark):
+    bars = f.bars(spark, f.walk(30 * 24), seconds=3600).unionByName(f.bars(spark, f.walk(20), symbol="short", seconds=3600))
+    spec = J.BenchmarkSpec("1h", features=FeatureConfig(2, (), False, False), rolling=Rolling(10, 3))
+    got = {r["symbol"]: r["n_test"] for r in J.evaluate_one(bars, spec, "Lag1").collect()}
+    assert got["short"] == 0 and got["X"] > 0
+
+
 def test_one_class_slices_are_left_out(planted):
     _, df = planted
     one = df.withColumn("y", F.when(F.col("symbol") == "p", 1.0).otherwise(F.col("y")))

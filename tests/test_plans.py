@@ -5,7 +5,7 @@ import re
 from tapeloom.catalog import all_queries
 
 QUERIES = all_queries()
-PYTHON = {"A4_unzip_archives", "B8_lttb", "J2_ridge_regression", "J3_ridge_classifier", "J4_mlp", "J5_boosted_trees",
+PYTHON = {"A4_unzip_archives", "B8_lttb", "J2_ridge_regression", "J3_ridge_classifier", "J3_ridge_classifier_wide", "J4_mlp", "J5_boosted_trees",
           "J13_benchmark_sweep", "J14_fee_pivot", "J6_registry", "K2_streaming_top_of_book"}
 # One row in all (best of panels, rule counts, per-class totals) meets in a single task by definition.
 ONE_ROW = {"F11_leaderboard", "A10_check_bars", "A11_check_trades", "J6_registry"}

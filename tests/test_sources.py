@@ -94,3 +94,40 @@ def test_shared_folder_is_the_sessions(spark):
 
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) in stage(spark.range(3)).inputFiles()[0]
+
+
+def test_lines_that_do_not_parse(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(HEADER + LINES + "x2,1,1,1,1,1700000000000,True,True\n5,oops,1,1,1,1700000000000,True,True\n6,1,1,1,1,1700000000000,maybe,True\n")
+    path = str(tmp_path / "t.csv")
+    with pytest.raises(Exception, match="does not parse, column (agg_id|price|is_buyer_maker)"):
+        archives.read_trades_csv(spark, path).collect()
+    assert archives.read_trades_csv(spark, path, bad="skip").count() == 3
+    rejects = archives.trade_rejects(archives.raw_trades_csv(spark, path)).collect()
+    assert sorted((r["agg_id"], r["reason"]) for r in rejects) == [("5", "price"), ("6", "is_buyer_maker"), ("x2", "agg_id")]
+    (tmp_path / "d.csv").write_text("timestamp,percentage,depth,notional\n2026-05-13 00:00:08,-1.00,10.5,1000\n2026-05-13 00:00:08,much,3,300\n")
+    with pytest.raises(Exception, match="column percentage"):
+        archives.read_depth_csv(spark, str(tmp_path / "d.csv")).collect()
+    with pytest.raises(ValueError):
+        archives.read_depth_csv(spark, str(tmp_path / "d.csv"), bad="ignore")
+
+
+def test_zipped_depth(spark, tmp_path):
+    text = "timestamp,percentage,depth,notional\n2026-05-13 00:00:08,-1.00,10.5,1000\n"
+    (tmp_path / "ETHUSDT-bookDepth-2026-05-13.zip").write_bytes(zipped(("d.csv", text)))
+    rows = archives.zipped_depth(archives.read_zips(spark, str(tmp_path))).collect()
+    assert [(r["symbol"], r["percentage"], r["depth"]) for r in rows] == [("ETHUSDT", -1.0, 10.5)]
+
+
+def test_staged_tables_can_be_removed(tmp_path, spark):
+    import os
+
+    from tapeloom.plans import stage as P
+
+    kept = P._staged.pop(spark.sparkContext.applicationId, [])  # those of other tests stay
+    try:
+        table = P.stage(spark.range(3), "one")
+        path = P._staged[spark.sparkContext.applicationId][0].removeprefix("file:")
+        assert table.count() == 3 and os.path.isdir(path)
+        assert P.clear(spark) == 1 and not os.path.exists(path) and P.clear(spark) == 0
+    finally:
+        P._staged[spark.sparkContext.applicationId] = kept
