@@ -13,33 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import hostrules, jaccard, langid, packing, suffixdedup
+from tapeloom.llm.batches import small_batches
 from tapeloom.plans.stage import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a rule nor their host's verdict rejects."""
+    small_batches(spark)
     return hostrules.judge(docs).where("kept").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a language, learned from the labelled three quarters of the input."""
+    small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs, model).where("not rejected").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each class of near duplicates; documents without id or words stay."""
+    small_batches(spark)
     return jaccard.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that occurred before; n_chars follows the text."""
+    small_batches(spark)
     cleaned = suffixdedup.cleaned_documents(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of near-equal windows."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

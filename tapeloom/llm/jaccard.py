@@ -45,11 +45,21 @@ from tapeloom.plans.stage import stage
 NO_ID = -(1 << 63)
 _BITS = 48
 _GROUP_TOKENS = 4_000_000
+_SLICE, _RUN = 4 << 20, 1 << 20
 _MOST = 255  # list lengths are told apart up to here
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
+    """Sorted distinct shingle hashes of every text; texts are read in runs of about a megabyte."""
+    out, first = [], 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _RUN, side="right")) - 1)
+        out += _sets_of_run(raw[at[first] : at[last]], at[first : last + 1] - at[first], size)
+        first = last
+    return out
+
+
+def _sets_of_run(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     w = words(raw, at, lower=True)
     codes = hashes(w.distinct)[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
     keys, first = windows(codes, w.counts, size)
@@ -111,7 +121,7 @@ def measured_docs(docs: DataFrame, doc_id: str, text: str, size: int, percent: i
     def send(batches):
         numbers = _slice_numbers()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 number = next(numbers)
                 ids = np.asarray(part.column("doc_id").fill_null(NO_ID))
                 sets = shingle_sets(*joined(part.column("text")), size)
@@ -192,8 +202,8 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, siz
     def collect(batches):
         numbers = _slice_numbers()
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), 300):
+                part = batch.slice(start, 300)
                 texts = [plain_text(z) for z in part.column("z").to_pylist()]
                 at = np.cumsum([0] + [len(t) for t in texts])
                 found = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at, size)

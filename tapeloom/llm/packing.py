@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeloom.llm.batches import offsets, ranges, slices, strings
 
-_CACHE_UNITS = 300_000
+_CACHE_UNITS, _SLICE = 200_000, 4 << 20
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
@@ -172,7 +172,7 @@ def pack(
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 ids, at = words.encode(part.column("text"))
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id))
