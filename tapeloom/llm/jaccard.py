@@ -250,7 +250,9 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, siz
         return _table(rows, out)
 
     texts = compressed_texts(docs, doc_id, text)
-    kept = texts.join(chosen.select(F.col("doc_id").alias("rep"), "digest"), F.col("doc_id") == F.col("rep")).select("doc_id", "digest", "z").distinct()
+    # The chosen grow with the table, so they are never broadcast, however few they are.
+    wanted = chosen.select(F.col("doc_id").alias("rep"), "digest").hint("merge")
+    kept = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "digest", "z").distinct()
     stored = stage(kept.mapInArrow(collect, _SETS), "sets")
     answers = stored.select("slice", "tokens").mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(count, _BACK)
     return stage(stored.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(order, _ORDERED).withColumn("node", F.xxhash64("digest")), "ordered")
