@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task, and allocators keep what they once held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text takes at most ``limit`` bytes (a longer text stands alone)."""
     lengths = batch.column(column)
@@ -53,6 +62,7 @@ def add_columns(
             for part in slices(batch, column):
                 arrays = [part.column(n) for n in names] + compute(part)
                 yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, schema.types)], schema=schema)
+            give_back()
 
     return df.mapInArrow(run, out)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import slices
+from tapeloom.llm.batches import give_back, slices
 from tapeloom.llm.components import components
 from tapeloom.llm.packed import bucket_cuts, compressed_texts, n_buckets, pack, pack_sorted, plain_text, unpack, unpack_sorted
 from tapeloom.llm.words import hashes, joined, mixed, windows, words
@@ -95,7 +95,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches([_batch(rows, schema)], schema)
+    """The result of one group; what the group held goes back to the system."""
+    out = pa.Table.from_batches([_batch(rows, schema)], schema)
+    give_back()
+    return out
 
 
 def _slice_numbers() -> Iterator[int]:
@@ -136,6 +139,7 @@ def measured_docs(docs: DataFrame, doc_id: str, text: str, size: int, percent: i
                 rows = [(number % buckets, number, pack(ids), pack(n), digests)]
                 rows += [(b, number, pack_sorted(tokens[i:j]), pack(owner[i:j]), None) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
                 yield _batch(rows, sent)
+            give_back()
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -214,6 +218,7 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, siz
                     lengths = pack(np.array([len(found[i]) for i in own], np.int64))
                     tokens = np.concatenate([found[i] for i in own]).tobytes()
                     yield _batch([(next(numbers), b"".join(digests[i] for i in own), lengths, tokens)], sets)
+            give_back()
 
     def send(batches):
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import offsets, ranges, slices, strings
+from tapeloom.llm.batches import give_back, offsets, ranges, slices, strings
 
 _CACHE_UNITS, _SLICE = 200_000, 4 << 20
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
@@ -190,5 +190,7 @@ def pack(
                         yield from flush()
         close()
         yield from flush()
+        del words
+        give_back()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import slices
+from tapeloom.llm.batches import give_back, slices
 from tapeloom.llm.jaccard import _batch, _slice_numbers, _table
 from tapeloom.llm.packed import bucket_cuts, n_buckets, pack, pack_all, pack_sorted, plain_text, unpack, unpack_all, unpack_sorted
 from tapeloom.llm.words import joined, mixed
@@ -163,6 +163,7 @@ def marks(source: DataFrame, length: int, most_contexts: int) -> DataFrame:
                     if j > i:
                         rows.append((b, number, pack(ids), None, pack_sorted(g[i:j]), pack_all([c[i:j], doc[i:j], offset[i:j]])))
                 yield _batch(rows, sent)
+            give_back()
 
     def match(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -323,6 +324,7 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> Data
                 for part in np.split(order, edge):
                     own = [m[part] for m in meta]
                     yield _batch([(int(key[part[0]]), int(salt[part[0]]), pack_all(own), pack(np.ascontiguousarray(contexts[part]).reshape(-1)))], schema)
+            give_back()
 
     def search(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -346,7 +348,9 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> Data
                 two = np.array([x >> 64 for x in keys], np.uint64).astype(np.int64) | 1
                 low = offset[s].astype(np.int64) - o
                 cells.append([doc[s], tag[s], low, low + length, one, two])
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*cells)], schema=found)
+        out = pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*cells)], schema=found)
+        give_back()
+        return out
 
     asked = marked.where("asked is not null").select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "asked")
     texts = source_z.join(asked, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "z", "asked")
@@ -398,6 +402,7 @@ def cleaned(source_z: DataFrame, marked: DataFrame, ranges: DataFrame, length: i
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 rows.append((r["doc_id"], r["tag"], len(text) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             yield _batch(rows, schema)
+            give_back()
 
     per_doc = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     every = marked.select("doc_id", "tag", "settled").join(per_doc, ["doc_id", "tag"], "full")
