@@ -3,7 +3,9 @@
 A text becomes a vector of hashed letter n-grams (one to three letters, lower case, anything else a
 word border), weighted by square root of the count and inverse document frequency, and normalised. Each
 language has several centroids from spherical k-means; the nearest by cosine gives the language, and a
-text whose distance to it exceeds that centroid's limit is rejected.
+text is rejected if its cosine is under the language's limit for texts of its length. The limits come from
+excerpts of the sample rows, since short texts have small cosines: for each power of two of letters, a low
+quantile of the cosines that excerpts have with centroids made without their own row.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_language`` rows of each language,
 drawn by a hash of the id over the whole table. Prediction reads whole texts and is one scan without
@@ -17,6 +19,7 @@ columns of the same name.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.batches import add_columns, strings
+from tapeloom.plans.stage import stage
 
 BUCKETS = 4096
+CLASSES = 14  # of text lengths: 1, 2-3, 4-7, ... letters, the last without end
+_EXCERPTS = 2
+_LEAST = 20  # excerpts that a limit of its own takes
 _ROWS = 256
 _letters: np.ndarray | None = None
 
@@ -74,7 +81,7 @@ class Model:
     languages: list[str]  # of every centroid
     idf: np.ndarray
     centroids: np.ndarray
-    limits: np.ndarray  # cosine below which a text is rejected
+    limits: np.ndarray  # of every centroid and length class: cosine below which a text is rejected
 
 
 def fit(
@@ -84,13 +91,14 @@ def fit(
     lang: str = "lang",
     per_language: int = 400,
     centroids: int = 4,
-    reject: float = 0.25,
+    quantile: float = 0.02,
+    slack: float = 0.95,
     max_languages: int = 500,
 ) -> Model:
     """Fit on about ``per_language`` rows of every language.
 
-    A text is rejected if its cosine is under ``reject`` times the smallest cosine that a centroid's
-    own sample rows have with it.
+    A text is rejected if its cosine is under ``slack`` times the ``quantile`` of the cosines of excerpts as
+    long as it, taken from the sample rows of its language.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
@@ -99,7 +107,7 @@ def fit(
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
-        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)))
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
     fields = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.FloatType()))])
@@ -112,7 +120,7 @@ def fit(
 
         return sparse
 
-    sampled = usable.where(draw < share[F.col("lang")])
+    sampled = stage(usable.where(draw < share[F.col("lang")]), "langid-sample")
     rows = add_columns(sampled, "text", fields, make).select("lang", "id", "bucket", "times").orderBy("lang", "id").collect()
     found = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
@@ -121,30 +129,106 @@ def fit(
     found = np.array(found)
     idf = (np.log((1 + len(rows)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
     x = vectors(found, idf)
-    names, centres, limits = [], [], []
+    names, sums = [], []
     for language in sorted({r["lang"] for r in rows}):
-        own = x[[i for i, r in enumerate(rows) if r["lang"] == language]]
-        for c, members in spherical_kmeans(own, centroids):
+        for members in spherical_kmeans(x[[i for i, r in enumerate(rows) if r["lang"] == language]], centroids):
             names.append(language)
-            centres.append(c)
-            limits.append(reject * float((members @ c).min()))
-    return Model(names, idf, np.array(centres, np.float32).reshape(-1, BUCKETS), np.array(limits))
-
-
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Centroids with their members; starts are picked far from each other."""
-    starts = [0]
-    nearest = x @ x[0]
-    while len(starts) < min(k, len(x)):
-        starts.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, x @ x[starts[-1]])
-    centres = x[starts]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.array([x[own == j].sum(axis=0) for j in range(len(centres)) if (own == j).any()])
-        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    own = (x @ centres.T).argmax(axis=1)
-    return [(centres[j], x[own == j]) for j in range(len(centres)) if (own == j).any()]
+            sums.append(members.sum(axis=0))
+    sums = np.array(sums, np.float32).reshape(-1, BUCKETS)
+    centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return Model(names, idf, centres, length_limits(sampled, names, idf, sums, quantile, slack))
+
+
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, tries: int = 8) -> list[np.ndarray]:
+    """Members of up to ``k`` clusters. Starts are drawn from the half of the rows nearest to the mean of all, and clusters
+    of less than a twentieth of the rows are dissolved, so single odd rows make no centroid. Of several tries that with
+    most clusters is taken, then the one with the largest cosines."""
+    near = x @ x.sum(axis=0)
+    typical = np.flatnonzero(near >= np.quantile(near, 0.5))
+    least = max(2, len(x) / 20)
+    rng = np.random.default_rng(0)
+    found = []
+    for _ in range(tries):
+        centres = x[rng.permutation(typical)[:k]]
+        while True:
+            for _ in range(rounds):
+                own = (x @ centres.T).argmax(axis=1)
+                sums = np.array([x[own == j].sum(axis=0) for j in range(len(centres)) if (own == j).any()])
+                centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+            cosine = x @ centres.T
+            own = cosine.argmax(axis=1)
+            sizes = np.bincount(own, minlength=len(centres))
+            if len(centres) == 1 or sizes.min() >= least:
+                break
+            centres = np.delete(centres, sizes.argmin(), axis=0)
+        found.append((len(centres), float(cosine.max(axis=1).sum()), own))
+    clusters, _, own = max(found, key=lambda f: f[:2])
+    return [x[own == j] for j in range(clusters)]
+
+
+def length_class(n_letters: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n_letters, 1)).astype(int), 0, CLASSES - 1)
+
+
+def excerpts(text: str) -> list[str]:
+    """The text, and runs of its words with 1, 2, 4, ... letters at least, at places that depend on the text alone."""
+    words = text.split()
+    at = np.cumsum([0] + [sum(map(str.isalpha, w)) for w in words])
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    out = [text]
+    for size in (1 << c for c in range(CLASSES)):
+        last = int(np.searchsorted(at, at[-1] - size, "right"))  # starts with enough letters after them
+        for start in rng.integers(0, last, _EXCERPTS) if last else ():
+            out.append(" ".join(words[start : np.searchsorted(at, at[start] + size)]))
+    return out
+
+
+def length_limits(sampled: DataFrame, names: list[str], idf: np.ndarray, sums: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """Limits by centroid and length class. A class of which a language has too few excerpts takes those of all
+    languages; limits do not fall as texts get longer."""
+    held = sampled.sparkSession.sparkContext.broadcast((np.array(names), idf, sums))
+    fields = T.StructType([T.StructField("classes", T.ArrayType(T.IntegerType())), T.StructField("cosines", T.ArrayType(T.FloatType()))])
+
+    def make():
+        names, idf, sums = held.value
+        norms = np.linalg.norm(sums, axis=1)
+
+        def one(text, language):
+            counts, n_letters = ngram_counts(excerpts(text))
+            x = vectors(counts, idf)
+            cosine = x @ (sums / norms[:, None]).T
+            own = np.flatnonzero(names == language)
+            if not n_letters[0] or not len(own):
+                return [], []
+            j = own[cosine[0, own].argmax()]
+            rest = sums[j] - x[0]
+            norm = np.linalg.norm(rest)
+            cosine[:, j] = x @ rest / norm if norm > 1e-3 else -1  # without the row itself
+            mine = cosine[:, own].max(axis=1)
+            # Only what would be given to this language: mixed-in text of another is not typical of it.
+            kept = (mine > 0) & (mine >= cosine.max(axis=1)) & (n_letters > 0)
+            return length_class(n_letters[kept]).tolist(), mine[kept].tolist()
+
+        def all_rows(part):
+            found = [one(*r) for r in zip(strings(part.column("text")).to_pylist(), strings(part.column("lang")).to_pylist())]
+            return [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))]
+
+        return all_rows
+
+    rows = add_columns(sampled, "text", fields, make).select("lang", "classes", "cosines").collect()
+    everyone = [np.zeros(0)] * CLASSES
+    by_language = {n: list(everyone) for n in names}
+    for language in by_language:
+        own = [r for r in rows if r["lang"] == language]
+        c = np.array([c for r in own for c in r["classes"]], int)
+        v = np.array([v for r in own for v in r["cosines"]])
+        by_language[language] = [v[c == k] for k in range(CLASSES)]
+    everyone = [np.concatenate([by_language[n][k] for n in by_language]) if by_language else np.zeros(0) for k in range(CLASSES)]
+    limits = []
+    for name in names:
+        chosen = [own if len(own) >= _LEAST else pool for own, pool in zip(by_language[name], everyone)]
+        limits.append(np.maximum.accumulate([slack * float(np.quantile(v, quantile)) if len(v) else 0.0 for v in chosen]))
+    return np.array(limits).reshape(-1, CLASSES)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -166,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(np.float64)
             usable = n_letters > 0
             names = [m.languages[j] if u else "und" for j, u in zip(best, usable)]
-            return names, np.where(usable, score, 0.0), ~usable | (score < m.limits[best])
+            return names, np.where(usable, score, 0.0), ~usable | (score < m.limits[best, length_class(n_letters)])
 
         def all_rows(part):
             texts = strings(part.column(text)).to_pylist()

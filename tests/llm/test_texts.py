@@ -155,6 +155,39 @@ def test_language_edges(spark, sf):
     assert all(r.rejected for r in langid.predict(strange, fitted).collect())
 
 
+UNLEARNED = [
+    "La mattina del giorno dopo il vecchio pescatore si alzò presto e preparò la barca per uscire in mare, mentre il sole cominciava appena a illuminare le case.",
+    "De volgende ochtend stond de oude visser vroeg op en maakte zijn boot klaar om de zee op te gaan, terwijl de zon net begon te schijnen over de huizen.",
+    "Następnego ranka stary rybak wstał wcześnie i przygotował łódź do wypłynięcia w morze, podczas gdy słońce dopiero zaczynało oświetlać domy we wsi.",
+    "Seuraavana aamuna vanha kalastaja nousi aikaisin ja valmisteli veneensä lähteäkseen merelle, kun aurinko vasta alkoi valaista kylän taloja.",
+]
+
+
+def test_unlearned_languages_and_letters_at_random_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(0)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (30, 100, 400, 2000) for _ in range(5)]
+    # A row of two letters per language must not loosen the limits.
+    odd = docs.select("lang").distinct().select(F.lit(-1).cast("long").alias("doc_id"), F.lit("qx").alias("text"), "lang")
+    fitted = langid.fit(docs.select("doc_id", "text", "lang").unionByName(odd), per_language=1000)
+    strange = spark.createDataFrame(list(enumerate(UNLEARNED + noise)), "doc_id long, text string")
+    assert [r.text for r in langid.predict(strange, fitted).where("not rejected").collect()] == []
+    # Short clean excerpts of held-out documents stay.
+    clean = docs.where(langid.held_out() & (F.length("text") > 600)).select("doc_id", "lang", F.explode(F.array(*[F.substring_index("text", " ", n) for n in (3, 6, 12, 30)])).alias("text"))
+    fitted = langid.fit(docs.where(~langid.held_out()), per_language=1000)
+    out = langid.predict(clean, fitted).select("rejected").collect()
+    assert len(out) > 100 and np.mean([r.rejected for r in out]) < 0.04
+
+
+def test_odd_rows_make_no_centroid():
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(200, 40))) + 3 * (np.arange(40) < 20)
+    x[:3] = np.eye(40)[[20, 25, 30]]
+    members = langid.spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), 4)
+    assert sum(map(len, members)) == 200 and min(map(len, members)) >= 10
+    assert [len(m) for m in langid.spherical_kmeans(np.eye(3)[:1], 4)] == [1]
+
+
 URLS = [
     ("https://a.example.net/en/1", "example.net/en/", "allow"),
     ("https://example.net/en", "net/", "block"),
