@@ -4,9 +4,13 @@ A tokenizer and a small tree builder read the page: implied tags are opened and
 where a block begins, list items, table rows and cells end where the next begins, end tags close what is
 open inside them). The renderer then emits all visible text: blocks stand on lines of their own,
 paragraph-like ones with an empty line around them, list items with a bullet or number and an indent,
-``pre`` keeps its white space, table cells are padded to the width of their column. Not visible are head
+``pre`` keeps its white space, table cells are padded to the width of their column. Options of a list and
+texts of an inline ``svg`` stand on lines of their own, formulas within their line. Not visible are head
 content, scripts, styles, templates, comments, ``hidden`` elements and those whose style sets
-``display: none`` or ``visibility: hidden``.
+``display: none`` or ``visibility: hidden``; title, desc, metadata and defs of an ``svg``; annotations of a formula;
+a ``datalist``. A page is read as with scripts on and media that play: ``noscript`` and what stands in ``audio``,
+``video``, ``iframe`` and ``noembed`` in case they cannot be shown is not visible. The text in an ``object`` is: it
+shows unless its data loads, which extraction never does.
 
 Each page is read in its task; nothing is shuffled. Defined cases: null or empty html gives the empty text;
 broken markup is read as browsers would roughly do and never raises; a nested table is rendered inside
@@ -33,7 +37,8 @@ _DEEPEST = 200
 # Fixed values of the HTML standard: element categories.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template title noscript iframe noembed noframes object audio video svg math datalist select".split())
+UNSEEN = set("head script style template title noscript iframe noembed noframes audio video datalist".split())
+UNSEEN_INSIDE = {"svg": set("title desc metadata defs symbol".split()), "math": {"annotation", "annotation-xml"}}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -52,16 +57,18 @@ CLOSES = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 _SCOPE = {"table", "td", "th", "html"}
 
 
 class Element:
-    __slots__ = ("children", "seen", "start", "tag")
+    __slots__ = ("children", "label", "line", "seen", "start", "tag")
 
     def __init__(self, tag: str, seen: bool = True, start: int = 1):
         self.tag, self.seen, self.start = tag, seen, start
         self.children: list[Element | str] = []
+        self.label, self.line = "", False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -81,6 +88,7 @@ def _close(stack: list[Element], tags: set[str], barrier: set[str]) -> None:
 def build(page: str) -> Element:
     root = Element("html")
     stack, at, n = [root], 0, len(page)
+    foreign = re.search(r"<(?:svg|math)\b", page, re.I) is not None
 
     def text(s: str) -> None:
         if s:
@@ -122,13 +130,20 @@ def build(page: str) -> Element:
             stack[-1].children.append(row)
             stack.append(row)
         attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
-        seen = tag not in UNSEEN and "hidden" not in attributes and not _INVISIBLE_STYLE.search(attributes.get("style", ""))
+        inside = next((e.tag for e in reversed(stack) if e.tag in UNSEEN_INSIDE), None) if foreign else None
+        drawn = inside == "svg"
+        seen = tag not in UNSEEN and tag not in UNSEEN_INSIDE.get(inside, ()) and "hidden" not in attributes and not _INVISIBLE_STYLE.search(attributes.get("style", ""))
         start = attributes.get("start", "")
         element = Element(tag, seen, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+        element.line = tag in ("option", "optgroup") or drawn and tag == "text"
+        if tag == "optgroup":
+            element.label = attributes.get("label", "")
         if tag == "img" and seen and attributes.get("alt"):
             stack[-1].children.append(attributes["alt"])
         stack[-1].children.append(element)
-        if tag in RAW:
+        if m[3].rstrip().endswith("/") and inside is not None:
+            continue
+        if tag in RAW and not (drawn and tag == "title"):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             body = page[at : end.start() if end else n]
             element.children.append(entities.unescape(body) if tag in ("textarea", "title") else body)
@@ -187,6 +202,12 @@ class Renderer:
             self.gap = 1
         elif e.tag in ("ul", "ol", "menu"):
             self.items(e)
+        elif e.line:
+            self.end_line()
+            self.text(e.label)
+            self.end_line()
+            self.inside(e)
+            self.end_line()
         elif e.tag in BLOCK:
             gap = int(e.tag in SPACED)
             self.end_line(gap)

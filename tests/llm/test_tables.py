@@ -265,6 +265,23 @@ def test_broken_markup_is_read(page):
     assert isinstance(htmltext.html_to_text(page), str)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> holds", "so x=2 holds"),
+        ("<math><semantics><mi>y</mi><annotation-xml><ci>z</ci></annotation-xml></semantics></math>", "y"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>never</text></defs><g><text>North</text><text x=1>So<tspan>uth</tspan></text></g><path d='M0'/></svg>b", "a\nNorth\nSouth\nb"),
+        ("<p>pick<select><option>red<option selected>blue</select>now", "pick\nred\nblue\nnow"),
+        ("<select><optgroup label='Warm'><option>red</option></optgroup><optgroup label=Cold><option>blue</select>", "Warm\nred\nCold\nblue"),
+        ("<object data=x.swf>instead <b>of it</b></object> end", "instead of it end"),
+        ("<audio src=a>no audio</audio><video><p>no video</p></video>x<noscript>no script</noscript><datalist><option>o</datalist>", "x"),
+        ("<svg><text hidden>no</text><text>yes</text></svg>", "yes"),
+    ],
+)
+def test_text_that_browsers_show(page, text):
+    assert htmltext.html_to_text(page) == text
+
+
 def test_deep_text_is_kept():
     assert htmltext.html_to_text("<div>" * 5000 + "deep") == "deep"
 
