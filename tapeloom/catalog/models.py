@@ -1,5 +1,6 @@
 """Predictors and their evaluation."""
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -8,9 +9,12 @@ from pyspark.sql import functions as F
 from tapeloom.catalog import backtest as _backtest
 from tapeloom.catalog import features as _features  # noqa: F401  (shared views)
 from tapeloom.catalog.spec import query, view
+from tapeloom.operators import bars as B
 from tapeloom.operators import models as J
 from tapeloom.operators.backtest import BacktestConfig, Rolling
 from tapeloom.operators.features import FeatureConfig
+from tapeloom.plans.stage import stage
+from tapeloom.plans.tiles import index_rows
 from tapeloom.sources import testtables as T
 
 TWO = FeatureConfig(n_lag_returns=2, rolling_windows=(), include_volume_z=False, include_tod_cyclic=False)
@@ -218,29 +222,58 @@ LEFT JOIN (SELECT {_KEYS}, avg(CASE WHEN (pred > 0.5e0) = (y > 0.5e0) THEN 1e0 E
                   sqrt(avg((pred - y) * (pred - y)) FILTER (target = 'return')) AS rmse FROM v_sweep_preds GROUP BY {_KEYS}) m USING ({_KEYS})""" for mode in ("taker", "maker")))
 
 
-def _sweep(spark, sf):
-    from dataclasses import replace
-
+def _closed_sweep(spark, sf):
+    """The cells that SQL can fit."""
     specs = [SPEC, replace(SPEC, target="return", return_band=0.5)]
     return J.benchmark_sweep({"1h": _bars(spark, sf)}, specs, {"Lag1": J.lag1(), "RidgeReg": J.ridge_regression()})
 
 
-@query("J13_benchmark_sweep", "symbol:s timeframe:s target:s model:s fee_mode:s accuracy:f8 rmse:f6 strategy_sharpe:f6 turnover:f2", "SELECT * FROM v_sweep")
+TIMEFRAMES = ("15m", "1h")
+
+
+def _sweep(spark, sf):
+    """Every model on every target with the default features, per timeframe."""
+    trades = T.trades(spark, sf)
+    bars = {tf: stage(index_rows(stage(B.time_bars(trades, tf), "bars")), "indexed") for tf in TIMEFRAMES}
+    specs = [J.BenchmarkSpec(timeframe=tf, target=target, rolling=ROLL) for tf in TIMEFRAMES for target in J.METRICS]
+    return J.benchmark_sweep(bars, specs, list(J.MODELS))
+
+
+_SWEEP = "symbol:s timeframe:s target:s model:s fee_mode:s accuracy:f8 rmse:f6 strategy_sharpe:f6 turnover:f2"
+
+
+@query("J13_benchmark_sweep", _SWEEP)
 def _(spark, sf):
     return _sweep(spark, sf)
 
 
-@query("J14_fee_pivot", "target:s timeframe:s symbol:s model:s maker:f6 taker:f6", """
+@query("J13_closed_cells", _SWEEP, "SELECT * FROM v_sweep")
+def _(spark, sf):
+    return _closed_sweep(spark, sf)
+
+
+@query("J14_fee_pivot", "target:s timeframe:s symbol:s model:s maker:f6 taker:f6")
+def _(spark, sf):
+    return J.fee_pivot(_sweep(spark, sf))
+
+
+@query("J14_fee_pivot_closed_cells", "target:s timeframe:s symbol:s model:s maker:f6 taker:f6", """
 SELECT target, timeframe, symbol, model, max(strategy_sharpe) FILTER (fee_mode = 'maker') AS maker, max(strategy_sharpe) FILTER (fee_mode = 'taker') AS taker
 FROM v_sweep GROUP BY target, timeframe, symbol, model""")
 def _(spark, sf):
-    return J.fee_pivot(_sweep(spark, sf))
+    return J.fee_pivot(_closed_sweep(spark, sf))
 
 
 _SERIES = ("click", "error", "purchase", "signup", "view")
+_PANELS = {f"{tf}|{s}": f"{s}_{tf}" for tf in TIMEFRAMES for s in _SERIES}
+
+
+@query("J14_accuracy_pivot", "target:s model:s " + " ".join(f"{name}:f8" for name in _PANELS.values()))
+def _(spark, sf):
+    return J.accuracy_pivot(_sweep(spark, sf), list(_PANELS)).withColumnsRenamed(_PANELS)
 
 
-@query("J14_accuracy_pivot", "target:s model:s " + " ".join(f"{s}:f8" for s in _SERIES), f"""
+@query("J14_accuracy_pivot_closed_cells", "target:s model:s " + " ".join(f"{s}:f8" for s in _SERIES), f"""
 SELECT 'direction' AS target, 'Lag1' AS model, {", ".join(f"max(accuracy) FILTER (symbol = '{s}') AS {s}" for s in _SERIES)}
 FROM (SELECT symbol, avg(CASE WHEN (pred > 0.5e0) = (actual > 0.5e0) THEN 1e0 ELSE 0e0 END) AS accuracy FROM v_lag1 GROUP BY 1)""")
 def _(spark, sf):

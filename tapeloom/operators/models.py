@@ -503,10 +503,10 @@ METRICS = {
 
 
 def evaluate_one(
-    bars: DataFrame, spec: BenchmarkSpec, model_name: str, *, model: Model | None = None, key: Sequence[str] = KEY,
+    bars: DataFrame, spec: BenchmarkSpec, model_name: str | None, *, model: Model | None = None, key: Sequence[str] = KEY,
     preds: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per series: keys, prediction metrics and strategy metrics."""
+    """One row per series: keys, prediction metrics and strategy metrics. Without a name, ``model`` is part of the key."""
     key = list(key)
     if preds is None:
         fitted = fit_predict_walkforward(bars, model or make_model(model_name), spec.target, spec.rolling, spec.features, key=key)
@@ -517,9 +517,8 @@ def evaluate_one(
     bpy = spec.bars_per_year or clock.bars_per_year(spec.timeframe)
     figures = strategy_metrics(bars, preds.withColumn("position", position), spec.backtest, bpy, key=key)
     labels = {
-        "timeframe": spec.timeframe, "target": spec.target, "model": model_name,
-        "fee_mode": "maker" if spec.backtest.assume_maker else "taker",
-    }
+        "timeframe": spec.timeframe, "target": spec.target, "fee_mode": "maker" if spec.backtest.assume_maker else "taker",
+    } | ({"model": model_name} if model_name is not None else {})
     measured = METRICS[spec.target](preds, key=key)
     both = figures.join(measured, key, "left").withColumn("n_test", F.coalesce("n_test", F.lit(0.0)))
     return both.withColumns({n: F.lit(v) for n, v in labels.items()})
@@ -545,8 +544,8 @@ def benchmark_sweep(
     fee_modes: Sequence[str] = ("taker", "maker"),
     key: Sequence[str] = KEY,
 ) -> DataFrame:
-    """symbol × timeframe × target × fee mode × model. All symbols run in each job, and the fee
-    modes of one fit share its predictions."""
+    """symbol × timeframe × target × fee mode × model. All symbols run in each job, the fee modes of
+    one fit share its predictions, and the models of one spec are evaluated together, as part of the key."""
     from dataclasses import replace
 
     chosen = models if isinstance(models, Mapping) else {n: make_model(n) for n in models}
@@ -554,12 +553,15 @@ def benchmark_sweep(
     for spec in specs:
         bars = bars_by_timeframe[spec.timeframe]
         ready = stage(training_rows(bars, spec.target, spec.features, key=key), "rows")
-        for name, model in chosen.items():
-            fitted = fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key, rows=ready)
-            preds = stage(fitted, "predictions")
-            for mode in fee_modes:
-                priced = replace(spec, backtest=replace(spec.backtest, assume_maker=mode == "maker"))
-                rows.append(evaluate_one(bars, priced, name, preds=preds, key=key))
+        fitted = [
+            fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key, rows=ready).withColumn("model", F.lit(name))
+            for name, model in chosen.items()
+        ]
+        preds = stage(reduce(DataFrame.unionByName, fitted), "predictions")
+        each = bars.withColumn("model", F.explode(F.array(*[F.lit(name) for name in chosen])))
+        for mode in fee_modes:
+            priced = replace(spec, backtest=replace(spec.backtest, assume_maker=mode == "maker"))
+            rows.append(stage(evaluate_one(each, priced, None, preds=preds, key=[*key, "model"]), "figures"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 

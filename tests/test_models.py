@@ -116,3 +116,26 @@ def test_windows_need_fifty_training_rows(spark):
     assert J.fit_predict_walkforward(bars, J.lag1(), "return", Rolling(2, 1), cfg).count() == 0
     out = J.fit_predict_walkforward(bars, J.ridge(), "return", Rolling(10, 3), cfg)
     assert out.groupBy("window_id").count().where("count = 72").count() == 6
+
+
+def test_registered_sweep_has_every_cell(spark, sf):
+    from tapeloom.catalog import all_queries
+
+    out = all_queries()["J13_benchmark_sweep"].run(spark, sf).toPandas()
+    cells = out.groupby(["timeframe", "target", "model", "fee_mode"]).symbol.nunique()
+    assert len(out) == cells.sum() and len(cells) == 2 * 3 * len(J.MODELS) * 2 and set(cells) == {5}
+    fitted = out[out.model.isin(["MLP", "GBT"])]
+    assert fitted[fitted.target == "return"].rmse.notna().any() and fitted[fitted.target != "return"].accuracy.notna().any()
+    assert (out.turnover > 0).any()
+
+
+def test_models_evaluated_together_equal_models_alone(spark):
+    bars = f.bars(spark, f.walk(30 * 24), seconds=3600)
+    cfg = FeatureConfig(2, (), False, False)
+    spec = J.BenchmarkSpec("1h", "triple_barrier", cfg, Rolling(10, 3))
+    models = {"Lag1": J.lag1(), "Ridge": J.ridge(), "MLP": J.mlp((4,), 5)}
+    together = J.benchmark_sweep({"1h": bars}, [spec], models, fee_modes=("taker",)).toPandas().set_index("model")
+    for name, model in models.items():
+        alone = J.evaluate_one(bars, spec, name, model=model).first().asDict()
+        for c in ("n_test", "accuracy", "timeout_frac", "strategy_sharpe", "strategy_total_return", "turnover"):
+            assert together.loc[name, c] == pytest.approx(alone[c], nan_ok=True), (name, c)
