@@ -107,12 +107,22 @@ def _sound(preds):
     return preds.withColumn("sound", F.col("pred").between(0.0, 1.0))
 
 
-@query("J4_mlp", _FITTED, _FITTED_SQL)
+@query("J4_mlp", _PREDS)
+def _(spark, sf):
+    return J.fit_predict_walkforward(_bars(spark, sf), J.mlp(), "direction", ROLL, FeatureConfig())
+
+
+@query("J4_mlp_rows", _FITTED, _FITTED_SQL)
 def _(spark, sf):
     return _sound(J.fit_predict_walkforward(_bars(spark, sf), J.mlp(), "direction", ROLL, TWO))
 
 
-@query("J5_boosted_trees", _FITTED, _FITTED_SQL)
+@query("J5_boosted_trees", _PREDS)
+def _(spark, sf):
+    return J.fit_predict_walkforward(_bars(spark, sf), J.boosted_trees(), "direction", ROLL, FeatureConfig())
+
+
+@query("J5_boosted_trees_rows", _FITTED, _FITTED_SQL)
 def _(spark, sf):
     return _sound(J.fit_predict_walkforward(_bars(spark, sf), J.boosted_trees(), "direction", ROLL, TWO))
 

@@ -139,3 +139,26 @@ def test_models_evaluated_together_equal_models_alone(spark):
         alone = J.evaluate_one(bars, spec, name, model=model).first().asDict()
         for c in ("n_test", "accuracy", "timeout_frac", "strategy_sharpe", "strategy_total_return", "turnover"):
             assert together.loc[name, c] == pytest.approx(alone[c], nan_ok=True), (name, c)
+
+
+@pytest.mark.parametrize("name", ["J4_mlp", "J5_boosted_trees"])
+def test_registered_fits_return_varied_predictions(spark, sf, name):
+    from tapeloom.catalog import all_queries
+
+    out = all_queries()[name].run(spark, sf).toPandas()
+    assert list(out.columns) == ["symbol", "window_id", "ts", "pred", "actual"]
+    assert len(out) and out.pred.between(0, 1).all() and out.pred.nunique() > 10
+
+
+@pytest.mark.parametrize("model", [J.mlp(), J.boosted_trees()])
+def test_default_fits_repeat_and_beat_lag1_on_a_planted_signal(spark, model):
+    # Returns of alternating sign with noise: the last one repeated is mostly wrong.
+    rng = np.random.default_rng(2)
+    steps = 0.01 * np.where(np.arange(24 * 24) % 2, 1, -1) + rng.normal(0, 0.004, 24 * 24)
+    bars = f.bars(spark, 100 * np.exp(np.cumsum(steps)), seconds=3600)
+    a, b, last = (
+        J.fit_predict_walkforward(bars, m, "direction", Rolling(14, 3), FeatureConfig()).toPandas().sort_values(["window_id", "ts"], ignore_index=True)
+        for m in (model, model, J.lag1())
+    )
+    right = lambda out: ((out.pred > 0.5) == (out.actual > 0.5)).mean()
+    assert a.equals(b) and right(a) > 0.9 > right(last) + 0.3
