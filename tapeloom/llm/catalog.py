@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
+from tapeloom.llm import filteraudit, hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
 from tapeloom.llm.batches import small_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -73,6 +73,10 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.failures(_table(spark, folder, "documents")), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_html_extraction,
         op10_exact_top_k,
+        op12_filter_audit,
     )
 }
 
@@ -157,4 +162,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op12_filter_audit": rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words, min(doc_id) OVER (PARTITION BY text) AS head FROM t),
+m AS (SELECT doc_id, part,
+        CAST(len(words) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT)
+        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > head, false) AS INT) AS mask FROM w),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN g USING (doc_id) GROUP BY part, mask),
+f AS (SELECT substr('ABCDE', i + 1, 1) AS letter, 1 << i AS bit FROM range(5) AS r(i)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+      JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0) AS earlier FROM o, range(1, 6) AS r(k)),
+x AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN (mask & (bit + earlier)::INT) = 0 THEN docs ELSE 0 END) AS kept,
+        sum(CASE WHEN (mask & bit) <> 0 AND (mask & earlier::INT) = 0 THEN docs ELSE 0 END) AS removed,
+        sum(CASE WHEN (mask & bit) <> 0 AND (mask & earlier::INT) <> 0 THEN docs ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN docs ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN (mask & bit) <> 0 AND (mask & earlier::INT) = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN (mask & bit) <> 0 AND (mask & earlier::INT) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x""",
 }
