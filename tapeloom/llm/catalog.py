@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import filteraudit, hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
+from tapeloom.llm import collocations, filteraudit, hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
 from tapeloom.llm.batches import small_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -77,6 +77,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filteraudit.audit(filteraudit.failures(_table(spark, folder, "documents")), _table(spark, folder, "labels"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_exact_top_k,
         op12_filter_audit,
+        op13_collocations,
     )
 }
 
@@ -187,4 +192,27 @@ x AS (SELECT part, filter_order, step, bit,
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x""",
+    "op13_collocations": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+             string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT row, lang, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS body FROM t),
+w AS (SELECT row, lang, piece, regexp_extract_all(body, '[^\x20\x09]+') AS words FROM p),
+o AS (SELECT row, lang, piece, generate_subscripts(words, 1) AS i, unnest(words) AS x FROM w),
+g AS MATERIALIZED (SELECT lang, x, lead(x) OVER q AS y, lead(x, 2) OVER q AS z FROM o WINDOW q AS (PARTITION BY row, piece ORDER BY i)),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, a.f AS l, b.f AS r, 1 AS k
+      FROM f2 c JOIN f1 a ON a.lang = c.lang AND a.x = c.x JOIN f1 b ON b.lang = c.lang AND b.x = c.y
+      WHERE c.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 d WHERE d.lang = c.lang AND d.x = c.x AND d.y = c.y AND 100 * d.f >= 50 * c.f)
+        AND NOT EXISTS (SELECT 1 FROM f3 d WHERE d.lang = c.lang AND d.y = c.x AND d.z = c.y AND 100 * d.f >= 50 * c.f)
+      UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, a.f, b.f, 1
+      FROM f3 c JOIN f1 a ON a.lang = c.lang AND a.x = c.x JOIN f2 b ON b.lang = c.lang AND b.x = c.y AND b.y = c.z
+      UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, a.f, b.f, 2
+      FROM f3 c JOIN f2 a ON a.lang = c.lang AND a.x = c.x AND a.y = c.y JOIN f1 b ON b.lang = c.lang AND b.x = c.z),
+s AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score, k AS cut
+FROM v JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000""",
 }

@@ -42,15 +42,16 @@ class Words:
     codes: np.ndarray  # of every word, text after text
     distinct: pa.Array
     counts: np.ndarray  # words per text
+    starts: np.ndarray  # offsets of their first bytes
 
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
-    """Runs of bytes other than space and \\t to \\r; ``lower`` lowers A-Z."""
-    solid = ~SPACE[raw]
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = False, blank: np.ndarray = SPACE) -> Words:
+    """Runs of bytes other than those of ``blank`` (space and \\t to \\r); ``lower`` lowers A-Z."""
+    solid = ~blank[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     starts = at[:-1][at[:-1] < at[1:]]
@@ -60,7 +61,7 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
     before = np.cumsum(solid)
     kept = raw[solid]
     codes, distinct = encoded(LOWER[kept] if lower else kept, np.append(before[place] - 1, len(kept)))
-    return Words(codes, distinct, counts)
+    return Words(codes, distinct, counts, place)
 
 
 def totals(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
