@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import collocations, filteraudit, hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, topk, urlfilter, warc
+from tapeloom.llm import collocations, filteraudit, hostrules, htmltext, jaccard, langid, packing, pieces, suffixdedup, suffixtree, topk, urlfilter, warc
 from tapeloom.llm.batches import small_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -73,6 +73,12 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = suffixtree.score(docs, ~suffixtree.held_out())
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_state")
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filteraudit.audit(filteraudit.failures(_table(spark, folder, "documents")), _table(spark, folder, "labels"))
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_html_extraction,
         op10_exact_top_k,
+        op11_suffix_tree_scores,
         op12_filter_audit,
         op13_collocations,
     )
