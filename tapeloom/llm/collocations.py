@@ -22,10 +22,11 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.batches import offsets
+from tapeloom.llm.batches import offsets, ranges
 from tapeloom.llm.grams import SENT, Answers, Slice, _schemas, added_up, all_tokens, asked, per_answered_slice, per_slice, ranges_for, sliced
 from tapeloom.llm.words import Words, mixed, windows, words
 from tapeloom.plans.stage import stage
@@ -54,7 +55,7 @@ class Graph:
 
     def __init__(self, s: Slice):
         with np.errstate(over="ignore"):
-            values = mixed(s.word_hashes()[s.codes] + np.repeat(s.tag_hashes()[s.tag], s.counts)) if len(s.codes) else np.zeros(0, np.uint64)
+            values = mixed(s.hashes[s.codes] + np.repeat(s.tag_hashes()[s.tag], s.counts)) if len(s.codes) else np.zeros(0, np.uint64)
         ends = offsets(s.counts)[1:]
         self.pair_at = self._by_place(values, s.counts, 2)
         self.triples, self.triple_place = windows(values, s.counts, 3)
@@ -110,11 +111,16 @@ def _paths(least: int):
         count = np.concatenate((a3[mine], a2[pair]))
         head, tail = np.concatenate((head, a2[pair])), np.concatenate((tail, a2[pair]))
         tag = s.tag[np.searchsorted(offsets(s.counts), start, side="right") - 1]
-        rows = []
-        for i, j, n, h, t, lang in zip(start.tolist(), stop.tolist(), count.tolist(), head.tolist(), tail.tolist(), tag.tolist()):
-            spelled = [s.distinct[c].as_py().decode() for c in s.codes[i:j].tolist()]
-            rows.append((s.tags[lang], spelled, n, g.totals(answers, 1, np.arange(i, j)).tolist(), h, t))
-        return rows
+        length = stop - start
+        at = ranges(start, length)
+        cut = offsets(length)
+        used, inverse = np.unique(s.codes[at], return_inverse=True)
+        spelled = s.distinct.take(pa.array(used)).cast(pa.large_string()).take(pa.array(inverse)).to_pylist()
+        singles = g.totals(answers, 1, at).tolist()
+        return [
+            (s.tags[lang], spelled[i:j], n, singles[i:j], h, t)
+            for i, j, n, h, t, lang in zip(cut.tolist(), cut[1:].tolist(), count.tolist(), head.tolist(), tail.tolist(), tag.tolist())
+        ]
 
     return make
 

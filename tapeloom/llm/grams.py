@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -41,7 +42,7 @@ def _schemas(spec: str) -> tuple[str, pa.Schema]:
     return ", ".join(f"{n} {ddl.get(k, k)}" for n, k in pairs), pa.schema([(n, kinds[k]) for n, k in pairs])
 
 
-SLICES = _schemas("slice:long ids:binary has_id:binary tag:binary tags:strings tag_words:longs counts:binary codes:binary lengths:binary letters:binary tokens:long")
+SLICES = _schemas("slice:long ids:binary has_id:binary tag:binary tags:strings tag_words:longs counts:binary codes:binary hashes:binary lengths:binary letters:binary tokens:long")
 SENT = _schemas("kind:int bucket:int slice:long keys:binary weights:binary")
 BACK = _schemas("kind:int slice:long bucket:int totals:binary owned:binary distinct:long")
 
@@ -61,28 +62,29 @@ class Slice:
     tags: list[str]
     counts: np.ndarray  # words per unit
     codes: np.ndarray  # of every word
-    distinct: pa.LargeBinaryArray
+    hashes: np.ndarray  # of the distinct words
+    distinct: pa.LargeBinaryArray | None  # the distinct words, where they are wanted
 
     def row(self) -> tuple:
-        at = np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + len(self.distinct) + 1]
-        data = self.distinct.buffers()[2]
-        letters = bytes(data)[at[0] : at[-1]] if data is not None else b""
+        lengths = letters = None
+        if self.distinct is not None:
+            lengths = pack(np.asarray(pc.binary_length(self.distinct)).astype(np.uint32))
+            letters = zstandard.ZstdCompressor(level=1).compress(b"".join(self.distinct.to_pylist()))
         of_tag = np.bincount(self.tag, self.counts, len(self.tags)).astype(np.int64)
         return (
             self.number, pack(self.ids), pack(self.has_id), pack(self.tag.astype(np.uint32)), self.tags, of_tag.tolist(), pack(self.counts.astype(np.uint32)),
-            pack(self.codes.astype(np.uint32)), pack(np.diff(at).astype(np.uint32)), zstandard.ZstdCompressor(level=1).compress(letters), len(self.codes),
+            pack(self.codes.astype(np.uint32)), self.hashes.tobytes(), lengths, letters, len(self.codes),
         )
 
     @classmethod
     def of(cls, row: dict) -> Slice:
-        at = offsets(unpack(row["lengths"], np.uint32))
-        letters = zstandard.ZstdDecompressor().decompress(row["letters"])
-        distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)])
+        distinct = None
+        if row["letters"] is not None:
+            at = offsets(unpack(row["lengths"], np.uint32))
+            letters = zstandard.ZstdDecompressor().decompress(row["letters"])
+            distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)])
         signed = {n: unpack(row[n], np.uint32).astype(np.int64) for n in ("tag", "counts", "codes")}
-        return cls(row["slice"], unpack(row["ids"], np.int64), unpack(row["has_id"], np.bool_), signed["tag"], row["tags"], signed["counts"], signed["codes"], distinct)
-
-    def word_hashes(self) -> np.ndarray:
-        return hashes(self.distinct)
+        return cls(row["slice"], unpack(row["ids"], np.int64), unpack(row["has_id"], np.bool_), signed["tag"], row["tags"], signed["counts"], signed["codes"], np.frombuffer(row["hashes"], np.uint64), distinct)
 
     def tag_hashes(self) -> np.ndarray:
         """Seeded apart from the words' hashes, since a tag may be spelled like a word."""
@@ -92,11 +94,11 @@ class Slice:
 Cut = Callable[[np.ndarray, np.ndarray], tuple[Words, np.ndarray]]
 
 
-def sliced(docs: DataFrame, cut: Cut, limit: int = SLICE) -> DataFrame:
+def sliced(docs: DataFrame, cut: Cut, limit: int = SLICE, spelled: bool = True) -> DataFrame:
     """Stage the rows of ``docs`` (doc_id long, text string, tag string) as slices.
 
     ``cut`` finds the words of joined texts: Words whose counts are per unit, and the text of every unit. A text
-    longer than ``limit`` bytes is a slice of its own.
+    longer than ``limit`` bytes is a slice of its own. Words are kept as hashes, and ``spelled`` out if wanted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,7 @@ def sliced(docs: DataFrame, cut: Cut, limit: int = SLICE) -> DataFrame:
                 ids = part.column("doc_id")
                 tag = part.column("tag").dictionary_encode()
                 coded = np.asarray(tag.indices).astype(np.int64)
-                found = Slice(number, np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), coded[text], tag.dictionary.to_pylist(), w.counts, w.codes, w.distinct)
+                found = Slice(number, np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), coded[text], tag.dictionary.to_pylist(), w.counts, w.codes, hashes(w.distinct), w.distinct if spelled else None)
                 yield table([found.row()], SLICES[1])
                 number += 1
             give_back()
@@ -163,21 +165,21 @@ class Answers:
     """What came back to one slice."""
 
     def __init__(self, rows: pa.Table):
-        self.rows: dict[int, list[dict]] = {}
+        own: dict[int, list[dict]] = {}
         for r in rows.to_pylist():
-            self.rows.setdefault(r["kind"], []).append(r)
-        for own in self.rows.values():
-            own.sort(key=lambda r: r["bucket"])
+            own.setdefault(r["kind"], []).append(r)
+        self._totals, self._owned = {}, {}
+        for kind, parts in own.items():
+            parts.sort(key=lambda r: r["bucket"])
+            totals = [unpack(r["totals"], np.int64) for r in parts]
+            bits = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(t)) for r, t in zip(parts, totals)]
+            self._totals[kind], self._owned[kind] = np.concatenate(totals), np.concatenate(bits).astype(bool)
 
     def totals(self, kind: int) -> np.ndarray:
-        parts = [unpack(r["totals"], np.int64) for r in self.rows.get(kind, ())]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return self._totals.get(kind, np.zeros(0, np.int64))
 
     def owned(self, kind: int) -> np.ndarray:
-        parts = [
-            np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(unpack(r["totals"], np.int64))).astype(bool) for r in self.rows.get(kind, ())
-        ]
-        return np.concatenate(parts) if parts else np.zeros(0, bool)
+        return self._owned.get(kind, np.zeros(0, bool))
 
 
 def per_slice(staged: DataFrame, make: Callable[[Slice], list[tuple]], schema: tuple[str, pa.Schema]) -> DataFrame:

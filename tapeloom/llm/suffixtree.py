@@ -64,7 +64,7 @@ class Positions:
 
     def __init__(self, s: Slice, least: int):
         self.slice, self.least = s, least
-        self.values = mixed(s.word_hashes()[s.codes]) if len(s.codes) else np.zeros(0, np.uint64)
+        self.values = mixed(s.hashes[s.codes]) if len(s.codes) else np.zeros(0, np.uint64)
         self.learned = np.repeat(np.array([t == "learn" for t in s.tags], bool)[s.tag], s.counts)
         self.before = np.arange(len(s.codes)) - np.repeat(offsets(s.counts)[:-1], s.counts)  # tokens of the same text before this one
         self.hashes: dict[int, np.ndarray] = {}
@@ -162,7 +162,14 @@ class Positions:
 
 
 def score(
-    docs: DataFrame, learn: Column, depth: int = 2, least: int = 4, gain: float = 2.0, strengths: tuple[float, ...] = (1.0, 8.0, 64.0, 512.0), doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    learn: Column,
+    depth: int = 2,
+    least: int = 4,
+    gain: float = 2.0,
+    strengths: tuple[float, ...] = (1.0, 8.0, 64.0, 512.0),
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """One row per text: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score and mean_state.
 
@@ -171,7 +178,7 @@ def score(
     """
     spark = docs.sparkSession
     tag = F.when(learn, F.lit("learn")).otherwise(F.lit("score")).alias("tag")
-    staged = sliced(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tag), ended)
+    staged = sliced(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tag), ended, spelled=False)
     buckets = ranges_for(all_tokens(staged), spark)
     parts = F.explode(F.arrays_zip("tags", "tag_words")).alias("t")
     tokens = staged.select(parts).where(F.col("t.tags") == "learn").agg(F.coalesce(F.sum("t.tag_words"), F.lit(0))).first()[0]
