@@ -1,8 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised whole. Full windows are cut off long documents; what remains is cut into pieces
-of at most ``piece`` tokens. Pieces are gathered, within a task, into groups of ``windows`` windows less a
-small slack, and each group is split by multiway differencing: partial partitions are merged, largest
+of at most ``piece`` tokens (small ones, so that few windows come out too large). Pieces are gathered, within
+a task, into groups of ``windows`` windows less a small slack, and each group is split by multiway differencing: partial partitions are merged, largest
 against smallest, by descending imbalance, which gives near-equal windows. If a window exceeds the
 capacity, the window count of the group rises by one and the group is split anew.
 
@@ -10,7 +10,7 @@ Nothing is shuffled: a task's memory is one slice of texts and one group. Sequen
 number and a count, so a task that is run again gives the same ids for the same rows.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed once each; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored, whatever their names; a text longer than a slice is tokenised alone.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeloom.llm.batches import give_back, offsets, ranges, slices, strings
+from tapeloom.llm.words import LOWER, encoded, joined
 
-_CACHE_UNITS, _SLICE = 200_000, 4 << 20
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_CACHE_UNITS, _SLICE = 500_000, 4 << 20
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def differencing(sizes: list[int], m: int) -> list[tuple[int, list[int]]]:
@@ -67,11 +68,11 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizer that drops white space: each distinct unit is encoded once per task and kept.
+    """Token ids of texts by a tokenizer that drops white space: each distinct unit is encoded once and kept while it is in use.
 
-    A unit stands between spaces or line ends; a space is put between an ASCII letter and a following
-    ``.`` or ``,`` (the tokenizer parts them anyway) and A-Z is lowered (it lowers all text anyway).
-    Texts with ``<|`` may hold special tokens, so they are encoded whole.
+    A unit stands between spaces or line ends; a ``.`` or ``,`` after an ASCII letter begins a unit (the
+    tokenizer parts them anyway) and A-Z is lowered (it lowers all text anyway). Texts with ``<|`` may hold
+    special tokens, so they are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -81,42 +82,75 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.at, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, units: list[str]) -> None:
-        plain = [u for u in units if _PLAIN.fullmatch(u)]
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        units = [u.decode() for u in new]
+        for u in units:
+            (plain if _PLAIN(u) else other).append(u)
+        parts, lengths = [], []
         for i in range(0, len(plain), 512):
             chunk = plain[i : i + 512]
             ids = self._whole([" ".join(chunk)])[0]
             ends = np.flatnonzero(self.closes[ids]) + 1
-            parts = np.split(ids, ends[:-1]) if len(ends) == len(chunk) else self._whole(chunk)
-            self.known.update(zip(chunk, parts))
-        other = [u for u in units if u not in self.known]
-        self.known.update(zip(other, self._whole(other)))
+            if len(ends) != len(chunk):
+                each = self._whole(chunk)
+                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            parts.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        each = self._whole(other)
+        parts += each
+        lengths.append(np.array([len(e) for e in each], np.int64))
+        self.known.update(zip([u.encode() for u in plain + other], range(len(self.known), len(self.known) + len(units))))
+        self.ids = np.concatenate([self.ids, *parts])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(lengths))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+
+    def _keep_the_most_used(self) -> None:
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: _CACHE_UNITS // 2])
+        units = list(self.known)
+        lengths = np.diff(self.at)[kept]
+        self.ids = self.ids[ranges(self.at[kept], lengths)]
+        self.at, self.uses = offsets(lengths), self.uses[kept] // 2
+        self.known = {units[i]: n for n, i in enumerate(kept.tolist())}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offset of every text."""
-        texts = strings(column)
-        special = np.asarray(pc.match_substring(texts, "<|"))
-        plain = pc.if_else(pa.array(special), "", texts)
-        spaced = pc.replace_substring_regex(pc.ascii_lower(plain), "([a-z])([.,])", r"\1 \2")
-        lists = pc.split_pattern(pc.replace_substring(spaced, "\n", " "), " ")
-        found = lists.flatten().dictionary_encode()
-        distinct = found.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > _CACHE_UNITS:
-            self.known.clear()
-        self._encode([u for u in distinct if u not in self.known])
-        parts = [self.known[u] for u in distinct]
-        at = offsets(np.array([len(p) for p in parts], np.int64))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        codes = np.asarray(found.indices)
-        lengths = np.diff(at)[codes]
-        ids = flat[ranges(at[codes], lengths)]
-        per_text = np.diff(offsets(lengths)[offsets(np.asarray(pc.list_value_length(lists)))])
+        raw, at = joined(column)
+        lower = LOWER[raw]
+        solid = (raw != 0x20) & (raw != 0x0A)
+        begins = solid.copy()
+        letter = (lower >= 97) & (lower <= 122)
+        begins[1:] &= ~solid[:-1] | (((raw[1:] == 0x2E) | (raw[1:] == 0x2C)) & letter[:-1])
+        starts = at[:-1][at[:-1] < at[1:]]
+        begins[starts] = solid[starts]
+        place = np.flatnonzero(begins)
+        before = np.cumsum(solid)
+        kept = lower[solid]
+        codes, distinct = encoded(kept, np.append(before[place] - 1, len(kept)))
+        units = distinct.to_pylist()
+        if len(self.known) + len(units) > _CACHE_UNITS:
+            self._keep_the_most_used()
+        new = [u for u in units if u not in self.known]
+        if new:
+            self._learn(new)
+        own = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self.uses[own] += 1
+        wanted = own[codes]
+        lengths = np.diff(self.at)[wanted]
+        ids = self.ids[ranges(self.at[wanted], lengths)]
+        per_text = np.diff(offsets(lengths)[np.searchsorted(place, at)])
+        special = np.asarray(pc.match_substring(strings(column), "<|"))
         if special.any():
+            texts = strings(column)
             pieces = np.split(ids, np.cumsum(per_text)[:-1])
             for i in np.flatnonzero(special):
                 pieces[i] = self._whole([texts[int(i)].as_py()])[0]
@@ -124,6 +158,31 @@ class WordTokens:
         return ids, offsets(per_text)
 
 
+def cut(lengths: np.ndarray, held: int, capacity: int, piece: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length, group) of the pieces of documents of ``lengths`` tokens.
+
+    Full windows come first and have group -1. What is left of the documents is one stream, cut at the documents' ends, every
+    ``piece`` tokens of a document, and wherever a group of ``room`` tokens is full; ``held`` tokens are in group 0 already.
+    """
+    full = lengths // capacity
+    document = np.repeat(np.arange(len(lengths)), full)
+    start = (ranges(np.zeros(len(full), np.int64), full)) * capacity
+    rest = lengths - full * capacity
+    begins = held + offsets(rest)  # in the stream
+    pieces = -(-rest // piece)
+    inner = np.repeat(begins[:-1], pieces) + ranges(np.zeros(len(pieces), np.int64), pieces) * piece
+    cuts = np.unique(np.concatenate((inner, np.arange(room, begins[-1], room))))
+    cuts = cuts[cuts >= held]
+    ends = np.append(cuts[1:], begins[-1])[: len(cuts)]
+    owner = np.searchsorted(begins, cuts, side="right") - 1
+    return (
+        np.concatenate((document, owner)),
+        np.concatenate((start, full[owner] * capacity + cuts - begins[owner])),
+        np.concatenate((np.full(len(start), capacity), ends - cuts)),
+        np.concatenate((np.full(len(start), -1), cuts // room)),
+    )
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -131,9 +190,9 @@ def pack(
     text: str = "text",
     end_id: int = 2,
     capacity: int = 4096,
-    piece: int = 1024,
+    piece: int = 256,
     windows: int = 64,
-    slack: int = 24,
+    slack: int = 12,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for."""
@@ -147,49 +206,55 @@ def pack(
     def run(batches):
         words = WordTokens(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
-        group: list[tuple] = []  # doc id, start, ids, tokens of the document
-        held = 0
-        rows: list[tuple] = []
+        waiting: pa.Table | None = None  # pieces of the open group
+        numbers = pa.schema([arrow.field(i) for i in range(5)] + ([arrow.field("ids")] if with_ids else []))
 
-        def put(members):
+        def placed(pieces: pa.Table, sets: list[list[int]]) -> pa.RecordBatch:
+            """Pieces in the windows that ``sets`` of their indexes name."""
             nonlocal sequence
-            at = 0
-            for doc, start, ids, total in members:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, at, *([ids.tolist()] if with_ids else [])))
-                at += len(ids)
-            sequence += 1
-
-        def close():
-            nonlocal group, held
-            if group:
-                for members in balanced([len(g[2]) for g in group], capacity):
-                    put([group[i] for i in members])
-            group, held = [], 0
-
-        def flush():
-            out = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)] if rows else []
-            rows.clear()
-            return out
+            sizes = np.array([len(s) for s in sets])
+            order = np.concatenate([np.asarray(s, np.int64) for s in sets])
+            out = pieces.take(pa.array(order)).combine_chunks()
+            ends = offsets(np.asarray(out.column("length")))[:-1]
+            first = np.repeat(ends[offsets(sizes)[:-1]], sizes)
+            columns = [out.column(n).combine_chunks() for n in numbers.names[:5]]
+            columns += [pa.array(np.repeat(sequence + np.arange(len(sets)), sizes)), pa.array(ends - first)]
+            columns += [out.column("ids").combine_chunks()] if with_ids else []
+            sequence += len(sets)
+            return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+        def close(pieces: pa.Table) -> pa.RecordBatch:
+            return placed(pieces, balanced(np.asarray(pieces.column("length")).tolist(), capacity))
 
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 ids, at = words.encode(part.column("text"))
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id))
-                    start = 0
-                    while len(own) - start >= capacity:
-                        put([(doc, start, own[start : start + capacity], len(own))])
-                        start += capacity
-                    while start < len(own):
-                        n = min(piece, len(own) - start, room - held)
-                        group.append((doc, start, own[start : start + n], len(own)))
-                        start, held = start + n, held + n
-                        if held == room:
-                            close()
-                    if len(rows) > 20_000:
-                        yield from flush()
-        close()
-        yield from flush()
+                flat = np.insert(ids, at[1:], end_id).astype("<u4")
+                at = at + np.arange(len(at))
+                held = sum(waiting.column("length").to_pylist()) if waiting is not None else 0
+                doc, start, length, group = cut(np.diff(at), held, capacity, piece, room)
+                begin = at[doc] + start
+                view = memoryview(flat).cast("B")
+                sums = [zlib.crc32(view[i:j]) for i, j in zip((4 * begin).tolist(), (4 * (begin + length)).tolist())]
+                found = [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.diff(at)[doc])]
+                if with_ids:
+                    values = pa.array(flat[ranges(begin, length)].astype(np.int64))
+                    found.append(pa.ListArray.from_arrays(pa.array(offsets(length).astype(np.int32)), values))
+                pieces = pa.Table.from_arrays(found, schema=numbers)
+                whole = int((group < 0).sum())
+                if whole:
+                    yield placed(pieces.slice(0, whole), [[i] for i in range(whole)])
+                last = (held + int(length[whole:].sum())) // room  # the group that stays open
+                for g in range(last + 1):
+                    i, j = whole + np.searchsorted(group[whole:], [g, g + 1])
+                    mine = pieces.slice(i, j - i)
+                    waiting = mine if waiting is None else pa.concat_tables([waiting, mine])
+                    if g < last:
+                        yield close(waiting)
+                        waiting = None
+            give_back()
+        if waiting is not None and len(waiting):
+            yield close(waiting)
         del words
         give_back()
 

@@ -53,6 +53,28 @@ def test_packing_is_dense_and_takes_empty_tables(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+def test_few_groups_need_another_window():
+    lengths = np.random.default_rng(1).lognormal(5.5, 1.2, 20_000).astype(np.int64) + 1
+    document, start, length, group = packing.cut(lengths, 0, 4096, 256, 64 * (4096 - 12))
+    assert np.array_equal(np.bincount(document, length, len(lengths)), lengths) and length.max() <= 4096
+    whole = range(group.max())
+    sizes = [len(packing.balanced(length[group == g].tolist(), 4096)) for g in whole]
+    assert len(sizes) > 20 and sum(n > 64 for n in sizes) <= 0.1 * len(sizes)
+
+
+@given(st.lists(st.integers(1, 9000), max_size=40), st.integers(0, 999))
+@settings(max_examples=80, deadline=None)
+def test_cut_keeps_every_token_once(lengths, held):
+    n = np.array(lengths, np.int64)
+    document, start, length, group = packing.cut(n, held, 512, 100, 1000)
+    for i, total in enumerate(lengths):
+        own = sorted(zip(start[document == i].tolist(), length[document == i].tolist()))
+        assert [s for s, _ in own] == [sum(x for _, x in own[:k]) for k in range(len(own))] and sum(x for _, x in own) == total
+    rest = group >= 0
+    filled = np.bincount(group[rest], length[rest]) if rest.any() else np.zeros(1)
+    assert (filled + np.eye(len(filled))[0] * held)[:-1].tolist() == [1000] * (len(filled) - 1)
+
+
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_differencing_splits_everything_within_capacity(sizes):
