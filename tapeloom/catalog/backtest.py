@@ -152,12 +152,11 @@ def _(spark, sf):
     return bars.select("symbol", "bars", F.inline(sets))
 
 
-def _slices_sql(role: str) -> str:
+def _slices_sql(role: str, windows: str = "v_windows", combos: str = "(SELECT * FROM v_combos WHERE short_window < long_window)") -> str:
     return f"""
-SELECT b.symbol, w.window_id, c.combo_id, c.short_window, c.long_window, b.ts, b.open, b.close,
+SELECT b.symbol, w.window_id, c.*, b.ts, b.open, b.close,
        row_number() OVER (PARTITION BY b.symbol, w.window_id, c.combo_id ORDER BY b.ts) - 1 AS rn
-FROM v_daily b JOIN v_windows w ON w.symbol = b.symbol AND b.ts BETWEEN w.{role}_start AND w.{role}_end, v_combos c
-WHERE c.short_window < c.long_window"""
+FROM v_daily b JOIN {windows} w ON w.symbol = b.symbol AND b.ts BETWEEN w.{role}_start AND w.{role}_end, {combos} c"""
 
 
 def _grid_ma_sql(source: str) -> str:
@@ -171,17 +170,44 @@ FROM {source}"""
 _SHARPE = """CASE WHEN count(net_return) >= 2 AND NOT stddev_samp(net_return) < 1e-15 * (abs(avg(net_return)) + 1e-300)
        THEN avg(net_return) / stddev_samp(net_return) * sqrt(365e0) END"""
 _PART = "symbol, window_id, combo_id"
-for _role in ("train", "test"):
-    view(f"v_wf_{_role}", _slices_sql(_role))
-    view(f"v_wf_{_role}_pos", _grid_ma_sql(f"v_wf_{_role}"))
-    view(f"v_wf_{_role}_bt", backtest_sql(f"v_wf_{_role}_pos", _PART, "next_open"))
-view("v_wf", f"""
+
+
+def _walk_views(name: str, slices, positions, score: str, windows: str = "v_windows", combos: str = "v_combos") -> None:
+    """Views of the backtests of all slices, and the walk-forward table over them."""
+    for role in ("train", "test"):
+        view(f"{name}_{role}", slices(role))
+        view(f"{name}_{role}_pos", positions(f"{name}_{role}"))
+        view(f"{name}_{role}_bt", backtest_sql(f"{name}_{role}_pos", _PART, "next_open"))
+    view(name, f"""
 WITH best AS (SELECT symbol, window_id, arg_max(combo_id, (score, -combo_id)) AS combo_id, max(score) AS train_score FROM (
-                SELECT {_PART}, {_SHARPE} AS score FROM v_wf_train_bt GROUP BY {_PART}) WHERE score IS NOT NULL GROUP BY 1, 2),
-tested AS (SELECT {_PART}, {_SHARPE} AS test_score,
-                  count(*) FILTER (lagged <> 0 AND prev_position = 0) AS n_trades_test FROM v_wf_test_bt GROUP BY {_PART})
-SELECT w.*, b.combo_id, b.train_score, t.test_score, t.n_trades_test, c.short_window, c.long_window
-FROM v_windows w JOIN best b USING (symbol, window_id) JOIN tested t USING (symbol, window_id, combo_id) JOIN v_combos c USING (combo_id)""")
+                SELECT {_PART}, {score} AS score FROM {name}_train_bt GROUP BY {_PART}) WHERE score IS NOT NULL GROUP BY 1, 2),
+tested AS (SELECT {_PART}, {score} AS test_score,
+                  count(*) FILTER (lagged <> 0 AND prev_position = 0) AS n_trades_test FROM {name}_test_bt GROUP BY {_PART})
+SELECT w.*, b.combo_id, b.train_score, t.test_score, t.n_trades_test, c.* EXCLUDE (combo_id)
+FROM {windows} w JOIN best b USING (symbol, window_id) JOIN tested t USING (symbol, window_id, combo_id) JOIN {combos} c USING (combo_id)""")
+
+
+_walk_views("v_wf", _slices_sql, _grid_ma_sql, _SHARPE)
+view("v_anchored", "SELECT w.* REPLACE (f.first AS train_start) FROM v_windows w JOIN (SELECT symbol, min(ts) AS first FROM v_daily GROUP BY 1) f USING (symbol)")
+_walk_views("v_wfa", lambda role: _slices_sql(role, "v_anchored"), _grid_ma_sql, _SHARPE, "v_anchored")
+
+BANDS = {"window": [10, 20], "num_std": [1.0, 2.0]}
+view("v_bands", "SELECT i * 2 + j AS combo_id, n AS length, k AS num_std FROM (VALUES (0, 10), (1, 20)) a(i, n), (VALUES (0, 1e0), (1, 2e0)) b(j, k)")
+
+
+def _grid_bands_sql(source: str) -> str:
+    pick = lambda f: "CASE length " + " ".join(
+        f"WHEN {n} THEN {f}(close) OVER (PARTITION BY {_PART} ORDER BY rn ROWS {n - 1} PRECEDING)" for n in BANDS["window"]
+    ) + " END"
+    return f"""
+SELECT *, CASE WHEN rn >= length - 1 THEN coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY {_PART} ORDER BY rn ROWS UNBOUNDED PRECEDING), 0e0) END AS position
+FROM (SELECT *, CASE WHEN rn >= length - 1 THEN CASE WHEN close < mu - num_std * sd THEN 1e0 WHEN close > mu THEN 0e0 END END AS event
+      FROM (SELECT *, {pick('avg')} AS mu, {pick('stddev_samp')} AS sd FROM {source}))"""
+
+
+# Net profit per trade: a score other than the Sharpe ratio.
+_PER_TRADE = "sum(net_return) / nullif(count(*) FILTER (lagged <> 0 AND prev_position = 0), 0)"
+_walk_views("v_wfb", lambda role: _slices_sql(role, "v_anchored", "v_bands"), _grid_bands_sql, _PER_TRADE, "v_anchored", "v_bands")
 
 
 def _walk(spark, sf):
@@ -193,6 +219,23 @@ def _(spark, sf):
     return _walk(spark, sf).select("*", F.col("params.short_window"), F.col("params.long_window"))
 
 
+@query("F6_walk_forward_anchored", _WINDOW + " combo_id:i short_window:i long_window:i train_score:f6 test_score:f6 n_trades_test:i", "SELECT * FROM v_wfa")
+def _(spark, sf):
+    """Growing training slices; tiles far shorter than a slice."""
+    bars = T.indexed_daily_bars(spark, sf)
+    out = K.walk_forward(bars, "ma_crossover", GRID, Rolling(365, 90, anchored=True), bars_per_year=365, size=100)
+    return out.select("*", F.col("params.short_window"), F.col("params.long_window"))
+
+
+@query("F6_walk_forward_score", _WINDOW + " combo_id:i length:i num_std:f2 train_score:f7 test_score:f7 n_trades_test:i", "SELECT * FROM v_wfb")
+def _(spark, sf):
+    """A rule that keeps its last event, anchored windows, and a score of its own."""
+    bars = T.indexed_daily_bars(spark, sf)
+    score = lambda m: m.total / F.when(m.trades > 0, m.trades)
+    out = K.walk_forward(bars, "bollinger", BANDS, Rolling(365, 90, anchored=True), score=score)
+    return out.select("*", F.col("params.window").alias("length"), F.col("params.num_std"))
+
+
 @query("J14_walk_forward_summary", "symbol:s windows:i mean_train:f6 mean_test:f6 median_test:f6 positive_share:f6", """
 SELECT symbol, count(*) AS windows, avg(train_score) AS mean_train, avg(test_score) AS mean_test, median(test_score) AS median_test,
        avg(CASE WHEN test_score > 0 THEN 1e0 ELSE 0e0 END) AS positive_share FROM v_wf GROUP BY 1""")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock, maths
 from tapeloom.operators.signals import STRATEGIES, Strategy
-from tapeloom.operators.stats import sharpe
+from tapeloom.operators.walkforward import Score, scored_slices, sharpe_score
 from tapeloom.plans.joins import asof_join, lookup_join, match_keys
 from tapeloom.plans.runs import next_row
 from tapeloom.plans.scan import carry_scan, running
@@ -279,53 +279,33 @@ def walk_forward(
     config: BacktestConfig = BacktestConfig(),
     *,
     bars_per_year: int | None = None,
-    score: Column | None = None,
+    score: Score | None = None,
     key: Sequence[str] = KEY,
+    size: int = TILE_ROWS,
 ) -> DataFrame:
     """Per window the parameter set with the best training score, and how it did on the test slice.
 
-    All windows and parameter sets run in one job: indicators once per slice and distinct length,
-    then one row per (slice, bar, set). A window partition is one slice, whose length is set by
-    ``rolling`` and the bar size. ``score`` is any aggregate over the backtest columns.
+    Every parameter set is run once over each series, and slices are scored by differences of running
+    sums (``walkforward``), so rolling and anchored windows take work linear in the bars. ``score`` maps the
+    moments of a slice's net returns to a number; the default is the Sharpe ratio.
     """
     if score is None:
         if bars_per_year is None:
             raise ValueError("give bars_per_year or score")
-        score = sharpe("net_return", bars_per_year)
+        score = sharpe_score(bars_per_year)
     strategy = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
     combos = valid_combos(strategy, grid)
     params = [p for _, p in combos]
     key = list(key)
     part = [*key, "window_id"]
-    slices = window_slices(bars.select(*key, "ts", "open", "close"), rolling, key=key)
-
-    def indicated(role: str) -> DataFrame:
-        t = tile(slices.where(F.col("role") == role).drop("role"), part, size=None)
-        return strategy.indicators(t, params).drop("_tile", "_core")
-
-    def tested(df: DataFrame) -> DataFrame:
-        with_positions = _grid_positions(df, strategy, combos, part)
-        return run_backtest(with_positions.select(*part, "combo_id", "ts", "open", "close", "rn", "position"), config, key=[*part, "combo_id"], size=None)
-
-    ids = F.array(*[F.lit(i) for i, _ in combos])
-    trained = tested(indicated("train").withColumn("combo_id", F.explode(ids)))
-    scores = trained.groupBy(*part, "combo_id").agg(score.alias("train_score")).where(_finite_or_high("train_score"))
-    best = scores.groupBy(*part).agg(F.max_by(F.struct("combo_id", "train_score"), F.struct("train_score", -F.col("combo_id"))).alias("_b"))
-    best = stage(best.select(*part, "_b.*"), "best")
-    test = tested(indicated("test").join(best.drop("train_score"), part))
-    test = stage(test, "tested")
-    trades = trade_log(test, key=part, size=None).groupBy(*part).agg(F.count("*").alias("n_trades_test"))
-    out = test.groupBy(*part).agg(score.alias("test_score")).join(trades, part, "left").join(best, part)
+    windows = stage(make_windows(bars, rolling, key=key), "windows")
+    scores = stage(scored_slices(bars, windows, strategy, combos, score, config.cost, config.execution, key=key, size=size), "scores")
+    train = scores.where("role = 'train'").withColumnRenamed("score", "train_score").where(_finite_or_high("train_score"))
+    best = train.groupBy(*part).agg(F.max_by(F.struct("combo_id", "train_score"), F.struct("train_score", -F.col("combo_id"))).alias("_b"))
+    test = scores.where("role = 'test'").select(*part, "combo_id", F.col("score").alias("test_score"), F.col("trades").alias("n_trades_test"))
+    out = best.select(*part, "_b.*").join(test, [*part, "combo_id"])
     named = F.create_map(*[x for n in (params[0] if params else {}) for x in (F.lit(n), _param(combos, n))])
-    windows = make_windows(bars, rolling, key=key)
-    return windows.join(out, part).select(
-        *windows.columns,
-        "combo_id",
-        "train_score",
-        "test_score",
-        named.alias("params"),
-        F.coalesce("n_trades_test", F.lit(0)).cast("long").alias("n_trades_test"),
-    )
+    return windows.join(out, part).select(*windows.columns, "combo_id", "train_score", "test_score", named.alias("params"), "n_trades_test")
 
 
 def _param(combos, name: str) -> Column:
@@ -351,7 +331,7 @@ def stitched_curve(
         raise ValueError("step_days must be at least test_days to chain test slices")
     key = list(key)
     part = [*key, "window_id"]
-    slices = window_slices(bars.select(*key, "ts", "open", "close"), rolling, key=key).where("role = 'test'").drop("role")
+    slices = window_slices(bars.select(*key, "ts", *strategy.columns), rolling, key=key).where("role = 'test'").drop("role")
     t = tile(slices, part, size=None)
     df = strategy.indicators(t, [params]).drop("_tile", "_core").withColumn("combo_id", F.lit(0))
     df = _grid_positions(df, strategy, [(0, dict(params))], part)

@@ -35,6 +35,7 @@ class Strategy:
         raise NotImplementedError
 
     latched = False
+    columns: tuple[str, ...] = ("open", "close")  # of the bars, as far as the rule or the backtest reads them
 
     def ready(self, **params) -> Column:
         raise NotImplementedError

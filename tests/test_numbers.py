@@ -120,17 +120,41 @@ def test_parameter_grid_and_refused_sets():
     assert K.valid_combos(S.STRATEGIES["ma_crossover"], grid) == [(0, {"short_window": 5, "long_window": 20})]
 
 
-def test_walk_forward_uses_the_best_training_set(spark):
+@pytest.mark.parametrize("name,grid,execution,anchored", [
+    ("bollinger", {"window": [5, 10], "num_std": [0.5, 1.0]}, "next_open", False),
+    ("bollinger", {"window": [4, 15], "num_std": [1.5]}, "next_close", True),
+    ("ma_crossover", {"short_window": [2, 3], "long_window": [5, 19]}, "next_close", False),
+    ("ma_crossover", {"short_window": [2, 25], "long_window": [20, 40]}, "next_open", True),
+])
+def test_walk_forward_scores_slices_as_if_run_alone(spark, name, grid, execution, anchored):
+    """Look-backs longer than the test slice, tiles shorter than a slice, both executions."""
     bars = f.bars(spark, f.walk(160, 4), seconds=86400)
-    grid = {"window": [5, 10], "num_std": [0.5, 1.0]}
-    got = K.walk_forward(bars, "bollinger", grid, Rolling(60, 20), bars_per_year=365).orderBy("window_id").toPandas()
+    rolling, config = Rolling(60, 20, anchored=anchored), BacktestConfig(execution=execution)
+    got = K.walk_forward(bars, name, grid, rolling, config, bars_per_year=365, size=50).orderBy("window_id").toPandas()
     assert len(got) == 4
-    pos = S.bollinger_mean_reversion
+    rule = {"bollinger": S.bollinger_mean_reversion, "ma_crossover": S.ma_crossover}[name]
+    combos = K.valid_combos(S.STRATEGIES[name], grid)
+
+    def alone(start, end, params):
+        run = K.run_backtest(rule(bars.where(F.col("ts").between(start, end)), **params, size=None), config, size=None).cache()
+        return run.agg(G.sharpe("net_return", 365)).first()[0], K.trade_log(run, size=None).count()
+
+    near = lambda x: None if x is None else pytest.approx(x, rel=1e-7)
     for r in got.itertuples():
-        train = bars.where(F.col("ts").between(r.train_start, r.train_end))
-        scores = [K.run_backtest(pos(train, p["window"], p["num_std"], size=None), size=None).agg(G.sharpe("net_return", 365)).first()[0] for p in K.parameter_grid(grid)]
-        best = int(np.argmax([-np.inf if s is None else s for s in scores]))
-        assert r.combo_id == best and r.train_score == pytest.approx(scores[best])
+        scores = {i: alone(r.train_start, r.train_end, p)[0] for i, p in combos}
+        best = max(scores, key=lambda i: (-np.inf if scores[i] is None else scores[i], -i))
+        assert r.combo_id == best and r.train_score == near(scores[best])
+        score, trades = alone(r.test_start, r.test_end, dict(combos)[best])
+        assert r.n_trades_test == trades and (None if np.isnan(r.test_score) else r.test_score) == near(score)
+
+
+def test_walk_forward_takes_a_score_of_moments(spark):
+    bars = f.bars(spark, f.walk(160, 4), seconds=86400)
+    grid = {"short_window": [2, 5], "long_window": [9]}
+    got = K.walk_forward(bars, "ma_crossover", grid, Rolling(60, 20), score=lambda m: m.total / m.n).toPandas()
+    assert len(got) == 4 and (got["train_score"].abs() < 0.1).all()
+    with pytest.raises(ValueError):
+        K.walk_forward(bars, "ma_crossover", grid)
 
 
 def test_book_levels_and_imbalance(spark):
