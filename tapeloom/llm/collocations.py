@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.batches import offsets, ranges
-from tapeloom.llm.grams import SENT, Answers, Slice, _schemas, added_up, all_tokens, asked, per_answered_slice, per_slice, ranges_for, sliced
+from tapeloom.llm.grams import SENT, Answers, Slice, _schemas, added_up, all_tokens, asked, at_least, per_answered_slice, per_slice, ranges_for, sliced
 from tapeloom.llm.words import Words, mixed, windows, words
 from tapeloom.plans.stage import stage
 
@@ -139,7 +139,7 @@ def compacted_paths(docs: DataFrame, least: int = 10, doc_id: str = "doc_id", te
         g = Graph(s)
         return [row for n in (1, 2, 3) for row in asked(n, s.number, g.keys[n], g.weights[n], buckets)]
 
-    answers = added_up(per_slice(staged, send, SENT), dict.fromkeys((1, 2, 3), least), "graph")
+    answers = added_up(per_slice(staged, send, SENT), at_least(least), "graph", owners=True)
     paths = stage(per_answered_slice(staged, answers, _paths(least), PATHS), "paths")
     sizes = staged.select(F.explode(F.arrays_zip("tags", "tag_words")).alias("t")).groupBy(F.col("t.tags").alias("lang")).agg(F.sum("t.tag_words").alias("n"))
     return paths, sizes

@@ -123,38 +123,49 @@ def ranges_for(tokens: int, spark, entries: int = RANGE_ENTRIES) -> int:
 
 
 def asked(kind: int, number: int, keys: np.ndarray, weights: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows to send for sorted distinct keys."""
+    """Rows to send for sorted distinct keys; a key may have several weights (one row of ``weights`` each)."""
     cuts = bucket_cuts(keys, buckets, 64)
-    return [(kind, b, number, pack_sorted(keys[i:j]), pack(weights[i:j].astype(np.int64))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+    weights = np.atleast_2d(weights).astype(np.int64)
+    return [(kind, b, number, pack_sorted(keys[i:j]), pack(weights[:, i:j].ravel())) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
 
 
-def added_up(sent: DataFrame, least: dict[int, int], name: str) -> DataFrame:
-    """Totals of equal keys, in the order of each sender's keys; totals under the kind's ``least`` come back as 0.
+Settle = Callable[[int, np.ndarray], np.ndarray]
 
-    The first slice that sent a key owns it; ``distinct`` counts a range's keys with a positive total.
+
+def at_least(least: int) -> Settle:
+    """Answer with the totals, 0 for smaller ones."""
+    return lambda kind, sums: np.where(sums[0] >= least, sums[0], 0)
+
+
+def added_up(sent: DataFrame, settle: Settle, name: str, owners: bool = False) -> DataFrame:
+    """Answers for all that was asked, in the order of each sender's keys.
+
+    ``settle`` makes one number of a kind's keys from the totals of their weights (a row per weight). With ``owners`` the
+    first slice that sent a key learns that it owns it. ``distinct`` counts a range's keys with a positive first total.
     """
 
     def merge(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["slice"])
         kind, keys = rows[0]["kind"], [unpack_sorted(r["keys"]) for r in rows]
         at = offsets(np.array([len(k) for k in keys]))
-        every, weights = np.concatenate(keys), np.concatenate([unpack(r["weights"], np.int64) for r in rows])
+        every = np.concatenate(keys)
+        weights = np.concatenate([unpack(r["weights"], np.int64).reshape(-1, len(k)) for r, k in zip(rows, keys)], axis=1)
         del keys
         order = np.argsort(every, kind="stable")
         every = every[order]
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        sums = np.add.reduceat(weights[order], first)
-        distinct = int((sums > 0).sum())
-        sums[sums < least.get(kind, 1)] = 0
-        totals, owned = np.empty(len(every), np.int64), np.zeros(len(every), bool)
-        totals[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
+        sums = np.add.reduceat(weights[:, order], first, axis=1)
+        distinct = int((sums[0] > 0).sum())
+        answers = np.empty(len(every), np.int64)
+        answers[order] = np.repeat(settle(kind, sums), np.diff(np.append(first, len(every))))
+        owned = np.zeros(len(every), bool)
         owned[order[first]] = True
         out = [
-            (kind, r["slice"], r["bucket"], pack(totals[i:j]), np.packbits(owned[i:j]).tobytes(), 0 if n else distinct)
+            (kind, r["slice"], r["bucket"], pack(answers[i:j]), np.packbits(owned[i:j]).tobytes() if owners else None, 0 if n else distinct)
             for n, (r, i, j) in enumerate(zip(rows, at, at[1:]))
         ]
         result = pa.Table.from_batches([table(out, BACK[1])])
-        del every, weights, order, totals
+        del every, weights, order, answers, sums
         give_back()
         return result
 
@@ -172,8 +183,10 @@ class Answers:
         for kind, parts in own.items():
             parts.sort(key=lambda r: r["bucket"])
             totals = [unpack(r["totals"], np.int64) for r in parts]
-            bits = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(t)) for r, t in zip(parts, totals)]
-            self._totals[kind], self._owned[kind] = np.concatenate(totals), np.concatenate(bits).astype(bool)
+            self._totals[kind] = np.concatenate(totals)
+            if parts[0]["owned"] is not None:
+                bits = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(t)) for r, t in zip(parts, totals)]
+                self._owned[kind] = np.concatenate(bits).astype(bool)
 
     def totals(self, kind: int) -> np.ndarray:
         return self._totals.get(kind, np.zeros(0, np.int64))

@@ -38,8 +38,9 @@ from tapeloom.llm.batches import offsets
 from tapeloom.llm.grams import SENT, Answers, Slice, _schemas, added_up, all_tokens, asked, per_answered_slice, per_slice, ranges_for, sliced
 from tapeloom.llm.words import Words, mixed, windows, words
 
+_SLICE = 8 << 20  # twice the usual slice: fewer pairs are asked for twice
 _UNIT = 1 << 20  # parts of a nat
-_GAIN = 100  # kinds of grams are 1, 2, ...; kinds of divergence sums add this for the first strength, twice this for the second, ...
+_GAIN = 100  # kinds of grams are 1, 2, ...; kinds of divergences are these and the context's length
 SCORES = _schemas("doc_id:long trained:boolean n_tokens:long n_known:long train_tokens:long base_score:double score:double mean_state:double")
 
 
@@ -121,11 +122,10 @@ class Positions:
         at, keys, inverse = self.contexts(k)
         if not len(at):
             return at
-        gains = np.stack([answers.totals(_GAIN * (j + 1) + k) for j in range(len(strengths))])
-        best = gains.argmax(axis=0)
-        stays = (gains.max(axis=0) > 0)[inverse]
+        chosen = answers.totals(_GAIN + k)[inverse]  # 0, or the number of a strength from 1
+        stays = chosen > 0
         at = at[stays]
-        p[at] = self.smoothed(k, at, p, np.array(strengths)[best][inverse[stays]], without)
+        p[at] = self.smoothed(k, at, p, np.array(strengths)[chosen[stays] - 1], without)
         return at
 
     def ask_gains(self, answers: Answers, k: int, strengths: tuple[float, ...], tokens: int, known: int, buckets: int) -> list[tuple]:
@@ -134,13 +134,11 @@ class Positions:
             self.deepen(answers, shorter, p, strengths, 1)
         at, keys, inverse = self.contexts(k)
         at, context = at[self.learned[at]], inverse[self.learned[at]]
-        rows = []
+        sums = np.zeros((len(strengths), len(keys)), np.int64)
         for j, strength in enumerate(strengths):
             gained = np.log(self.smoothed(k, at, p, strength, 1)) - np.log(p[at])
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, context, np.rint(gained * _UNIT).astype(np.int64))
-            rows += asked(_GAIN * (j + 1) + k, self.slice.number, keys, sums, buckets)
-        return rows
+            np.add.at(sums[j], context, np.rint(gained * _UNIT).astype(np.int64))
+        return asked(_GAIN + k, self.slice.number, keys, sums, buckets)
 
     def scores(self, answers: Answers, depth: int, strengths: tuple[float, ...], tokens: int, known: int) -> list[tuple]:
         unigram = self.root(0, tokens, known)
@@ -178,7 +176,7 @@ def score(
     """
     spark = docs.sparkSession
     tag = F.when(learn, F.lit("learn")).otherwise(F.lit("score")).alias("tag")
-    staged = sliced(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tag), ended, spelled=False)
+    staged = sliced(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), tag), ended, limit=_SLICE, spelled=False)
     buckets = ranges_for(all_tokens(staged), spark)
     parts = F.explode(F.arrays_zip("tags", "tag_words")).alias("t")
     tokens = staged.select(parts).where(F.col("t.tags") == "learn").agg(F.coalesce(F.sum("t.tag_words"), F.lit(0))).first()[0]
@@ -187,7 +185,11 @@ def score(
         p = Positions(s, least)
         return p.ask(1, buckets) + p.ask(2, buckets)
 
-    answers = added_up(per_slice(staged, first, SENT), {}, "grams")
+    def settle(kind: int, sums: np.ndarray) -> np.ndarray:
+        """Counts as they are; of divergences, the number of the strength with the largest one if it is large enough."""
+        return sums[0] if kind < _GAIN else np.where(sums.max(axis=0) >= round(gain * _UNIT), sums.argmax(axis=0) + 1, 0)
+
+    answers = added_up(per_slice(staged, first, SENT), settle, "grams")
     known = answers.where("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     for k in range(1, depth + 1):
 
@@ -196,8 +198,7 @@ def score(
             p.know(back, k + 1)
             return p.ask_gains(back, k, strengths, tokens, known, buckets) + (p.ask(k + 2, buckets) if k < depth else [])
 
-        limits = {_GAIN * (j + 1) + k: round(gain * _UNIT) for j in range(len(strengths))}
-        answers = answers.unionByName(added_up(per_answered_slice(staged, answers, grow, SENT), limits, "grams"))
+        answers = answers.unionByName(added_up(per_answered_slice(staged, answers, grow, SENT), settle, "grams"))
 
     def finish(s: Slice, back: Answers) -> list[tuple]:
         p = Positions(s, least)

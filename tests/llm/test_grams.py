@@ -217,7 +217,7 @@ def same(got, want):
 def test_suffix_tree_scores_against_brute_force(spark, monkeypatch, depth, least, limit):
     docs = clashing(documents(spark)).withColumn("tag", F.lit("odd")).withColumn("slice", F.lit(1)).withColumn("trained", F.lit(0))
     whole = suffixtree.sliced
-    monkeypatch.setattr(suffixtree, "sliced", lambda d, c, **kw: whole(d, c, limit, **kw))
+    monkeypatch.setattr(suffixtree, "sliced", lambda d, c, **kw: whole(d, c, **kw | {"limit": limit}))
     data = rows(docs, "doc_id", "text")
     learn = [d is None or zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in data]
     want, states, *_ = naive_scores(data, learn, depth, least, 2.0, (1.0, 8.0, 64.0, 512.0))
