@@ -130,11 +130,41 @@ def _(spark, sf):
     return G.bootstrap_indices(n, n_iter=ITERATIONS)
 
 
-def _interval_sql(statistic: str, value: str, source: str) -> str:
+# Blocks: geometric steps by inversion, segment by segment, and the rows they stand for.
+def _blocks_sql(iterations: int) -> str:
+    u = lambda name, *parts: f"CAST('0x' || substr(md5('0|{name}|' || {" || '|' || ".join(parts)}), 1, 8) AS BIGINT) / 4294967296e0"
     return f"""
-WITH d AS (SELECT v.symbol, v.iter, {statistic.replace('$', 'b.' + value)} AS s FROM v_draws v
-           JOIN {source} b ON b.symbol = v.symbol AND b.rn = v.idx GROUP BY 1, 2)
-SELECT p.symbol, p.point, quantile_cont(s, 0.025e0) AS lower, quantile_cont(s, 0.975e0) AS upper, {ITERATIONS} AS n_iter, any_value(len) AS block_size
+WITH z AS (SELECT *, greatest(1, least(n, CAST(floor(256 * len) AS BIGINT))) AS span FROM v_sizes),
+k AS (SELECT *, CAST(least(span + 1, ceil(span / len + 12 * sqrt(span / len) + 30)) AS BIGINT) AS most FROM z),
+i AS (SELECT *, unnest(range({iterations})) AS iter FROM k),
+s AS (SELECT *, unnest(range((n - 1) // span + 1)) AS seg FROM i),
+g AS (SELECT *, unnest(range(most)) AS k FROM s),
+d AS (SELECT *, seg * span - 1 + sum(CASE WHEN seg = 0 AND k = 0 THEN 1 ELSE CAST(floor(ln(1 - {u('gap', 'iter', 'seg', 'k')}) / ln(1 - 1 / len)) AS BIGINT) + 1 END)
+        OVER (PARTITION BY symbol, iter, seg ORDER BY k) AS t FROM g)
+SELECT symbol, n, len, iter, CAST(t AS BIGINT) AS t, CAST(floor({u('start', 'iter', 'CAST(t AS BIGINT)')} * n) AS BIGINT) AS s,
+       CAST(coalesce(lead(t) OVER (PARTITION BY symbol, iter ORDER BY t), n) - t AS BIGINT) AS length
+FROM d WHERE t < least(n, (seg + 1) * span)"""
+
+
+view("v_blocks", _blocks_sql(ITERATIONS))
+
+
+@query("G12_bootstrap_blocks", "symbol:s iter:i t:i idx:i", """
+SELECT symbol, iter, t + j AS t, (s + j) % n AS idx FROM (SELECT *, unnest(range(length)) AS j FROM v_blocks)""")
+def _(spark, sf):
+    """The rows that the blocks stand for."""
+    n = T.hourly_bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"))
+    blocks = G.bootstrap_blocks(n, n_iter=ITERATIONS)
+    rows = blocks.select("symbol", "iter", "t", "idx", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("j"))
+    return rows.select("symbol", "iter", (F.col("t") + F.col("j")).alias("t"), F.pmod(F.col("idx") + F.col("j"), "n").alias("idx"))
+
+
+def _interval_sql(statistic: str, value: str, source: str, iterations: int = ITERATIONS) -> str:
+    return f"""
+WITH x AS (SELECT symbol, iter, (s + j) % n AS idx FROM (SELECT *, unnest(range(length)) AS j FROM v_blocks WHERE iter < {iterations})),
+d AS (SELECT x.symbol, x.iter, {statistic.replace('$', 'b.' + value)} AS s FROM x
+      JOIN {source} b ON b.symbol = x.symbol AND b.rn = x.idx GROUP BY 1, 2)
+SELECT p.symbol, p.point, quantile_cont(s, 0.025e0) AS lower, quantile_cont(s, 0.975e0) AS upper, {iterations} AS n_iter, any_value(len) AS block_size
 FROM d JOIN (SELECT symbol, {statistic.replace('$', value)} AS point FROM {source} GROUP BY 1) p USING (symbol)
 JOIN v_sizes z USING (symbol) GROUP BY 1, 2"""
 
@@ -144,7 +174,12 @@ _CI = "symbol:s point:f6 lower:f6 upper:f6 n_iter:i block_size:f6"
 
 @query("G13_bootstrap_ci", _CI, _interval_sql("avg($)", "close", "v_nbars"))
 def _(spark, sf):
-    return G.bootstrap_ci(T.indexed_hourly_bars(spark, sf), "close", F.avg, n_iter=ITERATIONS)
+    return G.bootstrap_ci(T.indexed_hourly_bars(spark, sf), "close", n_iter=ITERATIONS)
+
+
+@query("G13_bootstrap_any_ci", _CI, _interval_sql("median($)", "close", "v_nbars", 40))
+def _(spark, sf):
+    return G.bootstrap_any_ci(T.indexed_hourly_bars(spark, sf), "close", F.median, n_iter=40)
 
 
 @query("G14_bootstrap_sharpe_ci", _CI, _interval_sql(f"avg($) / nullif(stddev_samp($), 0) * sqrt({BPY}e0)", "net_return", "v_bt_ma"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import maths
@@ -182,10 +183,90 @@ def bootstrap_indices(
     return out.select(*by, "t", F.pmod(F.col("_at.s") + F.col("t") - F.col("_at.t"), F.col("n")).alias("idx"))
 
 
+# Blocks of one replicate are drawn in segments that expect this many of them.
+_BLOCKS = 256
+
+
+def bootstrap_blocks(
+    sizes: DataFrame, *, n_iter: int, seed: int = 0, mean_block_size: float | None = None, key: Sequence[str] = KEY
+) -> DataFrame:
+    """Stationary bootstrap by blocks: (key, iter, t, idx, length, n) from (key, n).
+
+    Rows t to t + length - 1 of a replicate are the source rows idx, idx + 1, ... round the end. The steps
+    between restarts are geometric, so they are drawn directly, by inversion of a hash of (seed, iter, segment, number):
+    about n / mean block size rows per replicate instead of n. Restarts have no memory, so the time axis is cut into segments that
+    are drawn on their own; a block that crosses a border is continued there by one more row. A segment in which the
+    drawn steps should not reach its end (a chance below 1e-15) fails the job.
+    """
+    if mean_block_size is not None and mean_block_size < 1:
+        raise ValueError("mean_block_size must be >= 1")
+    key = list(key)
+    by = [*key, "iter"]
+    length = auto_block_size(F.col("n")) if mean_block_size is None else F.lit(float(mean_block_size))
+    span = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.lit(_BLOCKS) * F.col("_len")))).cast("long")
+    expected = F.col("_span") / F.col("_len")
+    most = F.least(F.col("_span") + 1, F.ceil(expected + 12 * F.sqrt(expected) + 30)).cast("long")
+    series = sizes.where("n > 0").select(*key, F.col("n").cast("long").alias("n"), length.alias("_len")).withColumn("_span", span).withColumn("_most", most)
+    drawn = series.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iter"))
+    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("_span")))).alias("_seg"))
+    drawn = drawn.repartition(*by, "_seg")  # few wide rows become many: spread them first
+    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)).alias("_k"))
+    u = uniform(seed, F.lit("gap"), "iter", "_seg", "_k")
+    gap = F.floor(div(F.log(1 - u), F.log(1 - 1 / F.col("_len")))) + 1
+    gap = F.when(((F.col("_seg") == 0) & (F.col("_k") == 0)) | (F.col("_len") <= 1), F.lit(1)).otherwise(gap).cast("long")
+    within = Window.partitionBy(*by, "_seg").orderBy("_k")
+    begin, end = F.col("_seg") * F.col("_span"), F.least(F.col("n"), (F.col("_seg") + 1) * F.col("_span"))
+    drawn = drawn.withColumn("t", begin - 1 + F.sum(gap).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    short = (F.col("_k") == F.col("_most") - 1) & (F.col("t") < end - 1)
+    drawn = drawn.withColumn("t", F.when(short, F.raise_error(F.lit("a bootstrap segment was drawn too short")).cast("long")).otherwise(F.col("t")))
+    start = F.floor(uniform(seed, F.lit("start"), "iter", "t") * F.col("n")).cast("long")
+    marked = drawn.where(F.col("t") < end).select(*by, "n", "_span", "_seg", "t", F.struct(F.col("t").alias("t"), start.alias("s")).alias("_at"))
+    borders = series.select(*key, "n", "_span", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("iter"))
+    borders = borders.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("_span")))).alias("_seg"))
+    borders = borders.where("_seg > 0").select(*by, "n", "_span", "_seg", begin.alias("t"), F.lit(None).cast(marked.schema["_at"].dataType).alias("_at"))
+    rows = marked.unionByName(borders).withColumn("_order", 2 * F.col("t") + F.col("_at").isNotNull().cast("long"))
+    rows = carry_scan(rows, by, "_seg", ("_order",), {"_from": running("last", "_at", ("t", "s"))})
+    following = F.lead("t").over(Window.partitionBy(*by, "_seg").orderBy("_order"))
+    size = F.coalesce(following, end) - F.col("t")
+    out = rows.withColumn("length", size).where("length > 0")
+    return out.select(*by, "t", F.pmod(F.col("_from.s") + F.col("t") - F.col("_from.t"), F.col("n")).alias("idx"), "length", "n")
+
+
+@dataclass(frozen=True)
+class Sample:
+    """What a statistic of a replicate may use: how many values, their mean and sample standard deviation."""
+
+    n: Column
+    mean: Column
+    deviation: Column
+
+
+def mean(s: Sample) -> Column:
+    return s.mean
+
+
+def _replicates(rows: DataFrame, sizes: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, iter, n, first, second): the first two moments of every replicate about the mean of the series.
+
+    A block is a run of rows round the end of the series, so its sums are differences of running sums, plus
+    whole turns: two looked-up rows per block. Centred values keep the sums of a constant series at 0.
+    """
+    centred = rows.join(sizes.select(*key, "_mean"), key).withColumn("r", F.col("r") - F.col("_mean"))
+    t = tile(centred, key)
+    sums = {"first": running("sum", F.col("r")), "second": running("sum", F.col("r") * F.col("r"))}
+    before = stage(carry_scan(t.core(), key, "_tile", ("rn",), sums, exclusive=True).select(*key, "rn", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums]), "running")
+    turn = centred.groupBy(*key).agg(F.sum("r").alias("_all1"), F.sum(F.col("r") * F.col("r")).alias("_all2"))
+    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), at.alias("at")) for sign, at in ((-1, F.col("idx")), (1, F.col("idx") + F.col("length")))])
+    asked = blocks.select(*key, "iter", "n", F.inline(ends)).select(*key, "iter", "sign", F.pmod("at", "n").alias("rn"), F.floor(F.col("at") / F.col("n")).alias("turns"))
+    found = lookup_join(asked.join(before, [*key, "rn"]), turn, key)
+    total = lambda c, whole: F.sum(F.col("sign") * (F.col(c) + F.col("turns") * F.col(whole)))
+    return found.groupBy(*key, "iter").agg(total("first", "_all1").alias("first"), total("second", "_all2").alias("second"))
+
+
 def bootstrap_ci(
     df: DataFrame,
     value: str,
-    statistic: Callable[[str], Column],
+    statistic: Callable[[Sample], Column] = mean,
     *,
     n_iter: int = 2000,
     confidence: float = 0.95,
@@ -193,36 +274,68 @@ def bootstrap_ci(
     seed: int = 0,
     key: Sequence[str] = KEY,
 ) -> DataFrame:
-    """Percentile interval of any aggregate under the stationary bootstrap.
+    """Percentile interval of a statistic of mean, deviation and size under the stationary bootstrap.
 
-    ``statistic`` maps a column name to an aggregate. A series with fewer than 10 values fails the
-    job. Replicates meet their returns in a join on (key, row number) and collapse map-side.
+    A series with fewer than 10 values fails the job. ``bootstrap_any_ci`` takes any aggregate.
     """
+    key = list(key)
+    rows, sizes = _bootstrap_input(df, value, key, confidence)
+    blocks = bootstrap_blocks(sizes.select(*key, "n"), n_iter=n_iter, seed=seed, mean_block_size=mean_block_size, key=key)
+    moments = _replicates(rows, sizes, blocks, key).join(sizes.select(*key, "n", "_mean"), key)
+    n, first, second = F.col("n"), F.col("first"), F.col("second")
+    spread = F.sqrt(F.greatest(F.lit(0.0), second - first * first / n) / (n - 1))
+    replicates = moments.select(*key, statistic(Sample(n, F.col("_mean") + first / n, spread)).alias("s")).where("s is not null")
+    points = sizes.select(*key, "n", statistic(Sample(n, F.col("_mean"), F.col("_sd"))).alias("point"))
+    return _interval(points, replicates, n_iter, confidence, mean_block_size, key)
+
+
+def bootstrap_any_ci(
+    df: DataFrame,
+    value: str,
+    statistic: Callable[[str], Column],
+    *,
+    n_iter: int = 2000,
+    confidence: float = 0.95,
+    mean_block_size: float | None = None,
+    seed: int = 0,
+    key: Sequence[str] = KEY,
+) -> DataFrame:
+    """As ``bootstrap_ci`` for any aggregate (``statistic`` maps a column name to one), for which all rows of all
+    replicates are needed: blocks meet their rows in a join on (key, row number) and collapse map-side."""
+    key = list(key)
+    rows, sizes = _bootstrap_input(df, value, key, confidence)
+    blocks = bootstrap_blocks(sizes.select(*key, "n"), n_iter=n_iter, seed=seed, mean_block_size=mean_block_size, key=key)
+    idx = blocks.select(*key, "iter", "n", F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("length") - 1)).alias("_i"))
+    drawn = idx.withColumn("rn", F.pmod("_i", "n")).join(rows, [*key, "rn"])
+    replicates = drawn.groupBy(*key, "iter").agg(statistic("r").alias("s")).where("s is not null")
+    points = sizes.select(*key, "n").join(rows.groupBy(*key).agg(statistic("r").alias("point")), key)
+    return _interval(points, replicates, n_iter, confidence, mean_block_size, key)
+
+
+def _bootstrap_input(df: DataFrame, value: str, key: list[str], confidence: float) -> tuple[DataFrame, DataFrame]:
     if not 0 < confidence < 1:
         raise ValueError(f"a confidence of {confidence} is asked for; it lies between 0 and 1")
-    key = list(key)
-    rows = _numbered(df, value, key)
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), statistic("r").alias("point"))
+    rows = stage(_numbered(df, value, key), "numbered")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg("r").alias("_mean"), F.stddev_samp("r").alias("_sd"))
     short = F.raise_error(F.lit("bootstrap needs at least 10 values per series"))
-    sizes = sizes.withColumn("n", F.when(F.col("n") < 10, short).otherwise(F.col("n")))
-    idx = bootstrap_indices(sizes.select(*key, "n"), n_iter=n_iter, seed=seed, mean_block_size=mean_block_size, key=key)
-    drawn = idx.join(rows.withColumnRenamed("rn", "idx"), [*key, "idx"])
-    replicates = drawn.groupBy(*key, "iter").agg(statistic("r").alias("s")).where("s is not null")
+    return rows, stage(sizes.withColumn("n", F.when(F.col("n") < 10, short).otherwise(F.col("n"))), "sizes")
+
+
+def _interval(points: DataFrame, replicates: DataFrame, n_iter: int, confidence: float, mean_block_size: float | None, key: list[str]) -> DataFrame:
     alpha = 1.0 - confidence
     bounds = replicates.groupBy(*key).agg(
         F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q")  # n_iter values
     )
     length = auto_block_size(F.col("n")) if mean_block_size is None else F.lit(float(mean_block_size))
-    return sizes.join(bounds, key, "left").select(
+    return points.join(bounds, key, "left").select(
         *key, "point", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"),
         F.lit(confidence).alias("confidence"), F.lit(n_iter).alias("n_iter"), length.alias("block_size"),
     )
 
 
 def bootstrap_sharpe_ci(df: DataFrame, value: str, bars_per_year: int, **kw) -> DataFrame:
-    def plain_sharpe(c: str) -> Column:
-        sd = F.stddev_samp(c)
-        return F.when(F.count(c) >= 2, div(F.avg(c), sd) * F.lit(math.sqrt(bars_per_year)))
+    def plain_sharpe(s: Sample) -> Column:
+        return F.when(s.n >= 2, div(s.mean, F.when(s.deviation > 0, s.deviation)) * F.lit(math.sqrt(bars_per_year)))
 
     return bootstrap_ci(df, value, plain_sharpe, **kw)
 
@@ -290,7 +403,7 @@ def probabilistic_sharpe(returns: Column | str, benchmark_per_bar: float = 0.0)
 
 
 __all__ = [
-    "annualized_return", "auto_block_size", "auto_nw_lag", "bootstrap_ci", "bootstrap_indices", "bootstrap_sharpe_ci",
-    "calmar", "hit_rate", "max_drawdown", "newey_west_sharpe", "probabilistic_sharpe", "profit_factor", "sharpe",
+    "Sample", "annualized_return", "auto_block_size", "auto_nw_lag", "bootstrap_any_ci", "bootstrap_blocks", "bootstrap_ci",
+    "bootstrap_indices", "bootstrap_sharpe_ci", "calmar", "hit_rate", "max_drawdown", "mean", "newey_west_sharpe", "probabilistic_sharpe", "profit_factor", "sharpe",
     "sortino", "summarize", "total_return", "turnover_per_year", "with_peak",
 ]

@@ -311,3 +311,27 @@ def test_newey_west_against_numpy(spark):
     sr = r.mean() / r.std(ddof=1)
     se = np.sqrt((1 + sr**2 / 2) * lrv / (c**2).mean() / 600)
     assert got["lag"] == lag and got["standard_error"] == pytest.approx(se * np.sqrt(365)) and got["t_stat"] == pytest.approx(sr / se)
+
+
+def test_bootstrap_blocks_cover_every_step_once(spark):
+    """Short and long blocks, one segment and many."""
+    sizes = spark.createDataFrame([("A", 3000), ("B", 17), ("C", 1)], "symbol string, n long")
+    for mean_length in (1, 2.5, 400):
+        out = G.bootstrap_blocks(sizes, n_iter=4, seed=3, mean_block_size=mean_length).toPandas()
+        for (symbol, _), own in out.groupby(["symbol", "iter"]):
+            own = own.sort_values("t")
+            n = {"A": 3000, "B": 17, "C": 1}[symbol]
+            assert own["t"].tolist() == [0, *np.cumsum(own["length"])[:-1].tolist()] and own["length"].sum() == n
+            assert own["idx"].between(0, n - 1).all()
+        if mean_length == 2.5:
+            assert len(out[out["symbol"] == "A"]) == pytest.approx(4 * 3000 / 2.5, rel=0.1)
+
+
+def test_bootstrap_sums_are_those_of_the_rows(spark):
+    df = f.bars(spark, f.walk(40, 3)).withColumn("r", F.col("close") - 90)
+    kw = dict(n_iter=30, seed=5, mean_block_size=60)  # blocks that go round the end more than once
+    by_sums = G.bootstrap_ci(df, "r", **kw).first()
+    by_rows = G.bootstrap_any_ci(df, "r", F.avg, **kw).first()
+    assert all(by_sums[c] == pytest.approx(by_rows[c]) for c in ("point", "lower", "upper"))
+    flat = G.bootstrap_sharpe_ci(df.withColumn("r", F.lit(0.1)), "r", 365, n_iter=5).first()
+    assert flat["point"] is None and flat["lower"] is None
