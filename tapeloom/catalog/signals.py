@@ -62,6 +62,13 @@ def _(spark, sf):
     return S.ofi_mean_reversion(bars, 1.5, 5, 20)
 
 
+@query("E3_ofi_mean_reversion_chained", "symbol:s ts:t position:f1", "SELECT * FROM v_ofirev")
+def _(spark, sf):
+    """Stretches that hold few signals, so that holds cross many of their borders."""
+    bars = B.ofi_bars(T.trades(spark, sf), "1h", "30m")
+    return S.ofi_mean_reversion(bars, 1.5, 5, 20, size=25)
+
+
 @query("E4_predictions_to_positions", "doc_id:i direction:f1 returns:f1", """
 SELECT doc_id, CASE WHEN pred > 0.55e0 THEN 1 WHEN pred < 0.45e0 THEN -1 ELSE 0 END AS direction,
        CASE WHEN pred > 0.3e0 THEN 1 WHEN pred < -0.3e0 THEN -1 ELSE 0 END AS returns FROM v_scores""")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions import maths
 from tapeloom.plans.scan import carry_scan, running
@@ -131,8 +134,37 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return bars.withColumn("position", F.lit(1.0))
 
 
-# A fold copies what it has chosen so far, so stretches are short; their number is one small row each.
-_STRETCH = 2048
+def hold_remainders(m: np.ndarray, begin: int, span: int, hold: int) -> np.ndarray:
+    """Held bars left after the stretch [begin, begin + span) with signals at ``m`` (ascending), for 0, 1, ... left before it."""
+    at = np.arange(len(m))
+    after = np.searchsorted(m, m + hold)
+    last = np.where(after < len(m), after, at)
+    while len(m) and (last != last[last]).any():  # pointer doubling to the last signal of every path
+        last = last[last]
+    left = np.append(np.maximum(0, m[last] + hold - (begin + span)), 0)
+    return left[np.searchsorted(m, begin + np.arange(hold))].astype(np.int64)
+
+
+def _chained(steps: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _part, _rest): what is left of a hold where each stretch begins, from (key, _part, _rest, _out).
+
+    Nothing is left after a stretch without signals (a stretch is at least as long as a hold), so runs of neighbouring stretches
+    are chained: doubling reaches a run of r stretches in log2(r) rounds over one row per stretch and remainder.
+    """
+    parts = steps.select(*key, "_part").distinct()
+    before = Window.partitionBy(*key).orderBy("_part")  # one short row per stretch
+    run = parts.withColumn("_new", F.coalesce(F.col("_part") - F.lag("_part").over(before) != 1, F.lit(True)))
+    roots = run.where("_new").select(*key, "_part")
+    runs = run.withColumn("_run", F.sum(F.col("_new").cast("long")).over(before)).groupBy(*key, "_run").count()
+    longest = runs.agg(F.max("count")).first()[0] or 1
+    reached = roots.withColumn("_rest", F.lit(0).cast("long"))
+    jumps = steps.select(*key, "_part", "_rest", (F.col("_part") + 1).alias("_to"), F.col("_out").alias("_then"))
+    for _ in range((longest - 1).bit_length()):
+        further = reached.join(jumps, [*key, "_part", "_rest"]).select(*key, F.col("_to").alias("_part"), F.col("_then").alias("_rest"))
+        reached = stage(reached.union(further.join(parts, [*key, "_part"])).distinct(), "ofi-reached")
+        onward = jumps.select(*key, F.col("_part").alias("_to"), F.col("_rest").alias("_then"), F.col("_to").alias("_to2"), F.col("_then").alias("_then2"))
+        jumps = stage(jumps.join(onward, [*key, "_to", "_then"]).select(*key, "_part", "_rest", F.col("_to2").alias("_to"), F.col("_then2").alias("_then")), "ofi-jumps")
+    return reached
 
 
 def ofi_mean_reversion(
@@ -148,9 +180,11 @@ def ofi_mean_reversion(
 
     z compares a bar's ``ofi`` with the ``lookback_bars`` before it. Signals during a hold are
     ignored, bars without a z are flat and do not count towards a hold. Which signals open a hold
-    depends on the one before, but all that crosses from one stretch of bars to the next is how
-    many held bars remain, a number below ``holding_bars``. So every stretch is folded once for
-    each such number, the outcomes are chained, and only then the signals are chosen.
+    depends on the one before: every signal points to the first one at or after the end of its hold, and the path
+    from a series' first signal has those that open one. Signals are laid out in stretches of ``size`` bars; all that
+    crosses from one to the next is how many held bars remain, a number below ``holding_bars``. A stretch turns it into the
+    next one by pointer doubling over its signals, stretches are chained by doubling over (stretch, remainder) pairs, and
+    only then each stretch follows its own path. No series is chained in one task.
     """
     if z_threshold <= 0:
         raise ValueError(f"the z threshold is {z_threshold}; it has to be above zero")
@@ -160,7 +194,7 @@ def ofi_mean_reversion(
         raise ValueError(f"z over {lookback_bars} bars is asked for; 10 bars are the least")
     if "ofi" not in bars.columns:
         raise KeyError("an 'ofi' column is required")
-    span = max(min(size, _STRETCH), holding_bars)
+    span = max(size, holding_bars)
     key = list(key)
     t = tile(bars, key, before=lookback_bars, size=size)
     w = t.rows(-lookback_bars, -1)
@@ -173,50 +207,33 @@ def ofi_mean_reversion(
     side = F.when(F.col("_z") > z_threshold, -1.0).when(F.col("_z") < -z_threshold, 1.0)
     df = stage(df.withColumn("_side", side).drop("_tile"), "ofi")  # _m counts bars with a z, from 1
 
-    signals = df.where("_side is not null").select(*key, F.col("_m"), "_side", F.expr(f"_m div {span}").alias("_part"))
-    # At most ``span`` signals meet in one array.
-    parts = signals.groupBy(*key, "_part").agg(F.array_sort(F.collect_list(F.struct("_m", "_side"))).alias("_sig"))
-    hold = F.lit(holding_bars).cast("long")
-    begin = F.col("_part") * F.lit(span).cast("long")
-
-    def next_free(start: Column) -> Column:
-        return F.aggregate("_sig", start, lambda free, s: F.when(s["_m"] >= free, s["_m"] + hold).otherwise(free))
-
-    left_over = F.transform(
-        F.sequence(F.lit(0), F.lit(holding_bars - 1)),
-        lambda r: F.greatest(F.lit(0).cast("long"), next_free(begin + r.cast("long")) - begin - F.lit(span).cast("long")),
-    )
-    parts = stage(parts.withColumn("_out", left_over), "ofi-parts")
-    # One short row per stretch: series length / span rows meet here.
-    chain = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_part", "_out"))).alias("_c"))
-    zero = F.lit(0).cast("long")
-    init = F.struct(
-        F.lit(-2).cast("long").alias("part"), zero.alias("rest"),
-        F.array().cast("array<struct<part:bigint,rest:bigint>>").alias("log"),
-    )
-
-    def link(state: Column, c: Column) -> Column:
-        rest = F.when(c["_part"] == state["part"] + 1, state["rest"]).otherwise(zero)
-        return F.struct(
-            c["_part"].alias("part"),
-            F.element_at(c["_out"], (rest + 1).cast("int")).alias("rest"),
-            F.concat(state["log"], F.array(F.struct(c["_part"].alias("part"), rest.alias("rest")))).alias("log"),
-        )
-
-    entry = chain.select(*key, F.explode(F.aggregate("_c", init, link)["log"]).alias("_e")).select(
-        *key, F.col("_e.part").alias("_part"), F.col("_e.rest").alias("_rest")
-    )
-    start = F.struct((begin + F.col("_rest")).alias("free"), F.array().cast("array<struct<_m:bigint,_side:double>>").alias("took"))
-    took = F.aggregate(
-        "_sig",
-        start,
-        lambda st, s: F.when(
-            s["_m"] >= st["free"],
-            F.struct((s["_m"] + hold).alias("free"), F.concat(st["took"], F.array(s)).alias("took")),
-        ).otherwise(st),
-        lambda st: st["took"],
-    )
-    opened = parts.join(entry, [*key, "_part"]).select(*key, F.explode(took).alias("_s"))
+    signals = stage(df.where("_side is not null").select(*key, "_m", "_side", F.expr(f"_m div {span}").alias("_part")), "ofi-signals")
+    part = [*key, "_part"]
+    kinds = {f.name: f.dataType for f in signals.schema.fields}
+    named = T.StructType([T.StructField(c, kinds[c]) for c in part])
+    passed = T.StructType([*named, T.StructField("_rest", T.LongType()), T.StructField("_out", T.LongType())])
+    chosen = T.StructType([*named, T.StructField("_m", T.LongType()), T.StructField("_side", T.DoubleType())])
+
+    def remainders(group: pd.DataFrame) -> pd.DataFrame:
+        m = np.sort(group["_m"].to_numpy())
+        begin = int(group["_part"].iloc[0]) * span
+        out = hold_remainders(m, begin, span, holding_bars)
+        return group[part].iloc[[0] * holding_bars].assign(_rest=np.arange(holding_bars), _out=out)
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_m")
+        m = group["_m"].to_numpy()
+        after = np.searchsorted(m, m + holding_bars)
+        at = int(np.searchsorted(m, int(group["_part"].iloc[0]) * span + int(group["_rest"].iloc[0])))
+        taken = []
+        while at < len(m):
+            taken.append(at)
+            at = int(after[at])
+        return group.iloc[taken][[*part, "_m", "_side"]]
+
+    steps = stage(signals.groupBy(*part).applyInPandas(remainders, passed), "ofi-steps")
+    entries = _chained(steps, key)
+    opened = signals.join(entries, part).groupBy(*part).applyInPandas(follow, chosen).select(*key, F.struct("_m", "_side").alias("_s"))
     held = opened.select(
         *key, F.explode(F.sequence(F.col("_s._m"), F.col("_s._m") + F.lit(holding_bars - 1))).alias("_m"),
         F.col("_s._side").alias("_held"), F.lit(True).alias("_has"),
