@@ -70,12 +70,14 @@ def run_backtest(
     *,
     key: Sequence[str] = KEY,
     size: int | None = TILE_ROWS,
+    cost: Column | None = None,
 ) -> DataFrame:
     """Per bar: lagged position, gross and net return, fee, equity and drawdown.
 
     ``bars`` carry the target ``position`` (NULL counts as 0), which takes effect one bar later.
     Equity is a running product and drawdown refers to a running maximum; both cross tile borders
-    through one table with each tile's total, highest and lowest product.
+    through one table with each tile's total, highest and lowest product. ``cost`` per unit of position change may differ
+    between series; the default is the configuration's.
     """
     key = list(key)
     t = tile(bars, key, before=2, after=1, size=size)
@@ -87,7 +89,7 @@ def run_backtest(
         gross = maths.div(F.col("close"), t.lag("close")) - 1
     df = df.withColumns({"gross_return": F.coalesce(gross, F.lit(0.0)), "prev_position": F.coalesce(t.lag("_lagged"), F.lit(0.0))})
     df = t.core(df).withColumn("position_change", F.abs(F.col("_lagged") - F.col("prev_position")))
-    df = df.withColumn("fee", F.col("position_change") * F.lit(config.cost))
+    df = df.withColumn("fee", F.col("position_change") * (F.lit(config.cost) if cost is None else cost))
     df = df.withColumn("net_return", F.col("_lagged") * F.col("gross_return") - F.col("fee"))
     w = Window.partitionBy(*key, "_tile").orderBy("rn")
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -7,8 +7,9 @@ any size are reduced map-side and only a small system per slice is solved.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -356,13 +357,19 @@ def fit_predict_walkforward(
     key = list(key)
     by = [*key, "window_id"]
     rows = training_rows(bars, target, config, key=key) if rows is None else rows
-    slices = stage(window_slices(rows, rolling, key=key, inclusive=False, extent=_extent(bars, key)), "slices")
+    scaled = scaled_slices(rows, _extent(bars, key), rolling, config.columns, key=key)
+    out = model(scaled, config.columns, by, _model_kind(target))
+    return out.select(*by, "ts", "pred", F.col("y").alias("actual"))
+
+
+def scaled_slices(rows: DataFrame, extent: DataFrame, rolling: Rolling, columns: Sequence[str], *, key: Sequence[str] = KEY) -> DataFrame:
+    """Rows once per window and role, scaled on each window's training rows; windows that are too small are left out."""
+    by = [*key, "window_id"]
+    slices = stage(window_slices(rows, rolling, key=key, inclusive=False, extent=extent), "slices")
     train, test = (F.count_if(F.col("role") == r) for r in ("train", "test"))
     usable = slices.groupBy(*by).agg(train.alias("_a"), test.alias("_b"))
     usable = usable.where((F.col("_a") >= MIN_TRAIN_ROWS) & (F.col("_b") >= 1)).select(*by)
-    scaled = scale_split(lookup_join(slices, usable, by, "left_semi"), config.columns, by=by)
-    out = model(scaled, config.columns, by, _model_kind(target))
-    return out.select(*by, "ts", "pred", F.col("y").alias("actual"))
+    return scale_split(lookup_join(slices, usable, by, "left_semi"), columns, by=by)
 
 
 def ml_directional(
@@ -452,16 +459,16 @@ def regression_metrics(preds: DataFrame, *, key: Sequence[str] = KEY) -> DataFra
 
 
 def strategy_metrics(
-    bars: DataFrame, positions: DataFrame, config: BacktestConfig, bars_per_year: int, *, key: Sequence[str] = KEY
+    bars: DataFrame, positions: DataFrame, config: BacktestConfig, bars_per_year: int, *, key: Sequence[str] = KEY, cost: Column | None = None
 ) -> DataFrame:
-    """Backtest figures of a position table; bars without a position are flat."""
+    """Backtest figures of a position table; bars without a position are flat. ``cost`` is that of ``run_backtest``."""
     key = list(key)
     twice = F.raise_error(F.lit("several positions for one bar: overlapping test windows need a rule of their own"))
     single = positions.groupBy(*key, "ts").agg(F.max("position").alias("position"), F.count("*").alias("_n"))
     single = single.select(*key, "ts", F.when(F.col("_n") == 1, F.col("position")).otherwise(twice).alias("position"))
     held = bars.join(single, [*key, "ts"], "left")
     held = held.withColumn("position", F.coalesce("position", F.lit(0.0)))
-    result = stage(run_backtest(held, config, key=key), "backtest")
+    result = stage(run_backtest(held, config, key=key, cost=cost), "backtest")
     moved = F.when(F.col("rn") > 0, F.abs(F.col("raw_position") - F.col("position"))).otherwise(0.0)
     out = result.groupBy(*key).agg(
         F.max(F.abs("raw_position")).alias("_any"),
@@ -544,25 +551,63 @@ def benchmark_sweep(
     fee_modes: Sequence[str] = ("taker", "maker"),
     key: Sequence[str] = KEY,
 ) -> DataFrame:
-    """symbol × timeframe × target × fee mode × model. All symbols run in each job, the fee modes of
-    one fit share its predictions, and the models of one spec are evaluated together, as part of the key."""
-    from dataclasses import replace
+    """symbol × timeframe × target × fee mode × model, as columns of the key.
 
+    Specs that differ in timeframe and target only run together: one table of scaled slices, one fit per model and kind of
+    target over all of them, and one backtest of all cells. The number of jobs does not depend on the number of cells.
+    """
     chosen = models if isinstance(models, Mapping) else {n: make_model(n) for n in models}
-    rows = []
+    groups: list[list[BenchmarkSpec]] = []
     for spec in specs:
-        bars = bars_by_timeframe[spec.timeframe]
-        ready = stage(training_rows(bars, spec.target, spec.features, key=key), "rows")
-        fitted = [
-            fit_predict_walkforward(bars, model, spec.target, spec.rolling, spec.features, key=key, rows=ready).withColumn("model", F.lit(name))
-            for name, model in chosen.items()
-        ]
-        preds = stage(reduce(DataFrame.unionByName, fitted), "predictions")
-        each = bars.withColumn("model", F.explode(F.array(*[F.lit(name) for name in chosen])))
-        for mode in fee_modes:
-            priced = replace(spec, backtest=replace(spec.backtest, assume_maker=mode == "maker"))
-            rows.append(stage(evaluate_one(each, priced, None, preds=preds, key=[*key, "model"]), "figures"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        own = next((g for g in groups if replace(g[0], timeframe="", target="", bars_per_year=None) == replace(spec, timeframe="", target="", bars_per_year=None)), None)
+        if own is None:
+            groups.append([spec])
+        else:
+            own.append(spec)
+    swept = [_stacked_sweep(bars_by_timeframe, g, chosen, list(fee_modes), list(key)) for g in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), swept)
+
+
+def _stacked_sweep(bars_by_timeframe: Mapping[str, DataFrame], specs: list[BenchmarkSpec], models: Mapping[str, Model], fee_modes: list[str], key: list[str]) -> DataFrame:
+    spec, cells = specs[0], {(s.timeframe, s.target): s for s in specs}
+    timeframes, targets = sorted({t for t, _ in cells}), sorted({t for _, t in cells})
+    series, panel = [*key, "timeframe"], [*key, "timeframe", "target"]
+    wanted = F.concat_ws("|", "timeframe", "target").isin(["|".join(c) for c in cells])
+    literals = lambda names: F.explode(F.array(*map(F.lit, names)))
+    bars = stage(reduce(DataFrame.unionByName, [bars_by_timeframe[t].withColumn("timeframe", F.lit(t)) for t in timeframes]), "bars")
+
+    columns = spec.features.columns
+    features = stage(build_features(bars, spec.features, key=series), "features")
+    rows = [align(features, TARGETS[t](bars, key=series), columns, key=series).withColumn("target", F.lit(t)) for t in targets]
+    extent = _extent(bars, series).withColumn("target", literals(targets))
+    scaled = stage(scaled_slices(reduce(DataFrame.unionByName, rows).where(wanted), extent, spec.rolling, columns, key=panel), "scaled")
+    kinds = {kind: [t for t in targets if _model_kind(t) == kind] for kind in dict.fromkeys(map(_model_kind, targets))}
+    fitted = [
+        model(scaled.where(F.col("target").isin(own)), columns, [*panel, "window_id"], kind)
+        .select(*panel, "window_id", "ts", "pred", F.col("y").alias("actual"), F.lit(name).alias("model"))
+        for name, model in models.items() for kind, own in kinds.items()
+    ]
+    preds = stage(reduce(DataFrame.unionByName, fitted), "predictions")
+
+    bands = {"direction_band": spec.direction_band, "return_band": spec.return_band}
+    position = F.lit(None).cast("double")
+    for t in targets:
+        position = F.when(F.col("target") == t, predictions_to_positions("pred", t, **bands)).otherwise(position)
+    cell = [*panel, "model", "fee_mode"]
+    each = bars.withColumn("target", literals(targets)).where(wanted).withColumn("model", literals(models)).withColumn("fee_mode", literals(fee_modes))
+    held = preds.withColumn("position", position).withColumn("fee_mode", literals(fee_modes))
+    cost = F.lit(None).cast("double")
+    for mode in fee_modes:
+        cost = F.when(F.col("fee_mode") == mode, F.lit(replace(spec.backtest, assume_maker=mode == "maker").cost)).otherwise(cost)
+    figures = strategy_metrics(each, held, spec.backtest, 1, key=cell, cost=cost)
+    yearly = F.lit(None).cast("double")
+    for (timeframe, target), s in cells.items():
+        here = (F.col("timeframe") == timeframe) & (F.col("target") == target)
+        yearly = F.when(here, F.lit(math.sqrt(s.bars_per_year or clock.bars_per_year(timeframe)))).otherwise(yearly)
+    figures = figures.withColumn("strategy_sharpe", F.col("strategy_sharpe") * yearly)
+    scored = [METRICS[t](preds.where(F.col("target") == t), key=[*panel, "model"]) for t in targets]
+    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
+    return stage(figures.join(measured, [*panel, "model"], "left").withColumn("n_test", F.coalesce("n_test", F.lit(0.0))), "figures")
 
 
 def accuracy_pivot(results: DataFrame, panels: Sequence[str] | None = None, *, key: Sequence[str] = KEY) -> DataFrame:
