@@ -7,14 +7,14 @@ text is rejected if its cosine is under the language's limit for texts of its le
 excerpts of the sample rows, since short texts have small cosines: for each power of two of letters, a low
 quantile of the cosines that excerpts have with centroids made without their own row.
 
-The model is fitted on a bounded sample of labelled rows: about ``per_language`` rows of each language,
-drawn by a hash of the id over the whole table. Prediction reads whole texts and is one scan without
+The model is fitted on a bounded sample of labelled rows: at most ``per_language`` different rows of each language,
+drawn by a hash of id and text over the whole table, however often ids or texts repeat. Prediction reads whole texts and is one scan without
 a shuffle; the broadcast model has ``centroids`` vectors per language and at most ``max_languages``
 languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; equal distances
 go to the language first in order; without labelled rows everything is ``und``; result columns replace
-columns of the same name.
+columns of the same name, all others stay; rows without id are learned from like others; long texts are read alone.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,46 +96,64 @@ def fit(
     slack: float = 0.95,
     max_languages: int = 500,
 ) -> Model:
-    """Fit on about ``per_language`` rows of every language.
+    """Fit on at most ``per_language`` different rows of every language, drawn by a hash of id and text.
 
-    A text is rejected if its cosine is under ``slack`` times the ``quantile`` of the cosines of excerpts as
+    Centroids are found by one task per language, and only they, document frequencies and limits reach the
+    driver. A text is rejected if its cosine is under ``slack`` times the ``quantile`` of the cosines of excerpts as
     long as it, taken from the sample rows of its language.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
-    )
-    counts = usable.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
+    spark = labelled.sparkSession
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text, F.lit("langid")).alias("draw"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("count")).orderBy("lang").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros((0, CLASSES)))
-    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
-    fields = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.FloatType()))])
+    # Twice the share that is needed, copies counted once; then the first ``per_language`` of them.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / max(1, r["count"])))])
+    near = usable.where(F.pmod("draw", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    single = near.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw"))
+    sampled = stage(single.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth"), "langid-sample")
+
+    fields = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("times", T.BinaryType())])
 
     def make():
         def sparse(part):
             rows = [ngram_counts([t])[0][0] for t in strings(part.column("text")).to_pylist()]
-            where = [np.flatnonzero(r) for r in rows]
-            return [pa.array([w.tolist() for w in where], pa.list_(pa.int32())), pa.array([r[w].tolist() for r, w in zip(rows, where)], pa.list_(pa.float32()))]
+            where = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            return [pa.array([w.tobytes() for w in where], pa.binary()), pa.array([r[w].tobytes() for r, w in zip(rows, where)], pa.binary())]
 
         return sparse
 
-    sampled = stage(usable.where(draw < share[F.col("lang")]), "langid-sample")
-    rows = add_columns(sampled, "text", fields, make).select("lang", "id", "bucket", "times").orderBy("lang", "id").collect()
-    found = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        found[i, r["bucket"]] = r["times"]
-    rows, found = zip(*[(r, f) for r, f in zip(rows, found) if f.any()]) if found.any() else ([], np.zeros((0, BUCKETS)))
-    found = np.array(found)
-    idf = (np.log((1 + len(rows)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = vectors(found, idf)
-    names, sums = [], []
-    for language in sorted({r["lang"] for r in rows}):
-        for members in spherical_kmeans(x[[i for i, r in enumerate(rows) if r["lang"] == language]], centroids):
-            names.append(language)
-            sums.append(members.sum(axis=0))
-    sums = np.array(sums, np.float32).reshape(-1, BUCKETS)
+    vectors_ = stage(add_columns(sampled, "text", fields, make).select("lang", "draw", "bucket", "times").where(F.length("bucket") > 0), "langid-vectors")
+    held = T.StructType([T.StructField("size", T.LongType()), T.StructField("held", T.BinaryType())])
+
+    def frequencies(batches):
+        """Documents of a task, and how many of them have each n-gram."""
+        size, total = 0, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for b in batch.column("bucket").to_pylist():
+                total[np.frombuffer(b, np.uint16)] += 1
+                size += 1
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["size", "held"])
+
+    parts = vectors_.mapInArrow(frequencies, held).collect()
+    n_rows = sum(r["size"] for r in parts)
+    idf = (np.log((1 + n_rows) / (1 + sum((np.frombuffer(r["held"], np.int64) for r in parts), np.zeros(BUCKETS, np.int64)))) + 1).astype(np.float32)
+
+    def clusters(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("draw")
+        found = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, (b, t) in enumerate(zip(rows["bucket"], rows["times"])):
+            found[i, np.frombuffer(b, np.uint16)] = np.frombuffer(t, np.float32)
+        members = spherical_kmeans(vectors(found, idf), centroids)
+        return pd.DataFrame({"lang": key[0], "n": range(len(members)), "sums": [m.sum(axis=0).astype(np.float32).tobytes() for m in members]})
+
+    fitted = vectors_.groupBy("lang").applyInPandas(clusters, "lang string, n int, sums binary").orderBy("lang", "n").collect()
+    names = [r["lang"] for r in fitted]
+    sums = np.array([np.frombuffer(r["sums"], np.float32) for r in fitted], np.float32).reshape(-1, BUCKETS)
     centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
     return Model(names, idf, centres, length_limits(sampled, names, idf, sums, quantile, slack))
 
@@ -215,19 +234,15 @@ def length_limits(sampled: DataFrame, names: list[str], idf: np.ndarray, sums: n
 
         return all_rows
 
-    rows = add_columns(sampled, "text", fields, make).select("lang", "classes", "cosines").collect()
-    everyone = [np.zeros(0)] * CLASSES
-    by_language = {n: list(everyone) for n in names}
-    for language in by_language:
-        own = [r for r in rows if r["lang"] == language]
-        c = np.array([c for r in own for c in r["classes"]], int)
-        v = np.array([v for r in own for v in r["cosines"]])
-        by_language[language] = [v[c == k] for k in range(CLASSES)]
-    everyone = [np.concatenate([by_language[n][k] for n in by_language]) if by_language else np.zeros(0) for k in range(CLASSES)]
+    each = add_columns(sampled, "text", fields, make).select("lang", F.explode(F.arrays_zip("classes", "cosines")).alias("e"))
+    measured = stage(each.select("lang", F.col("e.classes").alias("class"), F.col("e.cosines").cast("double").alias("cosine")), "langid-cosines")
+    low = F.percentile("cosine", F.lit(quantile)).alias("low")
+    own = {(r["lang"], r["class"]): (r["n"], r["low"]) for r in measured.groupBy("lang", "class").agg(F.count("*").alias("n"), low).collect()}
+    pooled = {r["class"]: r["low"] for r in measured.groupBy("class").agg(low).collect()}
     limits = []
     for name in names:
-        chosen = [own if len(own) >= _LEAST else pool for own, pool in zip(by_language[name], everyone)]
-        limits.append(np.maximum.accumulate([slack * float(np.quantile(v, quantile)) if len(v) else 0.0 for v in chosen]))
+        chosen = [own[name, k][1] if own.get((name, k), (0,))[0] >= _LEAST else pooled.get(k, 0.0) for k in range(CLASSES)]
+        limits.append(np.maximum.accumulate([slack * v for v in chosen]))
     return np.array(limits).reshape(-1, CLASSES)
 
 

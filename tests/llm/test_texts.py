@@ -245,3 +245,19 @@ def test_trie_finds_the_longest_rule(rules, host, path):
     fitting = [(h.count("."), len(p), a == "block", h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     want = max(fitting)[3:] if fitting else None
     assert urlfilter.RuleTrie(rules).find(host, path) == want
+
+
+def test_language_sample_is_bounded_when_ids_and_texts_repeat(spark):
+    """A third of the rows without id, a third with one id, and many copies of one text."""
+    rows_ = [(None, f"haus und hof {i}x {'abcdefgh'[i % 8]}{i}", "de") for i in range(1500)]
+    rows_ += [(7, f"the house is {i}y {'stuvwxyz'[i % 8]}{i}", "en") for i in range(1500)]
+    rows_ += [(i, "la maison est grande", "fr") for i in range(900)] + [(1, "la maison", "fr")] * 900
+    model = langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string").repartition(5), per_language=50)
+    assert set(model.languages) == {"de", "en", "fr"} and len(model.centroids) <= 12
+    asked = spark.createDataFrame([(1, "das haus und der hof"), (2, "the house is"), (3, "la maison")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(asked, model).orderBy("doc_id").collect()] == ["de", "en", "fr"]
+    from tapeloom.plans import stage
+
+    samples = [p for paths in stage._staged.values() for p in paths if "langid-sample" in p]
+    drawn = {r["lang"]: r["count"] for r in spark.read.parquet(samples[-1]).groupBy("lang").count().collect()}
+    assert drawn["de"] == drawn["en"] == drawn["fr"] == 50
