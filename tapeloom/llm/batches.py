@@ -67,6 +67,14 @@ def add_columns(
     return df.mapInArrow(run, out)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the input does not have (names are compared without case, as Spark does)."""
+    given = {c.lower() for c in columns}
+    while name.lower() in given:
+        name = f"_{name}"
+    return name
+
+
 def strings(column: pa.Array) -> pa.Array:
     """Texts as 64-bit addressed strings, null as empty."""
     return pa.compute.fill_null(column.cast(pa.large_string()), "")

@@ -45,7 +45,7 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = hostrules.judge(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    judged = hostrules.judge(_table(spark, folder, "documents").select("doc_id", "text", "source"), keep_text=False)
     return judged.select("doc_id", *hostrules.MEASURES, "base_failed", "kept")
 
 

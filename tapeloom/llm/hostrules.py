@@ -10,7 +10,8 @@ Counting per host is a map-side combined hash aggregate; the join back carries o
 Word windows within a document are compared by 64-bit hashes.
 
 Defined cases: a null text has no words; a null host is a host of its own; repeated rows count as
-separate documents; columns with the names of results are replaced; an empty table gives an empty one.
+separate documents; columns with the names of results are replaced, all others stay, whatever their names; a very
+long text is measured alone; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.batches import add_columns, offsets
+from tapeloom.llm.batches import add_columns, offsets, unused
 from tapeloom.llm.words import SPACE, encoded, joined, totals, windows, words
 from tapeloom.plans.stage import stage
 
@@ -130,11 +131,15 @@ def beta_prior(mean: float | None, variance: float | None, inverse: float | None
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """Add the measures, base_failed and kept (neither the document nor its host is rejected)."""
-    narrow = stage(measure(docs.select(F.col(text).alias("t"), F.col(host).alias("h")), "t").drop("t"), "measures")
-    rejected = host_verdicts(narrow, "h", host_limit).where("rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_rejected"))
-    measured = measure(docs, text).withColumn("base_failed", base_failed())
-    joined_ = measured.join(rejected, F.col(host).eqNullSafe(F.col("_bad_host")), "left")
-    kept = ~F.col("base_failed") & F.col("_rejected").isNull()
-    return joined_.withColumn("kept", kept).drop("_bad_host", "_rejected")
+def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """Add the measures, base_failed and kept (neither the document nor its host is rejected).
+
+    Every text is measured once; the measured documents are staged, without their texts unless ``keep_text``.
+    """
+    kept_columns = docs.columns if keep_text else [c for c in docs.columns if c != text]
+    measured = stage(measure(docs, text).select(*[c for c in kept_columns if c not in MEASURES], *MEASURES), "measures")
+    bad, name = (unused(c, measured.columns) for c in ("rejected_host", "rejected"))
+    rejected = host_verdicts(measured.select(F.col(host).alias("h"), *MEASURES), "h", host_limit).where("rejected")
+    rejected = rejected.select(F.col("host").alias(bad), F.lit(True).alias(name))
+    both = measured.withColumn("base_failed", base_failed()).join(rejected, F.col(host).eqNullSafe(F.col(bad)), "left")
+    return both.withColumn("kept", ~F.col("base_failed") & F.col(name).isNull()).drop(bad, name)
