@@ -20,7 +20,8 @@ Classes are the connected components of the links. Shingles are compared by 64-b
 Defined cases: A-Z is lowered, words are separated by space and \\t to \\r; a text with fewer words than a shingle
 has its whole word sequence as one; a text without words (or a null one) has no shingles and links with
 nothing, not even its like; rows without id link with nothing and get no component; rows that share an id
-are one node; further columns are ignored; an empty table gives an empty result.
+are one node; further columns are ignored, whatever their names; a very long text is hashed alone; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import give_back, slices
+from tapeloom.llm.batches import give_back, slices, unused
 from tapeloom.llm.components import components
-from tapeloom.llm.packed import bucket_cuts, compressed_texts, n_buckets, pack, pack_sorted, plain_text, unpack, unpack_sorted
+from tapeloom.llm.packed import bucket_cuts, compressed_texts, dealt, n_buckets, pack, pack_sorted, plain_text, text_runs, unpack, unpack_sorted
 from tapeloom.llm.words import hashes, joined, mixed, windows, words
 from tapeloom.plans.stage import stage
 
@@ -113,9 +114,8 @@ _BACK = T.StructType([T.StructField("slice", T.LongType()), T.StructField("bucke
 _DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("alive", T.BooleanType())])
 
 
-def measured_docs(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+def measured_docs(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, buckets: int) -> DataFrame:
     """doc_id, n (set size), digest of the set, and alive: whether the text can have a partner at all."""
-    buckets = n_buckets(docs)
     sent, back, out = to_arrow_schema(_SENT), to_arrow_schema(_BACK), to_arrow_schema(_DOCS)
 
     def extra(n):
@@ -172,7 +172,7 @@ def measured_docs(docs: DataFrame, doc_id: str, text: str, size: int, percent: i
         return pa.table([pa.array(ids), pa.array(n), pa.array(digests, pa.binary()), pa.array(alive)], schema=out)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counted = stage(source.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(count, _BACK), "prefixes")
+    counted = stage(dealt(source.mapInArrow(send, _SENT), buckets).groupBy("bucket").applyInArrow(count, _BACK), "prefixes")
     return stage(counted.groupBy("slice").applyInArrow(decide, _DOCS), "measured")
 
 
@@ -198,16 +198,14 @@ def _choose(ranks: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, size: int, percent: int, buckets: int) -> DataFrame:
     """One row per chosen (doc_id, digest): node (a hash of the digest), the set's shingles that other chosen sets share, rarest first, with l and the prefix they allow."""
-    buckets = n_buckets(docs)
     sets, sent, back, out = (to_arrow_schema(x) for x in (_SETS, _SENT, _BACK, _ORDERED))
 
     def collect(batches):
         numbers = _slice_numbers()
         for batch in batches:
-            for start in range(0, len(batch), 300):
-                part = batch.slice(start, 300)
+            for part in text_runs(batch, rows=300):
                 texts = [plain_text(z) for z in part.column("z").to_pylist()]
                 at = np.cumsum([0] + [len(t) for t in texts])
                 found = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at, size)
@@ -259,7 +257,7 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, siz
     wanted = chosen.select(F.col("doc_id").alias("rep"), "digest").hint("merge")
     kept = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "digest", "z").distinct()
     stored = stage(kept.mapInArrow(collect, _SETS), "sets")
-    answers = stored.select("slice", "tokens").mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(count, _BACK)
+    answers = dealt(stored.select("slice", "tokens").mapInArrow(send, _SENT), buckets).groupBy("bucket").applyInArrow(count, _BACK)
     return stage(stored.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(order, _ORDERED).withColumn("node", F.xxhash64("digest")), "ordered")
 
 
@@ -396,9 +394,10 @@ def links_between(ordered: DataFrame, percent: int, block: int = 256) -> DataFra
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id reachable by links of ``percent`` or more."""
-    known = measured_docs(docs, doc_id, text, size, percent)
+    buckets = n_buckets(docs, text)
+    known = measured_docs(docs, doc_id, text, size, percent, buckets)
     classes = stage(known.where("alive").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    ordered = ordered_sets(docs, classes.select(F.col("rep").alias("doc_id"), "digest"), doc_id, text, size, percent)
+    ordered = ordered_sets(docs, classes.select(F.col("rep").alias("doc_id"), "digest"), doc_id, text, size, percent, buckets)
     of_node = classes.select(F.xxhash64("digest").alias("node"), "rep")
     found = links_between(ordered, percent)
     for end in ("u", "v"):
@@ -419,8 +418,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without id stay, and so do those without words. Other columns stay.
     """
     found = near_duplicates(docs, doc_id, text, size, percent)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_rep")).distinct()
-    kept = docs.join(chosen, F.col(doc_id) == F.col("_rep"), "left_semi")
+    rep, nth = unused("rep", docs.columns), unused("nth", docs.columns)
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(rep)).distinct()
+    kept = docs.join(chosen, F.col(doc_id) == F.col(rep), "left_semi")
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    one = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    one = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return one.unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)

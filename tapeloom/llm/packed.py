@@ -7,6 +7,8 @@ transposed by significance, which makes the high bytes of sorted differences van
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -45,9 +47,34 @@ def bucket_cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
-def n_buckets(df: DataFrame, per_partition: int = 1) -> int:
-    """Hash ranges to send to; a task holds one range at a time, so several per shuffle partition take less memory."""
-    return max(1, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+RANGE_BYTES = 64 << 20
+
+
+def n_buckets(docs: DataFrame, text: str, per_partition: int = 1) -> int:
+    """Hash ranges to send to: several per shuffle partition, as a task holds one at a time, and so many that one range
+    stands for at most 64 MB of the input's text, however large the input is."""
+    given = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    return max(1, per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-given // RANGE_BYTES))
+
+
+def dealt(sent: DataFrame, buckets: int, per_partition: int = 1, by: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """Rows dealt out by bucket (or bucket and salt), to more tasks than the session's shuffles have where there are more ranges than those should hold."""
+    tasks = -(-buckets // per_partition)
+    many = tasks > int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(tasks, *by) if many else sent
+
+
+def text_runs(batch: pa.RecordBatch, column: str = "z", rows: int = 400, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch of packed texts into runs of few rows whose plain texts take at most ``limit`` bytes (a longer one stands alone)."""
+    sizes = [zstandard.frame_content_size(z) for z in batch.column(column).to_pylist()]
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > limit or i - start == rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield batch.slice(start)
 
 
 def compressed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -21,7 +21,8 @@ Contexts and strings of different parts are compared by 96 and 128 bits of hash,
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep everything; rows without id are compared with
 nothing; rows that share an id are one document seen several times (a string counts as earlier if it starts
-at a smaller offset), and repeated rows get equal results; an empty table gives an empty result.
+at a smaller offset), and repeated rows get equal results; an empty table gives an empty result; further columns stay
+or are ignored, whatever their names; a very long text is handled alone.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import give_back, slices
+from tapeloom.llm.batches import give_back, slices, unused
 from tapeloom.llm.jaccard import _batch, _slice_numbers, _table
-from tapeloom.llm.packed import bucket_cuts, n_buckets, pack, pack_all, pack_sorted, plain_text, unpack, unpack_all, unpack_sorted
+from tapeloom.llm.packed import bucket_cuts, dealt, n_buckets, pack, pack_all, pack_sorted, plain_text, text_runs, unpack, unpack_all, unpack_sorted
 from tapeloom.llm.words import joined, mixed
 from tapeloom.plans.stage import stage
 
@@ -120,9 +121,8 @@ def _tagged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
 
 
-def marks(source: DataFrame, length: int, most_contexts: int) -> DataFrame:
+def marks(source: DataFrame, length: int, most_contexts: int, buckets: int) -> DataFrame:
     """Per document: offsets of anchors whose context is a repeat, and of those to be asked for (with the parts of their gram)."""
-    buckets = n_buckets(source, 4)
     sent, back, out = (to_arrow_schema(x) for x in (_SENT, _BACK, _MARKS))
 
     def send(batches):
@@ -214,7 +214,7 @@ def marks(source: DataFrame, length: int, most_contexts: int) -> DataFrame:
             done.append((int(ids[i]), int(tags[i]), pack(np.sort(s_at[s])), pack_all([a_at[a], a_parts[a]]) if len(a) else None))
         return _table(done, out)
 
-    matched = stage(source.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(match, _BACK), "anchors")
+    matched = stage(dealt(source.mapInArrow(send, _SENT), buckets, 4).groupBy("bucket").applyInArrow(match, _BACK), "anchors")
     return stage(matched.groupBy("slice").applyInArrow(collect, _MARKS).distinct(), "marks")
 
 
@@ -290,17 +290,16 @@ def repeated_strings(
     return out
 
 
-def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> DataFrame:
+def removed_strings(source_z: DataFrame, marked: DataFrame, length: int, buckets: int) -> DataFrame:
     """doc_id, tag, low, high: byte ranges that strings found by the suffix orders cover."""
     k = (length + 1) // 2
     reach = length - k
-    buckets = n_buckets(marked, 4)
     schema, found = to_arrow_schema(_CONTEXTS), to_arrow_schema(_FOUND)
 
     def cut_out(batches):
         for batch in batches:
-            for start in range(0, len(batch), 400):
-                rows = batch.slice(start, 400).to_pylist()
+            for part in text_runs(batch):
+                rows = part.to_pylist()
                 meta = [[] for _ in _FIELDS]
                 pieces = []
                 for r in rows:
@@ -354,7 +353,7 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> Data
 
     asked = marked.where("asked is not null").select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "asked")
     texts = source_z.join(asked, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "z", "asked")
-    spread = texts.mapInArrow(cut_out, _CONTEXTS).groupBy("bucket", "salt")
+    spread = dealt(texts.mapInArrow(cut_out, _CONTEXTS), buckets, 4, ("bucket", "salt")).groupBy("bucket", "salt")
     ranges = stage(spread.applyInArrow(search, _FOUND), "strings")
     single = ranges.where("two = 0").select("doc_id", "tag", "low", "high")
     # Strings that the parts of a split gram left standing: all but the first of each go.
@@ -366,7 +365,7 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int) -> Data
 
 
 _KEPT = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("doc_id", "tag", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), *_binary("kept")]
+    [T.StructField(c, T.LongType()) for c in ("doc_id", "tag", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("text", T.StringType())]
 )
 
 
@@ -379,7 +378,7 @@ def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], high[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]
 
 
-def cleaned(source_z: DataFrame, marked: DataFrame, ranges: DataFrame, length: int, with_bytes: bool) -> DataFrame:
+def cleaned(source_z: DataFrame, marked: DataFrame, ranges: DataFrame, length: int, with_text: bool) -> DataFrame:
     """Results for the documents that lose something."""
     k = (length + 1) // 2
     reach = length - k
@@ -400,7 +399,7 @@ def cleaned(source_z: DataFrame, marked: DataFrame, ranges: DataFrame, length: i
                 low, high = _merged(low, high)
                 edges = [0, *np.stack((low, high), axis=1).reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                rows.append((r["doc_id"], r["tag"], len(text) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+                rows.append((r["doc_id"], r["tag"], len(text) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             yield _batch(rows, schema)
             give_back()
 
@@ -428,16 +427,18 @@ def _packed_texts(source: DataFrame) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000, with_bytes: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000, with_text: bool = False
 ) -> DataFrame:
-    """doc_id, tag (a hash of the text), n_removed, n_spans, kept_sha256 and (if asked for) kept, the remaining bytes, of documents that lose bytes."""
+    """doc_id, tag (a hash of the text), n_removed, n_spans, kept_sha256 and (if asked for) text, the remaining bytes
+    without what a removal leaves of a character, of documents that lose bytes."""
     if not 16 <= length <= 256:
         raise ValueError(f"strings of {length} bytes are asked for; 16 to 256 are possible")
     source = _tagged(docs, doc_id, text)
-    marked = marks(source, length, most_contexts)
+    buckets = n_buckets(docs, text, 4)
+    marked = marks(source, length, most_contexts, buckets)
     source_z = _packed_texts(source)
-    ranges = removed_strings(source_z, marked, length)
-    return cleaned(source_z, marked, ranges, length, with_bytes).dropDuplicates(["doc_id", "tag"])
+    ranges = removed_strings(source_z, marked, length, buckets)
+    return cleaned(source_z, marked, ranges, length, with_text).dropDuplicates(["doc_id", "tag"])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000) -> DataFrame:
@@ -457,9 +458,9 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def cleaned_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """The documents with repeated bytes taken out of the text; characters that a removal cuts apart go too. Other columns stay."""
-    lost = remove_repeats(docs, doc_id, text, length, with_bytes=True)
-    whole = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string")
-    lost = lost.select(F.col("doc_id").alias("_i"), F.col("tag").alias("_t"), whole("kept").alias("_kept"))
+    lost = remove_repeats(docs, doc_id, text, length, with_text=True)
+    i, t, kept, tag = (unused(c, docs.columns) for c in ("lost_id", "lost_tag", "kept_text", "text_tag"))
+    lost = lost.select(F.col("doc_id").alias(i), F.col("tag").alias(t), F.col("text").alias(kept))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.withColumn("_tag", F.xxhash64(body)).join(lost, (F.col(doc_id) == F.col("_i")) & (F.col("_tag") == F.col("_t")), "left")
-    return both.withColumn(text, F.coalesce("_kept", text)).select(docs.columns)
+    both = docs.withColumn(tag, F.xxhash64(body)).join(lost, (F.col(doc_id) == F.col(i)) & (F.col(tag) == F.col(t)), "left")
+    return both.withColumn(text, F.coalesce(kept, text)).select(docs.columns)

@@ -7,7 +7,7 @@ block state the same host and path, block wins. A url that no rule fits gets ``d
 The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the
 path is the rest up to ``?``, ``#`` or the end. A null url or one without ``://`` has both empty and fits no
 rule with a host. The trie is broadcast, so the number of rules is checked against ``max_rules``;
-columns named host, path, rule or verdict are replaced, an empty table stays empty.
+columns named host, path, rule or verdict are replaced, all others stay, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.batches import unused
+
 MAX_RULES = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,11 +27,18 @@ Rule = tuple[str, str, str]
 
 
 class _Node:
-    __slots__ = ("ends", "next")
+    __slots__ = ("_lengths", "ends", "next")
 
     def __init__(self):
         self.next: dict[str, _Node] = {}
         self.ends: dict = {}
+        self._lengths: list[int] | None = None
+
+    def lengths(self) -> list[int]:
+        """Lengths of the starts that end here, longest first: each is one look-up, however many starts there are."""
+        if self._lengths is None:
+            self._lengths = sorted({len(s) for s in self.ends}, reverse=True)
+        return self._lengths
 
 
 class RuleTrie:
@@ -65,9 +74,10 @@ class RuleTrie:
     def _path(node: _Node, path: str) -> tuple[str, str] | None:
         found, parts = None, path.split("/")
         for i, part in enumerate(parts):
-            fitting = [start for start in node.ends if part.startswith(start)]
-            if fitting:
-                found = node.ends[max(fitting, key=len)]
+            for n in node.lengths():
+                if n <= len(part) and part[:n] in node.ends:
+                    found = node.ends[part[:n]]
+                    break
             node = node.next.get(part) if i + 1 < len(parts) else None
             if node is None:
                 break
@@ -103,5 +113,6 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", default: str = "
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
     split = split_url(urls, url)
-    found = split.withColumn("_found", look_up("host", "path"))
-    return found.withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    name = unused("found", split.columns)
+    found = split.withColumn(name, look_up("host", "path"))
+    return found.withColumns({"rule": F.col(name)["rule"], "verdict": F.col(name)["verdict"]}).drop(name)

@@ -2,7 +2,8 @@
 
 import random
 
-CLASH = "n long, node long, tag long, token string, host string, path string, rule string, kept string, z string, digest string, bucket int, rank int"
+CLASH = "n long, node long, tag long, token string, host string, path string, rule string, kept string, z string, digest string, bucket int, rank int, _rejected int, _bad_host string, _i long, _t long, _tag long, _kept string, _nth int, _found string, "
+CLASH += "rejected string, rejected_host string, lost_id long, lost_tag long, kept_text string, text_tag long, rep long, nth int, found string"
 
 
 def documents(spark, extra=True):
