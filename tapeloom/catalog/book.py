@@ -75,6 +75,23 @@ def _(spark, sf):
     return _book(spark, sf)
 
 
+view("v_snapshots", """
+SELECT symbol, seq, ts, side, CASE WHEN seq % 291 <> 0 THEN price END AS price, CASE WHEN seq % 291 <> 0 THEN size END AS size, seq % 97 = 0 AS is_snapshot FROM v_updates""")
+
+
+@query("D4_book_at_snapshots", "symbol:i ts:t side:s price:f2 size:f4", """
+WITH c AS (SELECT symbol, unnest(range(first, last + INTERVAL 12 HOUR, INTERVAL 12 HOUR)) AS cut FROM (
+             SELECT symbol, min(time_bucket(INTERVAL 12 HOUR, ts + INTERVAL 12 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01')) AS first,
+                    max(time_bucket(INTERVAL 12 HOUR, ts + INTERVAL 12 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01')) AS last FROM v_snapshots GROUP BY 1)),
+e AS (SELECT c.symbol, c.cut, u.side, max(u.seq) FILTER (u.is_snapshot) AS epoch FROM c JOIN v_snapshots u ON u.symbol = c.symbol AND u.ts <= c.cut GROUP BY 1, 2, 3),
+l AS (SELECT e.symbol, e.cut AS ts, e.side, u.price, arg_max(u.size, u.seq) AS size FROM e
+      JOIN v_snapshots u ON u.symbol = e.symbol AND u.side = e.side AND u.ts <= e.cut AND u.seq >= coalesce(e.epoch, 0) AND u.price IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT * FROM l WHERE size > 0""")
+def _(spark, sf):
+    """Whole-side snapshots, empty ones included."""
+    return O.book_at(T.with_snapshots(T.book_updates(spark, sf)), "12h")
+
+
 view("v_top", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts, side
        ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS level FROM v_book) WHERE level <= 5""")

@@ -102,7 +102,7 @@ def check_updates(updates: DataFrame) -> DataFrame:
     """Pass updates through; a non-positive price or a negative size fails the job."""
     bad = (F.col("price") <= 0) | (F.col("size") < 0)
     return updates.withColumn(
-        "size", F.when(bad, F.raise_error(F.lit("price must be > 0 and size >= 0"))).otherwise(F.col("size"))
+        "size", F.when(bad, F.raise_error(F.lit("a level has a price that is not positive or a size below zero"))).otherwise(F.col("size"))
     )
 
 
@@ -112,7 +112,8 @@ def book_at(updates: DataFrame, every: str = "1h", *, key: Sequence[str] = KEY)
     Updates (ts, seq, side, price, size; size 0 deletes) are first reduced to the last one per
     level and step, before the shuffle; a level then lives from its step to the next change of the
     same level. Rows with ``is_snapshot`` replace their whole side: all rows of one snapshot share
-    a ``seq``, and levels written before the latest snapshot of their side are gone.
+    a ``seq``, and levels written before the latest snapshot of their side are gone. A snapshot row without price
+    says that the side is empty.
     """
     step = clock.duration_us(every)
     like = clock.ts_type(updates)

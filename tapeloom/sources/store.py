@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -65,10 +67,12 @@ def stitch_pages(pages: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def merge_bars(stored: DataFrame, fresh: DataFrame, *, key: Sequence[str] = KEY) -> DataFrame:
-    """Stored and fresh bars; at one time the fresh one wins. Copies collapse before the shuffle."""
+    """Stored and fresh bars; at one time a fresh one wins, and of several fresh ones that with the largest values, column by column
+    from the left (one whole row: columns of different rows are never mixed). Copies collapse before the shuffle."""
     values = [c for c in stored.columns if c not in (*key, "ts")]
     both = stored.withColumn("_batch", F.lit(0)).unionByName(fresh.withColumn("_batch", F.lit(1)))
-    return both.groupBy(*key, "ts").agg(*[F.max_by(v, "_batch").alias(v) for v in values])
+    whole = F.max(F.struct("_batch", *values)).alias("_row")
+    return both.groupBy(*key, "ts").agg(whole).select(*key, "ts", *[F.col("_row")[v].alias(v) for v in values])
 
 
 def keep_recent(bars: DataFrame, end: dt.datetime, days: int, timeframe: str) -> DataFrame:
@@ -79,20 +83,71 @@ def keep_recent(bars: DataFrame, end: dt.datetime, days: int, timeframe: str) ->
     return bars.where(clock.micros("ts") >= start_us - start_us % clock.duration_us(timeframe))
 
 
-def upsert_bars(spark: SparkSession, root: str, fresh: DataFrame, *, key: str = "symbol", period: str = "day") -> None:
-    """Merge fresh bars into ``root``; only the folders they touch are read and rewritten."""
+def upsert_bars(spark: SparkSession, root: str, fresh: DataFrame, *, key: str = "symbol", period: str = "day", batch: str | None = None) -> None:
+    """Merge fresh bars into ``root``; only the folders they touch are read and rewritten. One rule holds for the first
+    write and for all others: one row per series and time.
+
+    A ``batch`` is a name under which the store keeps what it has applied, in a ledger beside the data: a
+    batch that is sent again changes nothing. The merged folders are staged whole before any is replaced, and a batch that
+    was staged but not finished is finished first, so a job killed in between leaves no half of a batch.
+    """
+    ledger = Ledger(spark, root)
+    ledger.recover(key)
+    if batch is not None and ledger.has(batch):
+        return
     fresh = stage(_dated(fresh, period), "fresh")
     try:
         stored = spark.read.parquet(root).select(*fresh.columns)
     except AnalysisException as error:  # first write
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        _write(fresh, root, key, "ts", "append")
-        return
+        stored = fresh.limit(0)
     touched = fresh.select(key, "date").distinct()
     old = stored.join(touched, [key, "date"], "left_semi")
-    merged = merge_bars(old, fresh, key=[key])
-    _write(stage(merged, "merged"), root, key, "ts", "overwrite")
+    ledger.apply(merge_bars(old, fresh, key=[key]), key, batch)
+
+
+class Ledger:
+    """What a bar store has applied, in ``_applied`` beside its folders (names that begin with _ are not read as data).
+
+    A batch passes three states, each reached by one atomic rename or file: its merged rows are staged whole, the
+    staged folder is named ready, and after the store's folders are overwritten with it, its name is entered
+    as done. Overwriting from a ready folder may be repeated any number of times with the same outcome.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = lambda *parts: path("/".join((root.rstrip("/"), "_applied", *parts)))
+        self.files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _entry(self, batch: str) -> str:
+        return hashlib.sha256(batch.encode()).hexdigest()
+
+    def has(self, batch: str) -> bool:
+        return self.files.exists(self.path("done", self._entry(batch)))
+
+    def apply(self, merged: DataFrame, key: str, batch: str | None) -> None:
+        entry = self._entry(batch) if batch is not None else uuid.uuid4().hex
+        staged = self.path(f"staged-{uuid.uuid4().hex}")
+        merged.write.parquet(staged.toString())
+        ready = self.path("ready", entry)
+        self.files.mkdirs(self.path("ready"))
+        if not self.files.rename(staged, ready):
+            raise RuntimeError(f"{staged} could not be renamed: is another job writing to {self.root}?")
+        self._finish(ready, key)
+
+    def recover(self, key: str) -> None:
+        """Finish batches that were ready when a job ended."""
+        if self.files.exists(self.path("ready")):
+            for found in self.files.listStatus(self.path("ready")):
+                self._finish(found.getPath(), key)
+
+    def _finish(self, ready, key: str) -> None:
+        _write(self.spark.read.parquet(ready.toString()), self.root, key, "ts", "overwrite")
+        self.files.mkdirs(self.path("done"))
+        self.files.create(self.path("done", ready.getName()), True).close()
+        self.files.delete(ready, True)
 
 
 def manifest(bars: DataFrame, timeframe: str, *, key: Sequence[str] = KEY) -> DataFrame:

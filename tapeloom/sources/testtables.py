@@ -75,6 +75,13 @@ def book_updates_of(events: DataFrame) -> DataFrame:
     )
 
 
+def with_snapshots(updates: DataFrame) -> DataFrame:
+    """Every 97th update as a snapshot of its side, every third of them an empty one (without price and size)."""
+    snapshot, empty = F.col("seq") % 97 == 0, F.col("seq") % 291 == 0
+    gone = lambda c: F.when(~empty, F.col(c)).alias(c)
+    return updates.select("seq", "ts", "symbol", "side", gone("price"), gone("size"), snapshot.alias("is_snapshot"))
+
+
 def book_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Cumulative depth per percentage offset, one snapshot per ship date."""
     from pyspark.sql import Window

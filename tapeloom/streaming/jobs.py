@@ -40,89 +40,141 @@ def time_bars(trades: DataFrame, interval: str, delay: str, *, key: Sequence[str
     )
 
 
-class _TopOfBook(StatefulProcessor):
-    """Level sizes of one instrument as map state, its best prices as value state; one output row per update.
-
-    An update touches one level and the best price it is compared with. A side is read through only when its
-    best level goes. A micro-batch of one instrument is put in order in memory, so the source's rate
-    options bound it. Updates at or before the last one applied in an earlier micro-batch come too late and are dropped.
+class _Book(StatefulProcessor):
+    """The book of one instrument as state: every level keeps its size and its own version (time, seq), every side the
+    version of its last snapshot.
+
+    An update wins if it is newer than its level and not older than its side's snapshot; a loser changes nothing and is sent out
+    as late. A snapshot removes the levels that are older than itself. So the book that all updates leave does not
+    depend on their order or on how micro-batches are cut. Deleted levels keep their version until a snapshot: a
+    side's state is bounded by the prices seen since then. The best price is state too, and a side is read
+    through only when its best level goes.
     """
 
+    def __init__(self, tops: bool):
+        self.tops_out = tops
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {s: handle.getMapState(s, "price double", "size double") for s in ("bid", "ask")}
-        self.tops = {s: handle.getValueState(f"{s}_top", "price double, size double") for s in ("bid", "ask")}
-        self.last = handle.getValueState("last", "ts timestamp, seq long")
-
-    def _best(self, side: str, touched: dict[float, float]) -> tuple[float, float] | None:
-        """Read a side through: stored levels under what this micro-batch has changed."""
-        better = max if side == "bid" else min
-        found = None
-        for (price,), (size,) in self.sides[side].iterator():
-            if price not in touched and (found is None or better(price, found[0]) == price):
-                found = (price, size)
-        live = [price for price, size in touched.items() if size > 0]
-        if live and (found is None or better(better(live), found[0]) == better(live)):
-            found = (better(live), touched[better(live)])
-        return found
+        self.levels = {s: handle.getMapState(s, "price double", "size double, at long, seq long") for s in SIDES}
+        self.tops = {s: handle.getValueState(f"{s}_top", "price double, size double") for s in SIDES}
+        self.epochs = {s: handle.getValueState(f"{s}_epoch", "at long, seq long") for s in SIDES}
+        self.steps = handle.getValueState("steps", "n long")
+
+    def _all(self, side: str, changed: dict[float, tuple]) -> Iterator[tuple]:
+        """(price, size, at, seq) of stored levels under what this micro-batch has changed."""
+        for (price,), row in self.levels[side].iterator():
+            if price not in changed:
+                yield (price, *row)
+        yield from ((price, *row) for price, row in changed.items() if row is not None)
+
+    def _best(self, side: str, changed: dict[float, tuple]) -> tuple[float, float] | None:
+        live = ((price, size) for price, size, _, _ in self._all(side, changed) if size > 0)
+        return (max if side == "bid" else min)(live, key=lambda level: level[0], default=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        if self.last.exists():
-            ts, seq = self.last.get()
-            at = pd.Timestamp(ts).tz_localize(None)
-            batch = batch[(batch["ts"] > at) | ((batch["ts"] == at) & (batch["seq"] > seq))]
+        # Rows in order are only needed for the best price after each of them; a micro-batch of one instrument is
+        # then held in memory, so the source's rate options bound it. Changes of levels are told batch by batch.
+        if self.tops_out:
+            rows = [pd.concat(list(rows)).sort_values(["ts", "seq"])]
+        n = self.steps.get()[0] if self.steps.exists() else 0
         top = {s: tuple(v.get()) if v.exists() else None for s, v in self.tops.items()}
-        touched: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
-        out = []
-        for seq, ts, side, price, size in zip(batch["seq"], batch["ts"], batch["side"], batch["price"], batch["size"]):
-            if price <= 0 or size < 0:
-                raise ValueError(f"bad level update {seq}: price {price}, size {size}")
-            touched[side][price] = size
-            best = top[side]
-            if size > 0 and (best is None or price == best[0] or (price > best[0]) == (side == "bid")):
-                top[side] = (price, size)
-            elif size == 0 and best is not None and price == best[0]:
-                top[side] = self._best(side, touched[side])
-            out.append((key[0], seq, ts, *(top["bid"] or (None, None)), *(top["ask"] or (None, None))))
-        for side, levels in touched.items():
-            for price, size in levels.items():
-                if size > 0:
-                    self.sides[side].updateValue((price,), (size,))
-                elif self.sides[side].containsKey((price,)):
-                    self.sides[side].removeKey((price,))
-            if top[side] is None:
-                self.tops[side].clear()
-            else:
-                self.tops[side].update(tuple(float(x) for x in top[side]))
-        if out:
-            self.last.update((pd.Timestamp(out[-1][2]).to_pydatetime(), int(out[-1][1])))
-        names = ["symbol", "seq", "ts", "bid_price", "bid_size", "ask_price", "ask_size"]
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({c: "float64" for c in names[3:]})
+        epoch = {s: tuple(v.get()) if v.exists() else None for s, v in self.epochs.items()}
+        for batch in rows:
+            changed: dict[str, dict[float, tuple]] = {s: {} for s in SIDES}
+            out = []
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            for seq, ts, at, side, price, size, snapshot in zip(batch["seq"], batch["ts"], micros, batch["side"], batch["price"], batch["size"], batch["is_snapshot"]):
+                n += 1
+                mine, version, empty = changed[side], (at, seq), pd.isna(price)
+                if (empty and not snapshot) or (not empty and not (price > 0 and size >= 0)):
+                    raise ValueError(f"bad level update {seq}: price {price}, size {size}")
+                late = epoch[side] is not None and version < epoch[side]
+                if snapshot and not late and version != epoch[side]:
+                    epoch[side] = version
+                    for old, was, *then in list(self._all(side, mine)):
+                        if tuple(then) < version:
+                            mine[old] = None
+                            if was > 0 and old != price and not self.tops_out:  # this row tells of its own level below
+                                out.append((key[0], seq, ts, side, old, 0.0, False, n))
+                    top[side] = self._best(side, mine)
+                if not late and not empty:
+                    known = mine[price] if price in mine else self.levels[side].getValue((price,)) if self.levels[side].containsKey((price,)) else None
+                    late = known is not None and version < tuple(known[1:])
+                    if not late:
+                        mine[price] = (float(size), int(at), int(seq))
+                        best = top[side]
+                        if size > 0 and (best is None or price == best[0] or (price > best[0]) == (side == "bid")):
+                            top[side] = (price, size)
+                        elif size == 0 and best is not None and price == best[0]:
+                            top[side] = self._best(side, mine)
+                if self.tops_out:
+                    out.append((key[0], seq, ts, *(top["bid"] or (None, None)), *(top["ask"] or (None, None)), late, n))
+                elif late or not empty:
+                    out.append((key[0], seq, ts, side, price, size, late, n))
+            for side, levels in changed.items():
+                for price, row in levels.items():
+                    if row is not None:
+                        self.levels[side].updateValue((price,), row)
+                    elif self.levels[side].containsKey((price,)):
+                        self.levels[side].removeKey((price,))
+            names = TOPS if self.tops_out else CHANGES
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.astype({c: "float64" for c in names if c.endswith(("price", "size"))} | {"late": "bool", "step": "int64"})
+        for side in SIDES:
+            self.tops[side].clear() if top[side] is None else self.tops[side].update(tuple(float(x) for x in top[side]))
+            if epoch[side] is not None:
+                self.epochs[side].update(tuple(int(x) for x in epoch[side]))
+        self.steps.update((n,))
 
     def close(self) -> None:
         pass
 
 
+SIDES = ("bid", "ask")
+TOPS = ["symbol", "seq", "ts", "bid_price", "bid_size", "ask_price", "ask_size", "late", "step"]
+CHANGES = ["symbol", "seq", "ts", "side", "price", "size", "late", "step"]
+
+
+def _book_stream(updates: DataFrame, tops: bool) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in updates.schema.fields}
+    kinds |= {c: "double" for c in ("price", "size", *TOPS[3:7])} | {"late": "boolean", "step": "long", "side": "string"}
+    if "is_snapshot" not in updates.columns:
+        updates = updates.withColumn("is_snapshot", F.lit(False))
+    rows = updates.withColumn("is_snapshot", F.coalesce("is_snapshot", F.lit(False)))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (TOPS if tops else CHANGES))
+    return rows.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=_Book(tops), outputStructType=schema, outputMode="Append", timeMode="None"
+    )
+
+
 def top_of_book(updates: DataFrame) -> DataFrame:
     """Best bid and ask after every level update of a stream, with the book kept as state.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    ``updates`` has symbol, seq, ts, side, price, size, and may have ``is_snapshot``: the rows of one snapshot share
+    time and seq, and one without price says that its side is empty. ``late`` marks updates that lost to a newer
+    one of their level or to a snapshot; ``step`` counts an instrument's rows. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
     """
-    ts = updates.schema["ts"].dataType.simpleString()
-    symbol = updates.schema["symbol"].dataType.simpleString()
-    schema = f"symbol {symbol}, seq long, ts {ts}, bid_price double, bid_size double, ask_price double, ask_size double"
-    return updates.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=_TopOfBook(), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return _book_stream(updates, True)
+
+
+def book_changes(updates: DataFrame) -> DataFrame:
+    """Every change of a level, with size 0 where a snapshot or an update removes it, and the late updates, marked."""
+    return _book_stream(updates, False)
+
+
+def standing_levels(changes: DataFrame) -> DataFrame:
+    """The book that the changes written so far leave: symbol, side, price, size."""
+    last = changes.where("not late").groupBy("symbol", "side", "price").agg(F.max_by("size", "step").alias("size"))
+    return last.where("size > 0")
 
 
 def bar_upsert(bars: DataFrame, root: str, checkpoint: str, *, key: str = "symbol", period: str = "day"):
-    """Merge every micro-batch of bars into the bar store; returns the started query."""
+    """Merge every micro-batch of bars into the bar store, each once, also if Spark sends it again after a failure; returns the started query."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            upsert_bars(batch.sparkSession, root, batch, key=key, period=period)
+            upsert_bars(batch.sparkSession, root, batch, key=key, period=period, batch=f"{checkpoint}#{batch_id}")
 
     return (
         bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,11 @@
 """Streams fed in several micro-batches against the batch result."""
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.catalog import streams
 from tapeloom.operators import bars as B
 from tapeloom.streaming import jobs as K
 from tests import frames as f
@@ -62,13 +65,45 @@ def test_upsert_in_batches(spark, tmp_path):
     assert out.count() == 60 and out.where("close > 1000").count() == 20
 
 
-def test_late_book_updates_are_dropped(spark, tmp_path):
+BOOK = "symbol string, seq long, ts timestamp_ntz, side string, price double, size double, is_snapshot boolean, n int"
+
+
+def test_late_updates_win_or_lose_on_their_own_level(spark, tmp_path):
     at = lambda i: f.START + pd.Timedelta(seconds=i)
-    rows = [("X", 1, at(10), "bid", 100.0, 1.0), ("X", 2, at(11), "bid", 101.0, 1.0), ("X", 0, at(5), "bid", 105.0, 9.0), ("X", 3, at(12), "bid", 101.0, 0.0)]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "symbol string, seq long, ts timestamp_ntz, side string, price double, size double, n int")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", K.ROCKSDB)
-    try:
-        out = K.drain(K.top_of_book(feed(spark, df, str(tmp_path / "in"), 2, "n").drop("n")), "top").orderBy("seq").collect()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert [(r["seq"], r["bid_price"], r["ask_price"]) for r in out] == [(1, 100.0, None), (2, 101.0, None), (3, 100.0, None)]
+    rows = [
+        ("X", 1, at(10), "bid", 100.0, 1.0, False), ("X", 2, at(11), "bid", 101.0, 1.0, False),
+        ("X", 0, at(5), "bid", 105.0, 9.0, False), ("X", -1, at(4), "bid", 101.0, 7.0, False), ("X", 3, at(12), "bid", 101.0, 0.0, False),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], BOOK)
+    with streams._rocksdb(spark):
+        out = K.drain(K.top_of_book(feed(spark, df, str(tmp_path / "in"), 3, "n").drop("n")), "top").orderBy("step").collect()
+    assert {(r["seq"], r["bid_price"], r["late"]) for r in out if r["seq"] < 3} == {(1, 100.0, False), (2, 101.0, False) if out[1]["seq"] == 2 else (2, 105.0, False), (0, 105.0, False), (-1, 105.0, True)}
+    assert [(r["seq"], r["bid_price"], r["bid_size"], r["late"]) for r in out if r["step"] == 5] == [(3, 105.0, 9.0, False)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_book_does_not_depend_on_how_batches_are_cut(spark, tmp_path, parts):
+    rng = np.random.default_rng(4)
+    rows = []
+    for seq in range(240):
+        side = ("bid", "ask")[int(rng.integers(2))]
+        price = (100.0 - int(rng.integers(9))) if side == "bid" else 101.0 + int(rng.integers(9))
+        ts = f.START + pd.Timedelta(seconds=seq // 3)
+        if seq % 40 == 17:  # a snapshot of several rows, or of none
+            levels = [] if seq % 80 == 17 else [(price, 4.0), (price + 20, 5.0)]
+            rows += [("X", seq, ts, side, p, s, True) for p, s in levels or [(None, None)]]
+        else:
+            rows.append(("X", seq, ts, side, price, float(rng.integers(0, 4)), False))
+    want = {"bid": {}, "ask": {}}
+    last = None
+    for _, seq, _, side, price, size, snapshot in rows:
+        if snapshot and seq != last:
+            want[side] = {}
+        last = seq if snapshot else None
+        if price is not None:
+            want[side][price] = size
+    order = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([(*r, n) for n, r in zip(order, rows)], BOOK)
+    with streams._rocksdb(spark):
+        out = K.standing_levels(K.drain(K.book_changes(feed(spark, df, str(tmp_path / "in"), parts, "n").drop("n")), "changes")).collect()
+    assert sorted((r["side"], r["price"], r["size"]) for r in out) == sorted((s, p, x) for s in want for p, x in want[s].items() if x > 0)
