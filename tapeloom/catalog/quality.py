@@ -129,6 +129,45 @@ def _(spark, sf):
     return Q.severity(Q.summary(_found(bars), bars))
 
 
+view("v_kinds", """
+SELECT symbol || '-' || kind AS symbol, TIMESTAMP '2024-01-01' + to_hours(CAST(rn AS INT)) AS ts, rn, kind, n
+FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM v_nbars), (VALUES ('clean'), ('gappy'), ('doubled'), ('idle')) k(kind)""")
+
+
+def kinds(spark, sf):
+    """Per series one without findings, one with few gaps, one with doubled bars of different prices, one often without volume."""
+    every = T.indexed_hourly_bars(spark, sf).withColumn("kind", F.explode(F.array(*map(F.lit, ("clean", "gappy", "doubled", "idle")))))
+    at, twice = F.col("rn"), (F.col("kind") == "doubled") & (F.col("rn") % 50 == 0)
+    regular = every.select(
+        F.concat_ws("-", "symbol", "kind").alias("symbol"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(rn as int))").alias("ts"),
+        F.lit(100.0).alias("open"), F.lit(103.0).alias("high"), F.lit(99.0).alias("low"), F.explode(F.when(twice, F.array(F.lit(101.0), F.lit(102.0))).otherwise(F.array(F.lit(101.0)))).alias("close"),
+        F.when((F.col("kind") == "idle") & (at % 2 == 0), 0.0).otherwise(1.0).alias("volume"),
+        ((F.col("kind") == "gappy") & (at % 40 == 20)).alias("gone"),
+    )
+    return index_rows(stage(regular.where("not gone").drop("gone"), "kinds"), order=Q.ORDER)
+
+
+@query("H8_severity_kinds", "symbol:s findings:i severity:s", """
+SELECT symbol, findings, CASE WHEN findings = 0 THEN 'clean' WHEN kind = 'doubled' OR findings > 100 THEN 'major' ELSE 'minor' END AS severity FROM (
+  SELECT symbol, kind, CASE kind WHEN 'clean' THEN 0 WHEN 'gappy' THEN count(*) FILTER (rn % 40 = 20 AND rn < n - 1)
+         WHEN 'doubled' THEN 2 * count(*) FILTER (rn % 50 = 0) ELSE count(*) FILTER (rn % 2 = 0) END AS findings FROM v_kinds GROUP BY 1, 2)""")
+def _(spark, sf):
+    bars = kinds(spark, sf)
+    return Q.severity(Q.summary(Q.findings(bars, "1h", z_threshold=1e9), bars))
+
+
+@query("H10_report_kinds", "symbol:s total_rows:i findings:i severity:s gaps:i duplicates:i zero_volume:i", """
+SELECT symbol, total_rows, gaps + duplicates + zero_volume AS findings, CASE WHEN gaps + duplicates + zero_volume = 0 THEN 'clean'
+       WHEN duplicates > 0 OR gaps + zero_volume > 100 THEN 'major' ELSE 'minor' END AS severity, gaps, duplicates, zero_volume FROM (
+  SELECT symbol, count(*) + CASE kind WHEN 'gappy' THEN -count(*) FILTER (rn % 40 = 20) WHEN 'doubled' THEN count(*) FILTER (rn % 50 = 0) ELSE 0 END AS total_rows,
+         CASE kind WHEN 'gappy' THEN count(*) FILTER (rn % 40 = 20 AND rn < n - 1) ELSE 0 END AS gaps,
+         CASE kind WHEN 'doubled' THEN 2 * count(*) FILTER (rn % 50 = 0) ELSE 0 END AS duplicates,
+         CASE kind WHEN 'idle' THEN count(*) FILTER (rn % 2 = 0) ELSE 0 END AS zero_volume FROM v_kinds GROUP BY symbol, kind)""")
+def _(spark, sf):
+    bars = kinds(spark, sf)
+    return Q.report(bars, Q.findings(bars, "1h", z_threshold=1e9))
+
+
 @query("H9_findings", "symbol:s ts:t check:s reason:s z_score:e8 gap_seconds:i run_length:i", "SELECT * FROM v_findings")
 def _(spark, sf):
     return _found(indexed(spark, sf))

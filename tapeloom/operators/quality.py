@@ -24,6 +24,10 @@ GAP_TOLERANCE = 1.5
 MINOR_LIMIT = 100
 
 
+# Bars that share a time are put in order by their values, so that row numbers, gaps and returns do not depend on the layout.
+ORDER = ("ts", "open", "high", "low", "close", "volume")
+
+
 def _out_of_range(c: str) -> Column:
     return (F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))
 
@@ -44,7 +48,7 @@ def ohlc_invariants(bars: DataFrame) -> DataFrame:
 
 def gaps(bars: DataFrame, timeframe: str, *, tolerance: float = GAP_TOLERANCE, key: Sequence[str] = KEY, size: int = TILE_ROWS) -> DataFrame:
     """Bars that come more than ``tolerance`` bar lengths after their predecessor."""
-    t = tile(bars, key, before=1, size=size)
+    t = tile(bars, key, before=1, order=ORDER, size=size)
     out = _with_gap(t.core(t.df.withColumn("previous", t.lag("ts"))), timeframe, tolerance)
     return out.where("_gap").select(*key, "ts", "previous", "gap_seconds")
 
@@ -83,7 +87,7 @@ def volume_outliers(
     bars: DataFrame, *, window: int = OUTLIER_WINDOW, z_threshold: float = Z_THRESHOLD, key: Sequence[str] = KEY, size: int = TILE_ROWS
 ) -> DataFrame:
     """Volume far from its mean over the ``window`` bars before."""
-    t = tile(bars, key, before=window, size=size)
+    t = tile(bars, key, before=window, order=ORDER, size=size)
     mu, sd = _window_moments(t, "volume", window)
     return _outliers(t.core(t.df.withColumns({"_mu": mu, "_sd": sd})), "volume", z_threshold, "volume_outlier")
 
@@ -92,7 +96,7 @@ def return_outliers(
     bars: DataFrame, *, window: int = OUTLIER_WINDOW, z_threshold: float = Z_THRESHOLD, key: Sequence[str] = KEY, size: int = TILE_ROWS
 ) -> DataFrame:
     """Close-to-close returns far from their mean over the ``window`` returns before."""
-    t = tile(bars, key, before=window + 1, size=size)
+    t = tile(bars, key, before=window + 1, order=ORDER, size=size)
     t = t.with_df(t.df.withColumn("return", maths.div("close", t.lag("close")) - 1))
     mu, sd = _window_moments(t, "return", window)
     return _outliers(t.core(t.df.withColumns({"_mu": mu, "_sd": sd})), "return", z_threshold, "return_outlier")
@@ -109,7 +113,7 @@ def stale_quotes(bars: DataFrame, *, min_run: int = STALE_RUN, key: Sequence[str
     run; run lengths are counted map-side and joined back.
     """
     key = list(key)
-    flat = tile(bars, key, size=size).core().where(_is_stale())
+    flat = tile(bars, key, order=ORDER, size=size).core().where(_is_stale())
     flat = carry_scan(flat, key, "_tile", ("rn",), {"_k": running("sum", F.lit(1).cast("long"))})
     flat = flat.withColumn("_run", F.col("rn") - F.col("_k")).drop("_k", "_tile")
     runs = flat.groupBy(*key, "_run").agg(F.count("*").alias("run_length")).where(F.col("run_length") >= min_run)
@@ -132,7 +136,7 @@ def findings(
     broken check; duplicates and stale runs need a lookup of group counts and are joined on.
     """
     key = list(key)
-    t = tile(bars, key, before=outlier_window + 1, size=size)
+    t = tile(bars, key, before=outlier_window + 1, order=ORDER, size=size)
     t = t.with_df(t.df.withColumns({"previous": t.lag("ts"), "return": maths.div("close", t.lag("close")) - 1}))
     vm, vs = _window_moments(t, "volume", outlier_window)
     rm, rs = _window_moments(t, "return", outlier_window)

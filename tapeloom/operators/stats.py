@@ -66,19 +66,20 @@ def profit_factor(pnl: str) -> Column:
 
 def with_peak(df: DataFrame, value: str = "equity", *, key: Sequence[str] = KEY, size: int | None = TILE_ROWS) -> DataFrame:
     """Add ``peak`` (running maximum so far), ``peak_ts`` (its latest time) and ``dd``."""
-    t = tile(df, key, size=size)
-    out = carry_scan(t.core(), key, "_tile", ("rn",), {"_peak": running("max", F.struct(F.col(value).alias("v"), F.col("ts").alias("ts")))})
-    out = out.withColumns({"peak": F.col("_peak.v"), "peak_ts": F.col("_peak.ts")})
-    return out.withColumn("dd", div(value, "peak") - 1).drop("_peak", "_tile")
+    out = carry_scan(tile(df, key, size=size).core(), key, "_tile", ("rn",), {"peak": running("max", value)})
+    out = out.withColumn("_top", F.when(F.col(value) == F.col("peak"), F.col("ts")))
+    out = carry_scan(out, key, "_tile", ("rn",), {"peak_ts": running("last", "_top")})
+    return out.withColumn("dd", div(value, "peak") - 1).drop("_top", "_tile")
 
 
 def max_drawdown(df: DataFrame, value: str = "equity", *, key: Sequence[str] = KEY, size: int | None = TILE_ROWS) -> DataFrame:
-    """Deepest fall from the running maximum, its first trough and the latest peak before it."""
-    worst = F.min(F.struct("dd", "ts", "peak_ts"))
-    out = with_peak(df, value, key=key, size=size).groupBy(*key).agg(worst.alias("_w"))
-    return out.select(
-        *key, F.col("_w.dd").alias("max_drawdown"), F.col("_w.peak_ts").alias("peak_ts"), F.col("_w.ts").alias("trough_ts")
-    )
+    """Deepest fall from the running maximum, its first trough and the latest peak before it.
+
+    The depth is found first, then the first row that has it: plain numbers, so both are hash aggregates."""
+    falls = stage(with_peak(df, value, key=key, size=size).select(*key, "ts", "dd", "peak_ts"), "falls")
+    deepest = falls.groupBy(*key).agg(F.min("dd").alias("max_drawdown"))
+    at = lookup_join(falls, deepest, key).where("dd = max_drawdown")
+    return at.groupBy(*key).agg(F.min("dd").alias("max_drawdown"), F.min_by("peak_ts", "ts").alias("peak_ts"), F.min("ts").alias("trough_ts"))
 
 
 def calmar(cagr: Column, mdd: Column) -> Column:
