@@ -103,6 +103,25 @@ def _(spark, sf):
     return archives.zipped_trades(archives.unzip_lines(files))
 
 
+def _zip_depth(rows: pd.DataFrame) -> pd.DataFrame:
+    """One zipped archive of depth lines per day."""
+    import io
+    import zipfile
+
+    name = f"BOOK-bookDepth-{rows['date'].iloc[0]}"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(f"{name}.csv", rows.drop(columns=["date"]).to_csv(index=False))
+    return pd.DataFrame({"path": [f"/data/{name}.zip"], "content": [buffer.getvalue()]})
+
+
+@query("A4_unzip_depth", "symbol:s ts:t percentage:f2 depth:f4 notional:f1", "SELECT 'BOOK' AS symbol, ts, percentage, depth, 0e0 AS notional FROM v_depth")
+def _(spark, sf):
+    depth = T.book_depth(spark, sf).select(F.to_date("ts").alias("date"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "percentage", "depth", "notional")
+    files = depth.groupBy("date").applyInPandas(_zip_depth, "path string, content binary")
+    return archives.zipped_depth(archives.unzip_lines(files))
+
+
 def _dated(spark, sf):
     root = _folder(spark, "trades")
     store.write_by_date(T.trades(spark, sf), root)

@@ -305,6 +305,48 @@ def _(spark, sf):
     return J.ml_directional(_bars(spark, sf), J.make_model("Lag1"), config=TWO)
 
 
+# Ridge regression on both targets, fitted on the first part of each series and held on the rest.
+view("v_split", """
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM v_two),
+t AS (SELECT *, k < greatest(10, floor(0.6e0 * n)) AS train FROM s WHERE n >= 50),
+m AS (SELECT symbol, avg(ret_lag1) AS m1, avg(ret_lag2) AS m2, stddev_pop(ret_lag1) AS s1, stddev_pop(ret_lag2) AS s2 FROM t WHERE train GROUP BY 1),
+x AS (SELECT symbol, ts, train, fwd, (ret_lag1 - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END AS x1, (ret_lag2 - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END AS x2
+      FROM t JOIN m USING (symbol)),
+y AS (SELECT *, 'return' AS target, fwd AS y FROM x UNION ALL SELECT *, 'direction', CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END FROM x),
+g AS (SELECT symbol, target, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, var_pop(x1) * count(*) + 1 AS c11, var_pop(x2) * count(*) + 1 AS c22,
+             covar_pop(x1, x2) * count(*) AS c12, covar_pop(x1, y) * count(*) AS d1, covar_pop(x2, y) * count(*) AS d2 FROM y WHERE train GROUP BY 1, 2),
+b AS (SELECT *, (d1 * c22 - d2 * c12) / (c11 * c22 - c12 * c12) AS b1, (d2 * c11 - d1 * c12) / (c11 * c22 - c12 * c12) AS b2 FROM g)
+SELECT symbol, target, ts, ay + b1 * (x1 - a1) + b2 * (x2 - a2) AS pred FROM y JOIN b USING (symbol, target) WHERE NOT train""")
+
+
+@query("E5_ml_directional_ridge", "symbol:s target:s ts:t position:f1", """
+SELECT n.symbol, t.target, n.ts, coalesce(CASE WHEN p.pred > t.hi THEN 1e0 WHEN p.pred < t.lo THEN -1e0 END, 0e0) AS position
+FROM v_nbars n CROSS JOIN (VALUES ('direction', 0.55e0, 0.45e0), ('return', 0.25e0, -0.25e0)) t(target, hi, lo)
+LEFT JOIN v_split p ON p.symbol = n.symbol AND p.ts = n.ts AND p.target = t.target""")
+def _(spark, sf):
+    """A fitted model on both targets."""
+    bars = _bars(spark, sf)
+    each = [
+        J.ml_directional(bars, J.ridge_regression(), target, direction_band=0.05, return_band=0.25, config=TWO).withColumn("target", F.lit(target))
+        for target in ("direction", "return")
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("J6_registry_predictions", "name:s symbol:s window_id:i ts:t pred:f7 actual:f7", """
+WITH g AS (SELECT symbol, window_id, avg(x1) AS a1, avg(x2) AS a2, avg(fwd) AS ay, var_pop(x1) * count(*) + 1 AS c11, var_pop(x2) * count(*) + 1 AS c22,
+                  covar_pop(x1, x2) * count(*) AS c12, covar_pop(x1, fwd) * count(*) AS d1, covar_pop(x2, fwd) * count(*) AS d2
+           FROM v_scaled WHERE role = 'train' GROUP BY 1, 2),
+b AS (SELECT *, (d1 * c22 - d2 * c12) / (c11 * c22 - c12 * c12) AS b1, (d2 * c11 - d1 * c12) / (c11 * c22 - c12 * c12) AS b2 FROM g)
+SELECT 'Ridge' AS name, symbol, window_id, ts, ay + b1 * (x1 - a1) + b2 * (x2 - a2) AS pred, fwd AS actual FROM v_scaled JOIN b USING (symbol, window_id) WHERE role = 'test'
+UNION ALL SELECT 'Lag1', symbol, window_id, ts, x1, fwd FROM v_scaled WHERE role = 'test'""")
+def _(spark, sf):
+    """What the closed-form models of the registry predict, by name."""
+    bars = _bars(spark, sf)
+    each = [J.fit_predict_walkforward(bars, J.make_model(name), "return", ROLL, TWO).withColumn("name", F.lit(name)) for name in ("Lag1", "Ridge")]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("J6_registry", "name:s rows:i", """
 SELECT name, count(*) AS rows FROM v_scaled, (VALUES ('GBT'), ('Lag1'), ('MLP'), ('Ridge')) m(name) WHERE role = 'test' GROUP BY 1""")
 def _(spark, sf):

@@ -5,7 +5,7 @@ import re
 from tapeloom.catalog import all_queries
 
 QUERIES = all_queries()
-PYTHON = {"A4_unzip_archives", "B8_lttb", "E3_ofi_mean_reversion", "E3_ofi_mean_reversion_chained", "J2_ridge_regression", "J3_ridge_classifier",
+PYTHON = {"A4_unzip_archives", "A4_unzip_depth", "E5_ml_directional_ridge", "J6_registry_predictions", "B8_lttb", "E3_ofi_mean_reversion", "E3_ofi_mean_reversion_chained", "J2_ridge_regression", "J3_ridge_classifier",
           "J3_ridge_classifier_wide", "J4_mlp", "J4_mlp_rows", "J5_boosted_trees", "J5_boosted_trees_rows",
           "J13_benchmark_sweep", "J14_fee_pivot", "J6_registry", "K2_streaming_top_of_book"}
 # One row in all (best of panels, rule counts, per-class totals) meets in a single task by definition.
