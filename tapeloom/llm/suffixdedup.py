@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeloom.llm.batches import give_back, slices, unused
+from tapeloom.llm.batches import add_columns, give_back, slices, unused
 from tapeloom.llm.jaccard import _batch, _slice_numbers, _table
 from tapeloom.llm.packed import bucket_cuts, dealt, n_buckets, pack, pack_all, pack_sorted, plain_text, text_runs, unpack, unpack_all, unpack_sorted
 from tapeloom.llm.words import joined, mixed
@@ -365,7 +365,7 @@ def removed_strings(source_z: DataFrame, marked: DataFrame, length: int, buckets
 
 
 _KEPT = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("doc_id", "tag", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("text", T.StringType())]
+    [T.StructField(c, T.LongType()) for c in ("doc_id", "tag", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
 )
 
 
@@ -378,35 +378,47 @@ def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], high[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]
 
 
-def cleaned(source_z: DataFrame, marked: DataFrame, ranges: DataFrame, length: int, with_text: bool) -> DataFrame:
+def lost_ranges(size: int, settled: bytes | None, ranges: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint byte ranges that a text of ``size`` bytes loses, from settled anchors and the ranges of found strings."""
+    reach = length - (length + 1) // 2
+    anchors = unpack(settled, np.uint32).astype(np.int64) if settled is not None else np.zeros(0, np.int64)
+    low, high = np.maximum(anchors - reach, 0), np.minimum(anchors + length, size)
+    whole = high - low >= length
+    given = np.array([(x["low"], x["high"]) for x in ranges or []], np.int64).reshape(-1, 2)
+    low, high = np.concatenate((low[whole], given[:, 0])), np.concatenate((high[whole], given[:, 1]))
+    return _merged(low, high) if len(low) else (low, high)
+
+
+def without(text: bytes, low: np.ndarray, high: np.ndarray) -> bytes:
+    edges = [0, *np.stack((low, high), axis=1).reshape(-1).tolist(), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _losses(source_z: DataFrame, marked: DataFrame, length: int, buckets: int) -> DataFrame:
+    """i, t (id and hash of the text, one row of each), settled and ranges of documents that may lose something."""
+    ranges = removed_strings(source_z, marked, length, buckets)
+    per_doc = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    every = marked.select("doc_id", "tag", "settled").join(per_doc, ["doc_id", "tag"], "full")
+    return every.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "settled", "ranges")
+
+
+def cleaned(source_z: DataFrame, named: DataFrame, length: int) -> DataFrame:
     """Results for the documents that lose something."""
-    k = (length + 1) // 2
-    reach = length - k
     schema = to_arrow_schema(_KEPT)
 
     def take_out(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                text = plain_text(r["z"])
-                settled = unpack(r["settled"], np.uint32).astype(np.int64) if r["settled"] is not None else np.zeros(0, np.int64)
-                low, high = np.maximum(settled - reach, 0), np.minimum(settled + length, len(text))
-                whole = high - low >= length
-                given = np.array([(x["low"], x["high"]) for x in r["ranges"] or []], np.int64).reshape(-1, 2)
-                low, high = np.concatenate((low[whole], given[:, 0])), np.concatenate((high[whole], given[:, 1]))
-                if not len(low):
-                    continue
-                low, high = _merged(low, high)
-                edges = [0, *np.stack((low, high), axis=1).reshape(-1).tolist(), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                rows.append((r["doc_id"], r["tag"], len(text) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            yield _batch(rows, schema)
+            for part in text_runs(batch):
+                rows = []
+                for r in part.to_pylist():
+                    text = plain_text(r["z"])
+                    low, high = lost_ranges(len(text), r["settled"], r["ranges"], length)
+                    if len(low):
+                        kept = without(text, low, high)
+                        rows.append((r["doc_id"], r["tag"], len(text) - len(kept), len(low), hashlib.sha256(kept).hexdigest()))
+                yield _batch(rows, schema)
             give_back()
 
-    per_doc = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    every = marked.select("doc_id", "tag", "settled").join(per_doc, ["doc_id", "tag"], "full")
-    named = every.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "settled", "ranges")
-    # A repeated row would be joined with every copy of itself: one copy is enough.
     texts = source_z.join(named, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "z", "settled", "ranges")
     return texts.mapInArrow(take_out, _KEPT)
 
@@ -426,19 +438,21 @@ def _packed_texts(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000, with_text: bool = False
-) -> DataFrame:
-    """doc_id, tag (a hash of the text), n_removed, n_spans, kept_sha256 and (if asked for) text, the remaining bytes
-    without what a removal leaves of a character, of documents that lose bytes."""
+def _found(docs: DataFrame, doc_id: str, text: str, length: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
     if not 16 <= length <= 256:
         raise ValueError(f"strings of {length} bytes are asked for; 16 to 256 are possible")
     source = _tagged(docs, doc_id, text)
     buckets = n_buckets(docs, text, 4)
     marked = marks(source, length, most_contexts, buckets)
     source_z = _packed_texts(source)
-    ranges = removed_strings(source_z, marked, length, buckets)
-    return cleaned(source_z, marked, ranges, length, with_text).dropDuplicates(["doc_id", "tag"])
+    return source_z, _losses(source_z, marked, length, buckets)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000) -> DataFrame:
+    """doc_id, tag (a hash of the text), n_removed, n_spans and kept_sha256 of documents that lose bytes."""
+    source_z, named = _found(docs, doc_id, text, length, most_contexts)
+    # A repeated row would be joined with every copy of itself: one copy is enough.
+    return cleaned(source_z, named, length).dropDuplicates(["doc_id", "tag"])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000) -> DataFrame:
@@ -456,11 +470,25 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     )
 
 
-def cleaned_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """The documents with repeated bytes taken out of the text; characters that a removal cuts apart go too. Other columns stay."""
-    lost = remove_repeats(docs, doc_id, text, length, with_text=True)
-    i, t, kept, tag = (unused(c, docs.columns) for c in ("lost_id", "lost_tag", "kept_text", "text_tag"))
-    lost = lost.select(F.col("doc_id").alias(i), F.col("tag").alias(t), F.col("text").alias(kept))
+def cleaned_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, most_contexts: int = 50_000) -> DataFrame:
+    """The documents with repeated bytes taken out of the text; characters that a removal cuts apart go too. Other columns stay.
+
+    Each row's own text is cut where it stands, so texts travel once, to their ranges.
+    """
+    _, named = _found(docs, doc_id, text, length, most_contexts)
+    i, t, tag, settled, ranges, kept = (unused(c, docs.columns) for c in ("lost_id", "lost_tag", "text_tag", "settled", "ranges", "kept_text"))
+    named = named.select(F.col("i").alias(i), F.col("t").alias(t), F.col("settled").alias(settled), F.col("ranges").alias(ranges))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.withColumn(tag, F.xxhash64(body)).join(lost, (F.col(doc_id) == F.col(i)) & (F.col(tag) == F.col(t)), "left")
-    return both.withColumn(text, F.coalesce(kept, text)).select(docs.columns)
+    both = docs.withColumn(tag, F.xxhash64(body)).join(named, (F.col(doc_id) == F.col(i)) & (F.col(tag) == F.col(t)), "left").drop(i, t, tag)
+
+    def make():
+        def one(body: str | None, anchors: bytes | None, found: list[dict] | None) -> str | None:
+            if body is None or (anchors is None and found is None):
+                return body
+            raw = body.encode()
+            return without(raw, *lost_ranges(len(raw), anchors, found, length)).decode("utf-8", "ignore")
+
+        return lambda part: [pa.array([one(*r) for r in zip(*(part.column(c).to_pylist() for c in (text, settled, ranges)))], pa.string())]
+
+    out = add_columns(both, text, T.StructType([T.StructField(kept, T.StringType())]), make)
+    return out.withColumn(text, F.col(kept)).select(docs.columns)
