@@ -30,7 +30,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    rounds = int(os.environ.get("BENCH_ROUNDS", "2"))
+    rounds = int(os.environ.get("BENCH_ROUNDS", "3"))
     only = sys.argv[1:]
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

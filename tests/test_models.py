@@ -119,14 +119,22 @@ def test_windows_need_fifty_training_rows(spark):
 
 
 def test_registered_sweep_has_every_cell(spark, sf):
+    """The whole sweep is run once here; the pivots are taken from its result."""
     from tapeloom.catalog import all_queries
 
-    out = all_queries()["J13_benchmark_sweep"].run(spark, sf).toPandas()
+    swept = all_queries()["J13_benchmark_sweep"].run(spark, sf).cache()
+    out = swept.toPandas()
     cells = out.groupby(["timeframe", "target", "model", "fee_mode"]).symbol.nunique()
     assert len(out) == cells.sum() and len(cells) == 2 * 3 * len(J.MODELS) * 2 and set(cells) == {5}
     fitted = out[out.model.isin(["MLP", "GBT"])]
     assert fitted[fitted.target == "return"].rmse.notna().any() and fitted[fitted.target != "return"].accuracy.notna().any()
     assert (out.turnover > 0).any()
+    fees = J.fee_pivot(swept).toPandas()
+    assert len(fees) == len(out) / 2 and (fees.maker - fees.taker)[fees.maker.notna()].abs().max() > 0
+    panels = J.accuracy_pivot(swept).toPandas()
+    assert len(panels) == 3 * len(J.MODELS) and panels.shape[1] == 2 + 2 * 5
+    cell = out[(out.model == "Ridge") & (out.target == "direction") & (out.fee_mode == "taker") & (out.symbol == "view") & (out.timeframe == "1h")]
+    assert panels[(panels.model == "Ridge") & (panels.target == "direction")]["1h|view"].item() == cell.accuracy.item()
 
 
 def test_models_evaluated_together_equal_models_alone(spark):

@@ -121,17 +121,17 @@ def test_parameter_grid_and_refused_sets():
 
 
 @pytest.mark.parametrize("name,grid,execution,anchored", [
-    ("bollinger", {"window": [5, 10], "num_std": [0.5, 1.0]}, "next_open", False),
+    ("bollinger", {"window": [5], "num_std": [0.5, 1.0]}, "next_open", False),
     ("bollinger", {"window": [4, 15], "num_std": [1.5]}, "next_close", True),
     ("ma_crossover", {"short_window": [2, 3], "long_window": [5, 19]}, "next_close", False),
     ("ma_crossover", {"short_window": [2, 25], "long_window": [20, 40]}, "next_open", True),
 ])
 def test_walk_forward_scores_slices_as_if_run_alone(spark, name, grid, execution, anchored):
     """Look-backs longer than the test slice, tiles shorter than a slice, both executions."""
-    bars = f.bars(spark, f.walk(160, 4), seconds=86400)
+    bars = f.bars(spark, f.walk(110, 4), seconds=86400).cache()
     rolling, config = Rolling(60, 20, anchored=anchored), BacktestConfig(execution=execution)
     got = K.walk_forward(bars, name, grid, rolling, config, bars_per_year=365, size=50).orderBy("window_id").toPandas()
-    assert len(got) == 4
+    assert len(got) == 2
     rule = {"bollinger": S.bollinger_mean_reversion, "ma_crossover": S.ma_crossover}[name]
     combos = K.valid_combos(S.STRATEGIES[name], grid)
 
@@ -149,10 +149,10 @@ def test_walk_forward_scores_slices_as_if_run_alone(spark, name, grid, execution
 
 
 def test_walk_forward_takes_a_score_of_moments(spark):
-    bars = f.bars(spark, f.walk(160, 4), seconds=86400)
+    bars = f.bars(spark, f.walk(110, 4), seconds=86400)
     grid = {"short_window": [2, 5], "long_window": [9]}
     got = K.walk_forward(bars, "ma_crossover", grid, Rolling(60, 20), score=lambda m: m.total / m.n).toPandas()
-    assert len(got) == 4 and (got["train_score"].abs() < 0.1).all()
+    assert len(got) == 2 and (got["train_score"].abs() < 0.1).all()
     with pytest.raises(ValueError):
         K.walk_forward(bars, "ma_crossover", grid)
 
