@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import clock, maths
 from tapeloom.operators.bars import last_per_bin
 from tapeloom.operators.micro import order_flow_imbalance, signed_qty
-from tapeloom.plans.joins import asof_join, fill_forward, lookup_join, match_keys
+from tapeloom.plans.joins import asof_join, asof_join_many, fill_forward, lookup_join, match_keys
 from tapeloom.plans.stage import stage
 from tapeloom.plans.tiles import KEY, TILE_ROWS, Tiles, full, tidy, tile
 
@@ -102,9 +102,9 @@ def build_features(
 def multi_timeframe(
     bars: DataFrame, timeframes: Sequence[str] = ("1h", "4h"), *, key: Sequence[str] = KEY, size: int | None = TILE_ROWS
 ) -> DataFrame:
-    """Return and volatility of coarser bars, visible to a bar once the coarse bar has ended."""
+    """Return and volatility of coarser bars, visible to a bar once the coarse bar has ended. All timeframes meet the bars in one scan."""
     like = clock.ts_type(bars)
-    out = bars.select(*key, "ts")
+    sides = []
     for tf in timeframes:
         delta = clock.duration_us(tf)
         coarse = last_per_bin(bars, "close", tf, key=key).withColumn("ts", clock.from_micros(F.col("_us"), like))
@@ -115,8 +115,8 @@ def multi_timeframe(
         ret, dev = f"ret_{tf}_lag1", f"vol_{tf}_lag1"
         ended = clock.from_micros(F.col("_us") + F.lit(delta), like)
         known = t.core(t.df.withColumn(dev, vol)).where("rn > 0").select(*key, ended.alias("ts"), F.col("_r").alias(ret), dev)
-        out = asof_join(out, known, [ret, dev], key=key, bucket="1d")
-    return out
+        sides.append((stage(known, "coarse"), [ret, dev]))
+    return asof_join_many(bars.select(*key, "ts"), sides, key=key, bucket="1d")
 
 
 def micro_features(

@@ -32,21 +32,42 @@ def asof_join(
     a range join. Among right rows at one time the highest ``tie`` wins; a NULL inside the latest
     right row stays NULL, because the columns travel as one struct.
     """
-    quotes = right.where(F.col(right_ts).isNotNull()).select(
-        *key,
-        clock.micros(right_ts).alias("_us"),
-        F.lit(0).alias("_side"),
-        (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"),
-        F.struct(*cols).alias("_right"),
-    )
+    return asof_join_many(left, [(right, cols)], key=key, left_ts=left_ts, right_ts=right_ts, tie=tie, bucket=bucket, group=group)
+
+
+def asof_join_many(
+    left: DataFrame,
+    rights: Sequence[tuple[DataFrame, Sequence[str]]],
+    *,
+    key: Sequence[str] = KEY,
+    left_ts: str = "ts",
+    right_ts: str = "ts",
+    tie: str | None = None,
+    bucket: str = "1h",
+    group: str | None = None,
+) -> DataFrame:
+    """As ``asof_join`` with several right sides, all in one scan that keeps the latest row of each.
+
+    What a bucket passes on comes from the narrow right rows; of the left side only the buckets are read for it.
+    """
     rows = left.withColumns({"_us": clock.micros(left_ts), "_side": F.lit(1), "_tie": F.lit(0).cast("long")})
-    both, coarse = bucketed(rows.unionByName(quotes, allowMissingColumns=True), F.col("_us"), bucket, group)
-    out = carry_scan(
-        both, key, "_bucket", ("_us", "_side", "_tie"), {"_right": running("last", "_right", cols)}, coarse=coarse,
-        rank=tick_order(F.col("_us"), F.col("_tie")),
-    )
-    kept = [F.col(c) for c in left.columns if c not in cols]
-    return out.where("_side = 1").select(*kept, *[F.col("_right")[c].alias(c) for c in cols])
+    items = {}
+    for i, (right, cols) in enumerate(rights):
+        quotes = right.where(F.col(right_ts).isNotNull()).select(
+            *key,
+            clock.micros(right_ts).alias("_us"),
+            F.lit(0).alias("_side"),
+            (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"),
+            F.struct(*cols).alias(f"_right{i}"),
+        )
+        rows = rows.unionByName(quotes, allowMissingColumns=True)
+        items[f"_right{i}"] = running("last", f"_right{i}", cols)
+    both, coarse = bucketed(rows, F.col("_us"), bucket, group)
+    out = carry_scan(both, key, "_bucket", ("_us", "_side", "_tie"), items, coarse=coarse, rank=tick_order(F.col("_us"), F.col("_tie")))
+    taken = {c for _, cols in rights for c in cols}
+    kept = [F.col(c) for c in left.columns if c not in taken]
+    found = [F.col(f"_right{i}")[c].alias(c) for i, (_, cols) in enumerate(rights) for c in cols]
+    return out.where("_side = 1").select(*kept, *found)
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

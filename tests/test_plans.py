@@ -47,3 +47,8 @@ def test_small_tables_are_broadcast_by_their_true_size(spark, sf):
     """The rows of the big side are not shuffled by series."""
     text = plan(QUERIES["A15_trailing"].run(spark, sf))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_several_timeframes_meet_the_bars_in_one_scan(spark, sf):
+    text = plan(QUERIES["I6_multi_timeframe"].run(spark, sf))
+    assert text.count("Exchange hashpartitioning") <= 10
