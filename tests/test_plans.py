@@ -39,7 +39,7 @@ def test_bars_are_hash_aggregated(spark, sf):
 
 
 def test_chunk_totals_are_hash_aggregated(spark, sf):
-    for name in ("B2_volume_bars", "C3_effective_spread", "D4_book_at", "G12_bootstrap_indices", "F2_trade_log", "G5_max_drawdown", "F6_walk_forward_anchored"):
+    for name in ("B2_volume_bars", "C3_effective_spread", "D4_book_at", "G12_bootstrap_indices", "F2_trade_log", "G5_max_drawdown"):
         assert "SortAggregate" not in plan(QUERIES[name].run(spark, sf)), name
 
 
