@@ -47,12 +47,12 @@ def bucket_cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 
 
 def n_buckets(docs: DataFrame, text: str, per_partition: int = 1) -> int:
     """Hash ranges to send to: several per shuffle partition, as a task holds one at a time, and so many that one range
-    stands for at most 64 MB of the input's text, however large the input is."""
+    stands for at most 16 MB of the input's text, however large the input is."""
     given = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     return max(1, per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-given // RANGE_BYTES))
 
