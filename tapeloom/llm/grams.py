@@ -31,7 +31,7 @@ from tapeloom.llm.words import Words, hashes, joined
 from tapeloom.plans.stage import stage, stage_bucketed
 
 SLICE = 4 << 20
-RANGE_ENTRIES = 2_000_000
+RANGE_ENTRIES = 1_000_000
 
 
 def _schemas(spec: str) -> tuple[str, pa.Schema]:

@@ -38,7 +38,7 @@ from tapeloom.llm.batches import offsets
 from tapeloom.llm.grams import SENT, Answers, Slice, _schemas, added_up, all_tokens, asked, per_answered_slice, per_slice, ranges_for, sliced
 from tapeloom.llm.words import Words, mixed, windows, words
 
-_SLICE = 8 << 20  # twice the usual slice: fewer pairs are asked for twice
+_SLICE = 6 << 20  # larger than the usual slice: fewer pairs are asked for twice
 _UNIT = 1 << 20  # parts of a nat
 _GAIN = 100  # kinds of grams are 1, 2, ...; kinds of divergences are these and the context's length
 SCORES = _schemas("doc_id:long trained:boolean n_tokens:long n_known:long train_tokens:long base_score:double score:double mean_state:double")
