@@ -92,7 +92,7 @@ def fit(
     lang: str = "lang",
     per_language: int = 400,
     centroids: int = 4,
-    quantile: float = 0.02,
+    quantile: float = 0.01,
     slack: float = 0.95,
     max_languages: int = 500,
 ) -> Model:
