@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tapeloom.llm.batches import give_back, offsets, ranges, slices, strings
 from tapeloom.llm.words import LOWER, encoded, joined
 
-_CACHE_UNITS, _SLICE = 500_000, 4 << 20
+_CACHE_UNITS, _SLICE = 350_000, 2 << 20
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
@@ -133,9 +133,9 @@ class WordTokens:
         starts = at[:-1][at[:-1] < at[1:]]
         begins[starts] = solid[starts]
         place = np.flatnonzero(begins)
-        before = np.cumsum(solid)
+        before = np.cumsum(solid, dtype=np.uint32 if len(raw) < 1 << 32 else np.int64)[place].astype(np.int64)
         kept = lower[solid]
-        codes, distinct = encoded(kept, np.append(before[place] - 1, len(kept)))
+        codes, distinct = encoded(kept, np.append(before - 1, len(kept)))
         units = distinct.to_pylist()
         if len(self.known) + len(units) > _CACHE_UNITS:
             self._keep_the_most_used()
@@ -229,8 +229,9 @@ def pack(
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 ids, at = words.encode(part.column("text"))
-                flat = np.insert(ids, at[1:], end_id).astype("<u4")
+                flat = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
                 at = at + np.arange(len(at))
+                del ids
                 held = sum(waiting.column("length").to_pylist()) if waiting is not None else 0
                 doc, start, length, group = cut(np.diff(at), held, capacity, piece, room)
                 begin = at[doc] + start
