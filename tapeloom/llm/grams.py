@@ -22,8 +22,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeloom.llm.batches import give_back, offsets, slices
 from tapeloom.llm.packed import bucket_cuts, pack, pack_sorted, unpack, unpack_sorted
