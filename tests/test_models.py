@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import models as J
-from tapeloom.operators.backtest import Rolling
+from tapeloom.operators.backtest import BacktestConfig, Rolling, run_backtest
 from tapeloom.operators.features import FeatureConfig
 from tests import frames as f
 
@@ -137,6 +137,19 @@ def test_registered_sweep_has_every_cell(spark, sf):
     assert panels[(panels.model == "Ridge") & (panels.target == "direction")]["1h|view"].item() == cell.accuracy.item()
 
 
+def test_sweep_leaves_out_trades_without_a_positive_price(spark, sf, monkeypatch):
+    from tapeloom.catalog import models as queries
+
+    rows = [("X", i, f.START + pd.Timedelta(minutes=15 * i + 1), float(p), 1.0, False) for i, p in enumerate(f.walk(40))]
+    rows += [("X", 40, f.START + pd.Timedelta(minutes=14), 0.0, 1.0, False), ("X", 41, f.START + pd.Timedelta(minutes=59), -1.0, 1.0, False)]  # the last trades of their bars
+    trades = spark.createDataFrame(rows, "symbol string, agg_id long, ts timestamp_ntz, price double, qty double, is_buyer_maker boolean")
+    monkeypatch.setattr(queries.T, "trades", lambda *_: trades)
+    monkeypatch.setattr(J, "benchmark_sweep", lambda bars, specs, models: bars)
+    for timeframe, bars in queries._sweep(spark, sf).items():
+        out = run_backtest(bars.withColumn("position", F.lit(1.0)), BacktestConfig(execution="next_close")).toPandas()
+        assert len(out) == {"15m": 40, "1h": 10}[timeframe] and out.volume.sum() == 40 and out.low.min() > 0
+
+
 def test_models_evaluated_together_equal_models_alone(spark):
     bars = f.bars(spark, f.walk(30 * 24), seconds=3600)
     cfg = FeatureConfig(2, (), False, False)
