@@ -107,3 +107,53 @@ def test_book_does_not_depend_on_how_batches_are_cut(spark, tmp_path, parts):
     with streams._rocksdb(spark):
         out = K.standing_levels(K.drain(K.book_changes(feed(spark, df, str(tmp_path / "in"), parts, "n").drop("n")), "changes")).collect()
     assert sorted((r["side"], r["price"], r["size"]) for r in out) == sorted((s, p, x) for s in want for p, x in want[s].items() if x > 0)
+
+
+class _Value:
+    """State of one value, or of one value per key, kept in a dict."""
+
+    def __init__(self):
+        self.held = {}
+
+    exists = lambda self: None in self.held
+    get = lambda self: self.held[None]
+    clear = lambda self: self.held.clear()
+    containsKey = lambda self, key: key in self.held
+    getValue = lambda self, key: self.held[key]
+    updateValue = lambda self, key, row: self.held.__setitem__(key, row)
+    removeKey = lambda self, key: self.held.pop(key)
+    iterator = lambda self: iter(list(self.held.items()))
+    update = lambda self, row: self.held.__setitem__(None, row)
+
+
+class _Handle:
+    getMapState = lambda self, *_: _Value()
+    getValueState = lambda self, *_: _Value()
+
+
+def test_tops_of_a_long_micro_batch_need_little_memory():
+    import tracemalloc
+
+    n, parts = 60_000, 12
+    rng = np.random.default_rng(1)
+    seq = rng.permutation(n)
+    rows = pd.DataFrame({
+        "seq": seq, "ts": pd.Timestamp(f.START) + pd.to_timedelta(seq, unit="s"), "symbol": "X", "side": np.where(seq % 2, "bid", "ask"),
+        "price": np.where(seq % 2, 100.0 - seq % 7, 101.0 + seq % 5), "size": (seq % 3).astype(float), "is_snapshot": False,
+    })
+    book = K._Book(True)
+    book.init(_Handle())
+    given = (rows.iloc[i * n // parts : (i + 1) * n // parts].reset_index(drop=True) for i in range(parts))
+    tracemalloc.start()
+    at, last = 0, None
+    for out in book.handleInputRows(("X",), given, None):
+        assert len(out) <= 10_000 and (out["seq"] == range(at, at + len(out))).all()
+        at, last = at + len(out), out.iloc[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and last["step"] == n and peak < 200 * n
+    books = {"bid": {}, "ask": {}}
+    for side, price, size in rows.sort_values("seq")[["side", "price", "size"]].to_numpy():
+        books[side][price] = size
+    live = {s: [p for p, x in b.items() if x > 0] for s, b in books.items()}
+    assert (last["bid_price"], last["ask_price"]) == (max(live["bid"]), min(live["ask"]))
