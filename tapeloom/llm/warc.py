@@ -6,7 +6,7 @@ HTTP headers as they stand in front of the payload) and the key of its payload.
 them back and recomputes every payload's SHA-256, so altered bytes raise an error.
 
 Among records with equal payloads the one with the largest id is a ``response``, the others are
-``revisit`` records that refer to it. Payload shuffles go by record id or digest of distinct payloads;
+``revisit`` records that refer to it. Payloads are shuffled by digest after a task's copies have become one;
 only narrow rows are shuffled by a digest that many records share, and those joins can be split by
 adaptive execution.
 
@@ -52,16 +52,10 @@ def write_archive(
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     source = pages.select(rid.alias("record_id"), F.col(uri).alias("uri"), body.alias("payload"))
     keyed = source.withColumns({"sha256": F.unhex(F.sha2("payload", 256)), "n": F.octet_length("payload").cast("long")})
-    owners = stage(
-        keyed.groupBy("sha256", "n").agg(F.max("record_id").alias("owner")).withColumnRenamed("sha256", "o_sha256").withColumnRenamed("n", "o_n"),
-        "warc-owners",
-    )
-    payloads = stage(
-        keyed.join(owners, F.col("record_id").eqNullSafe(F.col("owner")) & (F.col("sha256") == F.col("o_sha256")), "left_semi")
-        .dropDuplicates(["record_id", "sha256"])
-        .select("sha256", "n", "payload"),
-        "warc-payloads",
-    )
+    # Copies meet within a task first, so a payload is shuffled once per task that holds it, and by this step alone.
+    distinct = stage(keyed.groupBy("sha256", "n").agg(F.max("record_id").alias("owner"), F.first("payload").alias("payload")), "warc-payloads")
+    owners = distinct.select(F.col("sha256").alias("o_sha256"), F.col("n").alias("o_n"), "owner")
+    payloads = distinct.select("sha256", "n", "payload")
     narrow = keyed.select("record_id", "uri", "sha256", "n", base32_sha1(F.col("payload")).alias("sha1"))
     joined = narrow.join(owners, (F.col("sha256") == F.col("o_sha256")) & (F.col("n") == F.col("o_n")))
     is_response = F.col("record_id").eqNullSafe(F.col("owner"))

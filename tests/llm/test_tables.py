@@ -65,6 +65,20 @@ def test_archive_as_files(spark, tmp_path):
     assert all(bytes(r.record) in written for r in archive.collect())
 
 
+def test_payloads_are_shuffled_once_by_writing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(warc, "stage", lambda df, name, real=warc.stage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records, payloads = warc.write_archive(pages(spark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert payloads.columns == ["sha256", "n", "payload"] and records.count() == 10
+    # The formatted tree has one line per operator; those that read the payload end in the table of distinct payloads.
+    assert [p.count("Exchange") for p in plans if "first(payload" in p] == [1]
+    assert sum(p.count("Exchange") for p in plans) <= 3
+
+
 # Search
 
 
