@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from tapeloom.llm.batches import give_back, offsets, ranges, slices, strings
 from tapeloom.llm.words import LOWER, encoded, joined
 
 _CACHE_UNITS, _SLICE = 350_000, 2 << 20
+_SIGN = np.array([0x20 < b < 0x7F and not chr(b).isalnum() for b in range(256)])
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
@@ -70,8 +72,8 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
 class WordTokens:
     """Token ids of texts by a tokenizer that drops white space: each distinct unit is encoded once and kept while it is in use.
 
-    A unit stands between spaces or line ends; a ``.`` or ``,`` after an ASCII letter begins a unit (the
-    tokenizer parts them anyway) and A-Z is lowered (it lowers all text anyway). Texts with ``<|`` may hold
+    A unit stands between spaces or line ends; an ASCII sign after a letter below U+0100 begins a unit (the
+    tokenizer parts them anyway) and such letters are lowered (it lowers all text anyway). Texts with ``<|`` may hold
     special tokens, so they are encoded whole.
     """
 
@@ -122,6 +124,10 @@ class WordTokens:
         self.at, self.uses = offsets(lengths), self.uses[kept] // 2
         self.known = {units[i]: n for n, i in enumerate(kept.tolist())}
 
+    def _known(self, units: list[bytes]) -> np.ndarray:
+        """Numbers of the units that are kept, -1 for others."""
+        return np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offset of every text."""
         raw, at = joined(column)
@@ -129,7 +135,12 @@ class WordTokens:
         solid = (raw != 0x20) & (raw != 0x0A)
         begins = solid.copy()
         letter = (lower >= 97) & (lower <= 122)
-        begins[1:] &= ~solid[:-1] | (((raw[1:] == 0x2E) | (raw[1:] == 0x2C)) & letter[:-1])
+        # U+00C0 to U+00FF, two bytes each: letters but for the signs of multiplication and division.
+        second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        value = raw[second]
+        letter[second] = (value != 0x97) & (value != 0xB7)
+        lower[second] += np.where((value < 0x9F) & (value != 0x97), np.uint8(0x20), np.uint8(0))
+        begins[1:] &= ~solid[:-1] | (_SIGN[raw[1:]] & letter[:-1])
         starts = at[:-1][at[:-1] < at[1:]]
         begins[starts] = solid[starts]
         place = np.flatnonzero(begins)
@@ -137,12 +148,16 @@ class WordTokens:
         kept = lower[solid]
         codes, distinct = encoded(kept, np.append(before - 1, len(kept)))
         units = distinct.to_pylist()
-        if len(self.known) + len(units) > _CACHE_UNITS:
+        own = self._known(units)
+        new = np.flatnonzero(own < 0)
+        if len(self.known) + len(new) > _CACHE_UNITS:
             self._keep_the_most_used()
-        new = [u for u in units if u not in self.known]
-        if new:
-            self._learn(new)
-        own = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            own = self._known(units)
+            new = np.flatnonzero(own < 0)
+        if len(new):
+            learnt = [units[i] for i in new.tolist()]
+            self._learn(learnt)
+            own[new] = self._known(learnt)
         self.uses[own] += 1
         wanted = own[codes]
         lengths = np.diff(self.at)[wanted]

@@ -46,6 +46,14 @@ def test_pieces_of_packing_hold_every_token_once(spark, capacity, piece, windows
         assert sum(r.length for r in own) <= capacity
 
 
+def test_units_of_accented_words_are_shared():
+    words, library = packing.WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["été, Été. ÉTÉ", "été; l'été-ÇA", "×été ÷été Été×,", "T\u00dfÿ*** ÿ$$$ Ê\u0301."]
+    ids, at = words.encode(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {u.decode() for u in words.known} >= {"été", ",", ".", ";", "'été", "-ça", "***", "$$$"} and not {"été,", "Été.", "ÉTÉ"} & {u.decode() for u in words.known}
+
+
 def test_packing_is_dense_and_takes_empty_tables(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words of it "), (F.col("id") % 97).cast("int")).alias("text")).coalesce(1)
     total, sequences = packing.pack(docs, WORDS).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
